@@ -63,31 +63,37 @@ def range_splits(df: DataFrame, order: str, domain: str | None,
     return {r[domain]: list(r["s"] or []) for r in rows}
 
 
+def _range_bucket(df: DataFrame, order: str, domain: str | None, n: int) -> Column:
+    splits = range_splits(df, order, domain, n)
+    val = F.col(order).cast("double")
+    if not splits:
+        return F.lit(0)
+    if domain is None:
+        return bucket_column(val, splits[None])
+    bucket = None
+    for key, s in splits.items():
+        cond = F.col(domain).eqNullSafe(F.lit(key))
+        bucket = F.when(cond, bucket_column(val, s)) if bucket is None \
+            else bucket.when(cond, bucket_column(val, s))
+    return bucket.otherwise(F.lit(0))
+
+
 def running_totals(df: DataFrame, by: list[str], order: str,
                    measures: list[str], domain: str | None = None,
-                   n_buckets: int | None = None) -> DataFrame:
+                   n_buckets: int | None = None,
+                   bucket: Column | None = None) -> DataFrame:
     """Add ``cum_<m>`` (inclusive running sum in ascending ``order`` within
     ``by``) and ``total_<m>`` (sum within ``by``) for each measure.
 
     ``df`` must hold one row per distinct (by, order).  ``domain`` names the
     column among ``by`` whose values have separate value ranges (e.g. the
     feature name of an unpivoted table); split points are per domain.
+    ``bucket`` may supply a ready monotone bucket expression instead (e.g. a
+    hash prefix when ``order`` is a hash).
     """
-    spark = df.sparkSession
-    n = n_buckets or max(1, shuffle_partitions(spark))
-    splits = range_splits(df, order, domain, n)
-    val = F.col(order).cast("double")
-    if not splits:
-        bucket = F.lit(0)
-    elif domain is None:
-        bucket = bucket_column(val, splits[None])
-    else:
-        bucket = None
-        for key, s in splits.items():
-            cond = F.col(domain).eqNullSafe(F.lit(key))
-            bucket = F.when(cond, bucket_column(val, s)) if bucket is None \
-                else bucket.when(cond, bucket_column(val, s))
-        bucket = F.lit(0) if bucket is None else bucket.otherwise(F.lit(0))
+    if bucket is None:
+        n = n_buckets or max(1, shuffle_partitions(df.sparkSession))
+        bucket = _range_bucket(df, order, domain, n)
     b = df.withColumn(_BUCKET, bucket)
 
     keys = list(by) + [_BUCKET]
