@@ -81,7 +81,9 @@ def _range_bucket(df: DataFrame, order: str, domain: str | None, n: int) -> Colu
 def running_totals(df: DataFrame, by: list[str], order: str,
                    measures: list[str], domain: str | None = None,
                    n_buckets: int | None = None,
-                   bucket: Column | None = None) -> DataFrame:
+                   bucket: Column | None = None,
+                   tiebreak: list[str] | None = None,
+                   agg: str = "sum", exclusive: bool = False) -> DataFrame:
     """Add ``cum_<m>`` (inclusive running sum in ascending ``order`` within
     ``by``) and ``total_<m>`` (sum within ``by``) for each measure.
 
@@ -89,30 +91,44 @@ def running_totals(df: DataFrame, by: list[str], order: str,
     column among ``by`` whose values have separate value ranges (e.g. the
     feature name of an unpivoted table); split points are per domain.
     ``bucket`` may supply a ready monotone bucket expression instead (e.g. a
-    hash prefix when ``order`` is a hash).
+    hash prefix when ``order`` is a hash).  ``tiebreak`` columns order rows
+    sharing an ``order`` value.  ``agg='max'`` gives running maxima;
+    ``exclusive`` leaves the current row out (null before the first row).
     """
+    if agg not in ("sum", "max"):
+        raise ValueError("agg must be 'sum' or 'max'")
+    f = F.sum if agg == "sum" else F.max
     if bucket is None:
         n = n_buckets or max(1, shuffle_partitions(df.sparkSession))
         bucket = _range_bucket(df, order, domain, n)
     b = df.withColumn(_BUCKET, bucket)
 
     keys = list(by) + [_BUCKET]
-    tot = b.groupBy(*keys).agg(*[F.sum(m).alias(f"_bt_{m}") for m in measures])
+    tot = b.groupBy(*keys).agg(*[f(m).alias(f"_bt_{m}") for m in measures])
     before = Window.partitionBy(*by).orderBy(_BUCKET) \
         .rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
+    zero = F.lit(0) if agg == "sum" else F.lit(None)
     offsets = tot.select(*keys, *[
-        F.coalesce(F.sum(f"_bt_{m}").over(before), F.lit(0)).alias(f"_off_{m}")
+        F.coalesce(f(f"_bt_{m}").over(before), zero).alias(f"_off_{m}")
         for m in measures], *[
-        F.sum(f"_bt_{m}").over(whole).alias(f"total_{m}") for m in measures])
+        f(f"_bt_{m}").over(whole).alias(f"total_{m}") for m in measures])
 
-    within = Window.partitionBy(*keys).orderBy(order) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = b.select("*", *[F.sum(m).over(within).alias(f"_in_{m}") for m in measures])
+    order_cols = [order] + list(tiebreak or [])
+    within = Window.partitionBy(*keys).orderBy(*order_cols) \
+        .rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
+    ranked = b.select("*", *[f(m).over(within).alias(f"_in_{m}") for m in measures])
     out = ranked.join(F.broadcast(offsets), on=keys, how="inner")
+
+    def combine(m):
+        inner, off = F.col(f"_in_{m}"), F.col(f"_off_{m}")
+        if agg == "sum":
+            return F.coalesce(inner, F.lit(0)) + off
+        return F.greatest(inner, off)  # greatest skips nulls
+
     return out.select(
         *[c for c in df.columns],
-        *[(F.col(f"_in_{m}") + F.col(f"_off_{m}")).alias(f"cum_{m}") for m in measures],
+        *[combine(m).alias(f"cum_{m}") for m in measures],
         *[F.col(f"total_{m}") for m in measures])
 
 
