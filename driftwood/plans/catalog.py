@@ -33,7 +33,7 @@ def load_all() -> None:
     """Import the modules that register queries."""
     from driftwood.plans import (q_features, q_profile, q_metrics,  # noqa: F401
                                  q_drift)
-    for mod in ("q_splits", "q_preprocess", "q_runs", "q_models"):
+    for mod in ("q_splits", "q_preprocess", "q_runs", "q_lineitem", "q_models"):
         try:
             __import__(f"driftwood.plans.{mod}")
         except ModuleNotFoundError as e:  # module not written yet
