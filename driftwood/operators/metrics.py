@@ -103,17 +103,20 @@ def classification_report(df: DataFrame, label: str, prediction: str,
     return base.select(F.inline(arr))
 
 
-def score_counts(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
+def score_counts(df: DataFrame, label: str, score: str, positive=1,
+                 by: list[str] | None = None) -> DataFrame:
     """Cumulative counts per distinct score (descending thresholds):
-    score, pos, neg, tp (positives scoring >= score), fp, P, N."""
+    score, pos, neg, tp (positives scoring >= score), fp, P, N; per ``by``
+    group when given (e.g. one curve per CV fold)."""
+    by = list(by or [])
     y = F.col(label) == positive
     per = (df.where(F.col(score).isNotNull())
-           .groupBy(F.col(score).cast("double").alias("score"))
+           .groupBy(*by, F.col(score).cast("double").alias("score"))
            .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
-    cum = running_totals(per, [], "score", ["pos", "neg"])
+    cum = running_totals(per, by, "score", ["pos", "neg"])
     # ascending inclusive cums -> counts at or above this score
     return cum.select(
-        "score", "pos", "neg",
+        *by, "score", "pos", "neg",
         (F.col("total_pos") - F.col("cum_pos") + F.col("pos")).alias("tp"),
         (F.col("total_neg") - F.col("cum_neg") + F.col("neg")).alias("fp"),
         F.col("total_pos").alias("P"), F.col("total_neg").alias("N"))
@@ -135,11 +138,13 @@ def pr_curve(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
                     _div0(F.col("tp"), F.col("P")).alias("recall"))
 
 
-def ranking_metrics(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
-    """One row: roc_auc and pr_auc (average precision)."""
-    c = score_counts(df, label, score, positive)
+def ranking_metrics(df: DataFrame, label: str, score: str, positive=1,
+                    by: list[str] | None = None) -> DataFrame:
+    """roc_auc and pr_auc (average precision): one row, or one per group."""
+    by = list(by or [])
+    c = score_counts(df, label, score, positive, by)
     above = F.col("tp") - F.col("pos")
-    return c.agg(
+    return c.groupBy(*by).agg(
         F.try_divide(F.sum(F.col("neg") * (above + 0.5 * F.col("pos"))),
                      F.first("P").cast("double") * F.first("N")).alias("roc_auc"),
         F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))),
@@ -150,8 +155,9 @@ def roc_auc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     return ranking_metrics(df, label, score, positive).select("roc_auc")
 
 
-def average_precision(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
-    return ranking_metrics(df, label, score, positive).select("pr_auc")
+def average_precision(df: DataFrame, label: str, score: str, positive=1,
+                      by: list[str] | None = None) -> DataFrame:
+    return ranking_metrics(df, label, score, positive, by).select(*(by or []), "pr_auc")
 
 
 def evaluate(df: DataFrame, label: str, prediction: str, score: str | None = None,
