@@ -185,3 +185,29 @@ def target_drift(reference: DataFrame, current: DataFrame, target: str,
         cur_rate.alias("current_positive_rate"),
         (cur_rate - ref_rate).alias("absolute_change"),
         (F.try_divide(cur_rate - ref_rate, ref_rate) * 100.0).alias("relative_change_pct"))
+
+
+def pipeline_feature_drift(reference: DataFrame, current: DataFrame, layout,
+                           categories: dict | None = None, scaler: str = "standard",
+                           alpha: float = 0.05, dtype: str = "float") -> DataFrame:
+    """Drift of the model's inputs: both tables get the derived features and
+    the preprocessing fitted on the reference (float32 like the model
+    input); one-hot outputs are tested as categorical, scaled outputs as
+    numerical, passthrough outputs routed by their cardinality in the
+    reference; then the KS / chi-square report."""
+    from driftwood.functions.features import add_features, required_features
+    from driftwood.operators import preprocess as E
+
+    need = required_features(layout.columns)
+    ref_f = add_features(reference, need, categories=categories)
+    cur_f = add_features(current, need, categories=categories)
+    fitted = E.fit(ref_f, layout, scaler)
+    ref_t, cur_t = fitted.transform(ref_f, dtype=dtype), fitted.transform(cur_f, dtype=dtype)
+    names = fitted.output_names()
+    cat = [c for c in names if c.startswith("cat__")]
+    num = [c for c in names if c.startswith("num__")]
+    passthrough = [c for c in names if c.startswith("pass__")]
+    if passthrough:
+        for r in route_passthrough(ref_t, passthrough).collect():  # one row per column
+            (cat if r["kind"] == "categorical" else num).append(r["feature"])
+    return feature_drift_report(ref_t, cur_t, num, cat, alpha)

@@ -230,6 +230,30 @@ def _cv_ap(data: DataFrame, label: str, cols: list[str], kind: str, folds: int,
     return _cv_ap_model(data, label, cols, classifier(kind, label=label, seed=seed), folds)
 
 
+def selection_sweep(df: DataFrame, label: str, key: str, layout: E.Layout,
+                    kinds: list[str], sizes: list[int], folds: int = 5,
+                    categories: dict | None = None, seed: int = 42) -> DataFrame:
+    """Selection for every (model, direction, size): rows model, direction,
+    n_features, pr_auc_cv, features (sorted).  ``best_selection`` picks the
+    top row."""
+    out = None
+    for kind in kinds:
+        for direction, forward in (("Forward", True), ("Backward", False)):
+            for k in sizes:
+                res = sequential_selection(df, label, key, layout, kind, k, forward, folds,
+                                           categories, seed)
+                last = res.orderBy(F.desc("step")).limit(1).select(
+                    F.lit(kind).alias("model"), F.lit(direction).alias("direction"),
+                    F.lit(k).alias("n_features"), "pr_auc_cv",
+                    F.array_sort("features").alias("features"))
+                out = last if out is None else out.unionByName(last)
+    return out
+
+
+def best_selection(sweep: DataFrame) -> DataFrame:
+    return sweep.orderBy(F.desc_nulls_last("pr_auc_cv"), "model", "direction", "n_features").limit(1)
+
+
 @dataclass
 class SearchSpace:
     ranges: dict  # parameter -> (low, high); ints stay ints

@@ -131,3 +131,77 @@ ROUTE_COLUMNS = ["HasCrCard", "IsActiveMember", "NumOfProducts", "Tenure", "Age"
        THEN 'categorical' ELSE 'numerical' END AS kind FROM customer360""" for c in ROUTE_COLUMNS))
 def route_passthrough(spark, sf_dir):
     return D.route_passthrough(customer360(spark, sf_dir), ROUTE_COLUMNS)
+
+
+# --- pipeline-aware drift: model inputs of two customer snapshots -------------
+
+def _pipeline_drift_sql() -> str:
+    from driftwood.functions.features import required_features
+    from driftwood.operators import preprocess as E
+    from driftwood.plans.q_features import FEATURE_SQL
+    from driftwood.plans.q_preprocess import REGISTRY, SEGMENTS
+    layout = E.layout_from_registry(REGISTRY)
+    feats = required_features(layout.columns)
+    fcols = ", ".join(f"{FEATURE_SQL[f]} AS {f}" for f in feats)
+    stats = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS a_{c}, "
+                      f"coalesce(nullif(stddev_pop(CAST({c} AS DOUBLE)), 0), 1) AS b_{c}"
+                      for c in layout.scaled)
+    cats = [("Card Type", v) for v in SEGMENTS[1:]] + [("Gender", "Male")]
+    cat_cols = [f'CAST(CASE WHEN "{c}" = \'{v}\' THEN 1.0 ELSE 0.0 END AS FLOAT) AS "cat__{c}_{v}"'
+                for c, v in cats]
+    num_cols = [f"CAST((CAST({c} AS DOUBLE) - a_{c}) / b_{c} AS FLOAT) AS num__{c}" for c in layout.scaled]
+    pas_cols = [f"CAST({c} AS FLOAT) AS pass__{c}" for c in layout.passthrough]
+    sel = ", ".join(cat_cols + num_cols + pas_cols)
+    cat_names = [f"cat__{c}_{v}" for c, v in cats] + [f"pass__{c}" for c in layout.passthrough]
+    num_names = [f"num__{c}" for c in layout.scaled]
+    lg_num = " UNION ALL ".join(
+        f"SELECT '{n}' AS feature, CAST(\"{n}\" AS DOUBLE) AS value, side FROM t WHERE \"{n}\" IS NOT NULL"
+        for n in num_names)
+    lg_cat = " UNION ALL ".join(
+        f"SELECT '{n}' AS feature, CAST(\"{n}\" AS VARCHAR) AS category, side FROM t WHERE \"{n}\" IS NOT NULL"
+        for n in cat_names)
+    return f"""WITH {customer360_sql("2000-01-01", "ref0")},
+{customer360_sql("2001-01-01", "cur0")},
+rf AS (SELECT *, {fcols} FROM ref0),
+cf AS (SELECT *, {fcols} FROM cur0),
+s AS (SELECT {stats} FROM rf),
+t AS (SELECT 0 AS side, {sel} FROM rf, s UNION ALL SELECT 1 AS side, {sel} FROM cf, s),
+lg AS ({lg_num}),
+pv AS (SELECT feature, value, count(*) FILTER (WHERE side = 0) AS n0, count(*) FILTER (WHERE side = 1) AS n1
+       FROM lg WHERE NOT isnan(value) GROUP BY feature, value),
+c AS (SELECT feature, sum(n0) OVER (PARTITION BY feature ORDER BY value) AS c0,
+             sum(n1) OVER (PARTITION BY feature ORDER BY value) AS c1,
+             sum(n0) OVER (PARTITION BY feature) AS t0, sum(n1) OVER (PARTITION BY feature) AS t1 FROM pv),
+ks AS (SELECT feature, max(abs(c0 / t0 - c1 / t1)) AS d, CAST(any_value(t0) AS DOUBLE) AS n_ref,
+              CAST(any_value(t1) AS DOUBLE) AS n_cur FROM c GROUP BY feature),
+cl AS ({lg_cat}),
+cats AS (SELECT feature, category, count(*) FILTER (WHERE side = 0) + 1 AS o_ref,
+                count(*) FILTER (WHERE side = 1) + 1 AS o_cur FROM cl GROUP BY feature, category),
+tt AS (SELECT *, sum(o_ref) OVER (PARTITION BY feature) AS tot_ref,
+              sum(o_cur) OVER (PARTITION BY feature) AS tot_cur,
+              count(*) OVER (PARTITION BY feature) AS k FROM cats),
+ex AS (SELECT feature, k, abs(o_ref - tot_ref * (o_ref + o_cur) / (tot_ref + tot_cur)) AS d_ref,
+              tot_ref * (o_ref + o_cur) / (tot_ref + tot_cur) AS e_ref,
+              abs(o_cur - tot_cur * (o_ref + o_cur) / (tot_ref + tot_cur)) AS d_cur,
+              tot_cur * (o_ref + o_cur) / (tot_ref + tot_cur) AS e_cur FROM tt),
+ch AS (SELECT feature, any_value(k) AS k,
+              CASE WHEN any_value(k) = 1 THEN 0.0 ELSE
+              sum(pow(d_ref - least(0.5, d_ref), 2) / e_ref + pow(d_cur - least(0.5, d_cur), 2) / e_cur) END AS stat
+       FROM ex GROUP BY feature),
+chp AS (SELECT feature, stat, CASE WHEN k = 1 THEN 1.0 ELSE {chi2_sf_dof1_sql('stat')} END AS p FROM ch)
+SELECT feature, 'numerical' AS type, 'KS-Statistic' AS metric_name, round(d, 6) AS metric_value,
+       round({ks_sf_sql('d', 'n_ref', 'n_cur')}, 6) AS p_value,
+       {ks_sf_sql('d', 'n_ref', 'n_cur')} < 0.05 AS drift_detected FROM ks
+UNION ALL
+SELECT feature, 'categorical', 'Chi2-Statistic', round(stat, 6), round(p, 6), p < 0.05 FROM chp"""
+
+
+@query("pipeline_drift_snapshots", oracle=_pipeline_drift_sql())
+def pipeline_drift_snapshots(spark, sf_dir):
+    from driftwood.operators import preprocess as E
+    from driftwood.plans.customer360 import C360_CATEGORIES
+    from driftwood.plans.q_preprocess import REGISTRY
+    ref = customer360(spark, sf_dir, cutoff="2000-01-01")
+    cur = customer360(spark, sf_dir, cutoff="2001-01-01")
+    return rounded(D.pipeline_feature_drift(ref, cur, E.layout_from_registry(REGISTRY),
+                                            categories=C360_CATEGORIES))
