@@ -23,6 +23,7 @@ from driftwood.session import shuffle_partitions
 
 _BUCKET = "_dw_bucket"
 MAX_DOMAINS = 4096
+MAX_SPLITS = 4096  # all domains together: keeps the CASE tree codegen-sized
 
 
 def _tree(value: Column, splits: list[float], lo: int, hi: int) -> Column:
@@ -51,7 +52,7 @@ def range_splits(df: DataFrame, order: str, domain: str | None,
     if n_buckets <= 1:
         return {}
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    accuracy = int(max(10000, 20 * n_buckets) if relative_error is None
+    accuracy = int(max(1000, 50 * n_buckets) if relative_error is None
                    else 1.0 / relative_error)
     pa = F.percentile_approx(F.col(order).cast("double"), probs, accuracy).alias("s")
     if domain is None:
@@ -60,7 +61,10 @@ def range_splits(df: DataFrame, order: str, domain: str | None,
     rows = df.groupBy(domain).agg(pa).limit(MAX_DOMAINS + 1).collect()
     if len(rows) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} value domains in {domain!r}")
-    return {r[domain]: list(r["s"] or []) for r in rows}
+    out = {r[domain]: sorted(set(r["s"] or [])) for r in rows}
+    per = max(1, MAX_SPLITS // max(1, len(out)))
+    return {k: (v if len(v) <= per else [v[int(i * len(v) / per)] for i in range(per)])
+            for k, v in out.items()}
 
 
 def _range_bucket(df: DataFrame, order: str, domain: str | None, n: int) -> Column:
@@ -83,7 +87,8 @@ def running_totals(df: DataFrame, by: list[str], order: str,
                    n_buckets: int | None = None,
                    bucket: Column | None = None,
                    tiebreak: list[str] | None = None,
-                   agg: str = "sum", exclusive: bool = False) -> DataFrame:
+                   agg: str = "sum", exclusive: bool = False,
+                   split_source: DataFrame | None = None) -> DataFrame:
     """Add ``cum_<m>`` (inclusive running sum in ascending ``order`` within
     ``by``) and ``total_<m>`` (sum within ``by``) for each measure.
 
@@ -94,13 +99,17 @@ def running_totals(df: DataFrame, by: list[str], order: str,
     hash prefix when ``order`` is a hash).  ``tiebreak`` columns order rows
     sharing an ``order`` value.  ``agg='max'`` gives running maxima;
     ``exclusive`` leaves the current row out (null before the first row).
+    ``split_source`` (a table with the same ``order``/``domain`` columns,
+    typically the raw rows before aggregation) lets the split points come
+    from a scan without the aggregation's shuffle.
     """
     if agg not in ("sum", "max"):
         raise ValueError("agg must be 'sum' or 'max'")
     f = F.sum if agg == "sum" else F.max
     if bucket is None:
         n = n_buckets or max(1, shuffle_partitions(df.sparkSession))
-        bucket = _range_bucket(df, order, domain, n)
+        bucket = _range_bucket(split_source if split_source is not None else df,
+                               order, domain, n)
     b = df.withColumn(_BUCKET, bucket)
 
     keys = list(by) + [_BUCKET]
@@ -144,9 +153,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float],
     target ranks are kept.
     """
     by = list(by or [])
-    counts = (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-              .groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")))
-    cum = running_totals(counts, by, value, ["_n"], domain=domain, n_buckets=n_buckets)
+    valid = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    counts = valid.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    cum = running_totals(counts, by, value, ["_n"], domain=domain, n_buckets=n_buckets,
+                         split_source=valid)
     # target ranks (0-based) for every probability: floor and ceil of (N-1)p
     targets = F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(0).alias("hi"),

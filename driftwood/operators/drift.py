@@ -48,25 +48,50 @@ def ks_statistics(reference: DataFrame, current: DataFrame,
     per_value = long.groupBy("feature", "value").agg(
         F.count_if(F.col("side") == 0).alias("n0"),
         F.count_if(F.col("side") == 1).alias("n1"))
-    cum = running_totals(per_value, ["feature"], "value", ["n0", "n1"], domain="feature")
+    cum = running_totals(per_value, ["feature"], "value", ["n0", "n1"], domain="feature",
+                         split_source=long)
     gap = F.abs(F.col("cum_n0") / F.col("total_n0") - F.col("cum_n1") / F.col("total_n1"))
     return cum.groupBy("feature").agg(
         F.max(gap).alias("ks_stat"),
         F.first("total_n0").alias("n_ref"), F.first("total_n1").alias("n_cur"))
 
 
+EXACT_MAX_N = 10000
+
+
 def ks_test(reference: DataFrame, current: DataFrame, columns: list[str],
-            alpha: float = 0.05) -> DataFrame:
-    """KS rows of the drift report."""
+            alpha: float = 0.05, p_method: str = "asymptotic") -> DataFrame:
+    """KS rows of the drift report.
+
+    p_method: 'asymptotic' (Kolmogorov series, a SQL expression),
+    'exact' (lattice-path probability), or 'auto' (exact when both samples
+    have at most 10,000 rows, as SciPy does).  The exact value is computed
+    from (D, n1, n2) alone, in a pandas UDF over the one-row-per-feature
+    statistics table; its cost is O(n1 n2) per feature, which 'auto'
+    bounds by 1e8."""
+    if p_method not in ("asymptotic", "exact", "auto"):
+        raise ValueError("p_method must be 'asymptotic', 'exact' or 'auto'")
     s = ks_statistics(reference, current, columns)
+    asym = ks_sf("ks_stat", "n_ref", "n_cur")
+    if p_method == "asymptotic":
+        p = asym
+    else:
+        exact = _ks_exact_udf()("ks_stat", "n_ref", "n_cur")
+        p = exact if p_method == "exact" else F.when(
+            F.greatest("n_ref", "n_cur") <= EXACT_MAX_N, exact).otherwise(asym)
     return s.select(
         "feature", F.lit("numerical").alias("type"),
         F.lit("KS-Statistic").alias("metric_name"),
         F.col("ks_stat").alias("metric_value"),
-        ks_sf("ks_stat", "n_ref", "n_cur").alias("p_value")
+        p.alias("p_value")
     ).withColumn("drift_detected", F.col("p_value") < alpha)
 
 
+def _ks_exact_udf():
+    from driftwood.functions.udfs import ks_exact_p
+    return ks_exact_p
+
+
 def aligned_counts(reference: DataFrame, current: DataFrame,
                    columns: list[str]) -> DataFrame:
     """feature, category, n_ref, n_cur over the union of categories of both
@@ -123,12 +148,12 @@ def chi2_test(reference: DataFrame, current: DataFrame, columns: list[str],
 
 def feature_drift_report(reference: DataFrame, current: DataFrame,
                          numeric: list[str], categorical: list[str],
-                         alpha: float = 0.05) -> DataFrame:
+                         alpha: float = 0.05, p_method: str = "asymptotic") -> DataFrame:
     """KS rows for numeric columns, chi-square rows for categorical ones;
     columns absent from either table are skipped."""
     parts = []
     if _present(reference, current, numeric):
-        parts.append(ks_test(reference, current, numeric, alpha))
+        parts.append(ks_test(reference, current, numeric, alpha, p_method))
     if _present(reference, current, categorical):
         parts.append(chi2_test(reference, current, categorical, alpha))
     if not parts:

@@ -110,10 +110,11 @@ def score_counts(df: DataFrame, label: str, score: str, positive=1,
     group when given (e.g. one curve per CV fold)."""
     by = list(by or [])
     y = F.col(label) == positive
-    per = (df.where(F.col(score).isNotNull())
-           .groupBy(*by, F.col(score).cast("double").alias("score"))
+    valid = df.where(F.col(score).isNotNull())
+    per = (valid.groupBy(*by, F.col(score).cast("double").alias("score"))
            .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
-    cum = running_totals(per, by, "score", ["pos", "neg"])
+    cum = running_totals(per, by, "score", ["pos", "neg"],
+                         split_source=valid.select(F.col(score).cast("double").alias("score")))
     # ascending inclusive cums -> counts at or above this score
     return cum.select(
         *by, "score", "pos", "neg",

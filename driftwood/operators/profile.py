@@ -86,11 +86,9 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """
     v = F.col(f"`{column}`").cast("double")
     base = df.select(v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    stats = base.agg(F.min("_v").alias("mn"), F.max("_v").alias("mx"),
-                     F.count(F.lit(1)).alias("n"))
-    mn = stats.select("mn").scalar()
-    mx = stats.select("mx").scalar()
-    n = stats.select("n").scalar()
+    stats = base.agg(F.struct(F.min("_v").alias("mn"), F.max("_v").alias("mx"),
+                              F.count(F.lit(1)).alias("n")).alias("s")).scalar()
+    mn, mx, n = stats["mn"], stats["mx"], stats["n"]
     width = F.when(mx > mn, (mx - mn) / bins).otherwise(F.lit(1.0))
     idx = F.least(F.floor((F.col("_v") - mn) / width), F.lit(bins - 1)).cast("int")
     counts = base.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
@@ -173,12 +171,10 @@ def _average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     per distinct value, and the join is skew-safe under AQE (a repeated
     value is one row on the rank side)."""
     from driftwood.operators.cumulative import running_totals
-    key = "_row"
-    data = df.withColumn(key, F.monotonically_increasing_id())
-    out = data
+    out = df
     for c in columns:
-        counts = data.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        ranks = running_totals(counts, [], c, ["_n"]).select(
+        counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
+        ranks = running_totals(counts, [], c, ["_n"], split_source=df.select(c)).select(
             c, (F.col("cum__n") - (F.col("_n") - 1) / 2.0).alias(f"_r_{c}"))
         out = out.join(ranks, c, "inner")
     return out.select(*[F.col(f"_r_{c}").alias(c) for c in columns])

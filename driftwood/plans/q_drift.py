@@ -49,6 +49,14 @@ def ks_events_value(spark, sf_dir):
     return rounded(D.ks_test(ref, cur, ["value"]))
 
 
+@query("ks_events_value_exact")
+def ks_events_value_exact(spark, sf_dir):
+    """Exact two-sided p-value (both halves have at most 10,000 rows at
+    sf0.01, where SciPy also uses the exact method); no SQL twin."""
+    ref, cur = event_halves(spark, sf_dir)
+    return rounded(D.ks_test(ref, cur, ["value"], p_method="auto"))
+
+
 @query("chi2_events_type", oracle=f"WITH {event_halves_sql()},\n{_chi_sql(4)}\n{_final('chi_rows')}")
 def chi2_events_type(spark, sf_dir):
     ref, cur = event_halves(spark, sf_dir)

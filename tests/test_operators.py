@@ -373,3 +373,35 @@ def test_top1_and_topk_per_group(spark):
     want3 = sorted(pdf.groupby("g").head(3)[["g", "id"]].itertuples(index=False))
     got3 = sorted((r["g"], r["id"]) for r in top_k_per_group(df, ["g"], [("s", "desc")], 3, "id").collect())
     assert got3 == [tuple(x) for x in want3]
+
+
+def _perm_ks_p(a, b):
+    import itertools
+    pool = np.concatenate([a, b])
+    n1 = len(a)
+    grid = np.unique(pool)
+
+    def stat(x, y):
+        return max(abs((x <= g).mean() - (y <= g).mean()) for g in grid)
+
+    d0 = stat(a, b)
+    hits = total = 0
+    for idx in itertools.combinations(range(len(pool)), n1):
+        mask = np.zeros(len(pool), bool)
+        mask[list(idx)] = True
+        total += 1
+        hits += stat(pool[mask], pool[~mask]) >= d0 - 1e-12
+    return d0, hits / total
+
+
+@pytest.mark.parametrize("a,b", [([0.1, 0.5, 0.9, 1.3], [0.2, 1.5, 1.7, 2.0, 2.5]),
+                                 ([1.0, 2.0, 3.0], [1.5, 2.5, 3.5, 4.5, 5.5, 6.5]),
+                                 ([0.0, 1.0, 2.0, 3.0, 4.0], [0.5, 1.5, 2.5, 3.5, 4.5])])
+def test_exact_ks_matches_permutation_enumeration(spark, a, b):
+    from driftwood.functions.stats import ks_exact_sf
+    d, p = _perm_ks_p(np.array(a), np.array(b))
+    assert ks_exact_sf(d, len(a), len(b)) == pytest.approx(p, abs=1e-12)
+    ref = spark.createDataFrame([(x,) for x in a], "x double")
+    cur = spark.createDataFrame([(x,) for x in b], "x double")
+    r = D.ks_test(ref, cur, ["x"], p_method="exact").first()
+    assert r["metric_value"] == pytest.approx(d) and r["p_value"] == pytest.approx(p, abs=1e-12)
