@@ -138,6 +138,21 @@ def register_feature(name: str, kind: str, inputs: tuple[str, ...] | list[str],
     _REGISTRY[name] = FeatureSpec(name, kind, tuple(inputs), build)
 
 
+def unregister_feature(name: str) -> None:
+    """Remove a user feature (the fixed set cannot be removed)."""
+    if name in {f.name for f in _FIXED}:
+        raise ValueError(f"{name!r} is a built-in feature")
+    _REGISTRY.pop(name, None)
+
+
+def fixed_features() -> list[str]:
+    """The 30 built-in features in default order (binary, then continuous,
+    each alphabetical), regardless of user registrations."""
+    b = sorted(f.name for f in _FIXED if f.kind == BINARY)
+    c = sorted(f.name for f in _FIXED if f.kind == CONTINUOUS)
+    return b + c
+
+
 def binary_features() -> list[str]:
     """Binary feature names, alphabetical (feature discovery)."""
     return sorted(n for n, f in _REGISTRY.items() if f.kind == BINARY)

@@ -106,24 +106,25 @@ def box_stats(df: DataFrame, value: str, by: list[str] | None = None,
     """q1, median, q3 (exact, linear interpolation), whiskers = furthest
     points within ``whisker`` * IQR of the box, and outlier count."""
     by = list(by or [])
-    grouped = bool(by)
     v = F.col(f"`{value}`").cast("double")
-    keys = [F.col(f"`{b}`").alias(b) for b in by] if grouped else [F.lit(0).alias("_all")]
-    by = by if grouped else ["_all"]
-    base = df.select(*keys, v.alias("_v")) \
+    base = df.select(*[F.col(f"`{b}`").alias(b) for b in by], v.alias("_v")) \
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     q = exact_quantiles(base, "_v", [0.25, 0.5, 0.75], by=by) \
         .select(*by, F.col("q_0").alias("q1"), F.col("q_1").alias("median"),
                 F.col("q_2").alias("q3"))
+    if by:  # one quartile row per group, joined on the group key
+        joined = base.join(q, by, "inner")
+    else:   # one row: a scalar subquery, not a join
+        s = q.select(F.struct("q1", "median", "q3").alias("s")).scalar()
+        joined = base.select("_v", s["q1"].alias("q1"), s["median"].alias("median"),
+                             s["q3"].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     lo_fence, hi_fence = F.col("q1") - whisker * iqr, F.col("q3") + whisker * iqr
-    # one quartile row per group; joined on the group key
-    out = base.join(q, by, "inner").groupBy(*by, "q1", "median", "q3").agg(
+    return joined.groupBy(*by, "q1", "median", "q3").agg(
         F.min(F.when(F.col("_v") >= lo_fence, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(F.col("_v") <= hi_fence, F.col("_v"))).alias("whisker_high"),
         F.count_if((F.col("_v") < lo_fence) | (F.col("_v") > hi_fence)).alias("outliers"),
         F.count(F.lit(1)).alias("n"))
-    return out if grouped else out.drop("_all")
 
 
 def category_distribution_matrix(df: DataFrame, categorical: list[str],

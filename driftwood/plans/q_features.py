@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftwood.functions.features import add_features, all_features, required_features
+from driftwood.functions.features import add_features, fixed_features, required_features
 from driftwood.operators.profile import rate_by_category
 from driftwood.plans.catalog import query
 from driftwood.plans.common import rounded
@@ -77,11 +77,11 @@ def churn_rate_by_balance_flag(spark, sf_dir):
 # --- all 30 derived features -------------------------------------------------
 
 @query("derived_features", oracle=f"""{C360}
-SELECT CustomerId, {_sql_select(all_features())} FROM customer360""")
+SELECT CustomerId, {_sql_select(fixed_features())} FROM customer360""")
 def derived_features(spark, sf_dir):
     c = customer360(spark, sf_dir)
-    f = add_features(c, None, categories=C360_CATEGORIES)
-    return rounded(f.select("CustomerId", *all_features()))
+    f = add_features(c, fixed_features(), categories=C360_CATEGORIES)
+    return rounded(f.select("CustomerId", *fixed_features()))
 
 
 # --- layout-driven pruning: only features the layout names are computed ---

@@ -294,8 +294,13 @@ def test_feature_null_semantics(spark):
 
 def test_register_feature(spark):
     FE.register_feature("Age_cubed", FE.CONTINUOUS, ["Age"], lambda a: F.pow(F.col(a), 3))
-    df = spark.createDataFrame([(2,)], "Age int")
-    assert FE.add_features(df, ["Age_cubed"]).first()["Age_cubed"] == 8.0
+    try:
+        df = spark.createDataFrame([(2,)], "Age int")
+        assert FE.add_features(df, ["Age_cubed"]).first()["Age_cubed"] == 8.0
+        assert "Age_cubed" in FE.all_features() and "Age_cubed" not in FE.fixed_features()
+    finally:
+        FE.unregister_feature("Age_cubed")
+    assert "Age_cubed" not in FE.all_features()
 
 
 # --- runs, search, top-k --------------------------------------------------------
