@@ -24,6 +24,7 @@ from driftwood.session import shuffle_partitions
 _BUCKET = "_dw_bucket"
 MAX_DOMAINS = 4096
 MAX_SPLITS = 4096  # all domains together: keeps the CASE tree codegen-sized
+BROADCAST_ROWS = 1_000_000  # largest bucket-offset table joined by broadcast
 
 
 def _tree(value: Column, splits: list[float], lo: int, hi: int) -> Column:
@@ -43,43 +44,58 @@ def bucket_column(value: Column, splits: list[float]) -> Column:
 
 
 def range_splits(df: DataFrame, order: str, domain: str | None,
-                 n_buckets: int, relative_error: float | None = None) -> dict:
-    """Approximate quantile split points of ``order`` per domain value.
-
-    One aggregation; the result has at most ``domains x n_buckets`` numbers
-    and the number of domains is checked against ``MAX_DOMAINS``.
+                 n_buckets: int, relative_error: float | None = None,
+                 count_groups: list[str] | None = None) -> tuple[dict, int]:
+    """Approximate quantile split points of ``order`` per domain value, and
+    (when ``count_groups`` is given) an estimate of the number of distinct
+    groups, from the same aggregation.
+
+    The result has at most ``domains x n_buckets`` numbers and the number
+    of domains is checked against ``MAX_DOMAINS``.
     """
-    if n_buckets <= 1:
-        return {}
-    probs = [i / n_buckets for i in range(1, n_buckets)]
+    probs = [i / n_buckets for i in range(1, n_buckets)] if n_buckets > 1 else [0.5]
     accuracy = int(max(1000, 50 * n_buckets) if relative_error is None
                    else 1.0 / relative_error)
-    pa = F.percentile_approx(F.col(order).cast("double"), probs, accuracy).alias("s")
+    aggs = [F.percentile_approx(F.col(order).cast("double"), probs, accuracy).alias("_dw_s")]
+    if count_groups:
+        aggs.append(F.approx_count_distinct(F.struct(*[F.col(c) for c in count_groups]))
+                    .alias("_dw_g"))
+    else:
+        aggs.append(F.lit(1).alias("_dw_g"))
     if domain is None:
-        row = df.agg(pa).first()
-        return {None: list(row["s"] or [])}
-    rows = df.groupBy(domain).agg(pa).limit(MAX_DOMAINS + 1).collect()
-    if len(rows) > MAX_DOMAINS:
-        raise ValueError(f"more than {MAX_DOMAINS} value domains in {domain!r}")
-    out = {r[domain]: sorted(set(r["s"] or [])) for r in rows}
+        row = df.agg(*aggs).first()
+        out, groups = {None: sorted(set(row["_dw_s"] or []))}, int(row["_dw_g"] or 1)
+    else:
+        rows = df.groupBy(domain).agg(*aggs).limit(MAX_DOMAINS + 1).collect()
+        if len(rows) > MAX_DOMAINS:
+            raise ValueError(f"more than {MAX_DOMAINS} value domains in {domain!r}")
+        out = {r[domain]: sorted(set(r["_dw_s"] or [])) for r in rows}
+        groups = sum(int(r["_dw_g"] or 1) for r in rows)
+    if n_buckets <= 1:
+        out = {k: [] for k in out}
     per = max(1, MAX_SPLITS // max(1, len(out)))
-    return {k: (v if len(v) <= per else [v[int(i * len(v) / per)] for i in range(per)])
-            for k, v in out.items()}
+    out = {k: (v if len(v) <= per else [v[int(i * len(v) / per)] for i in range(per)])
+           for k, v in out.items()}
+    return out, max(1, groups)
 
 
-def _range_bucket(df: DataFrame, order: str, domain: str | None, n: int) -> Column:
-    splits = range_splits(df, order, domain, n)
+def _range_bucket(df: DataFrame, order: str, domain: str | None, n: int,
+                  count_groups: list[str] | None) -> tuple[Column, int]:
+    """Bucket expression and an upper bound of the number of
+    (group, bucket) pairs it produces."""
+    splits, groups = range_splits(df, order, domain, n, count_groups=count_groups)
     val = F.col(order).cast("double")
-    if not splits:
-        return F.lit(0)
+    buckets = sum(len(v) + 1 for v in splits.values())
+    if not any(splits.values()):
+        return F.lit(0), groups * max(1, len(splits))
     if domain is None:
-        return bucket_column(val, splits[None])
+        return bucket_column(val, splits[None]), groups * buckets
     bucket = None
     for key, s in splits.items():
         cond = F.col(domain).eqNullSafe(F.lit(key))
         bucket = F.when(cond, bucket_column(val, s)) if bucket is None \
             else bucket.when(cond, bucket_column(val, s))
-    return bucket.otherwise(F.lit(0))
+    return bucket.otherwise(F.lit(0)), groups * buckets
 
 
 def running_totals(df: DataFrame, by: list[str], order: str,
@@ -106,10 +122,16 @@ def running_totals(df: DataFrame, by: list[str], order: str,
     if agg not in ("sum", "max"):
         raise ValueError("agg must be 'sum' or 'max'")
     f = F.sum if agg == "sum" else F.max
+    n = n_buckets or max(1, shuffle_partitions(df.sparkSession))
+    offset_rows = None  # unknown for a caller-supplied bucket
     if bucket is None:
-        n = n_buckets or max(1, shuffle_partitions(df.sparkSession))
-        bucket = _range_bucket(split_source if split_source is not None else df,
-                               order, domain, n)
+        src = split_source if split_source is not None else df
+        extra = [c for c in by if c != domain and c in src.columns]
+        if [c for c in by if c != domain and c not in src.columns]:
+            extra = None  # groups not visible in the split source: bound unknown
+        bucket, offset_rows = _range_bucket(src, order, domain, n, extra or None)
+        if extra is None:
+            offset_rows = None
     b = df.withColumn(_BUCKET, bucket)
 
     keys = list(by) + [_BUCKET]
@@ -127,7 +149,11 @@ def running_totals(df: DataFrame, by: list[str], order: str,
     within = Window.partitionBy(*keys).orderBy(*order_cols) \
         .rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
     ranked = b.select("*", *[f(m).over(within).alias(f"_in_{m}") for m in measures])
-    out = ranked.join(F.broadcast(offsets), on=keys, how="inner")
+    # offsets has one row per (group, bucket).  Broadcast it only when that
+    # count is known to be small; otherwise a plain equi-join, which
+    # Catalyst / AQE size-check themselves
+    small = offset_rows is not None and offset_rows <= BROADCAST_ROWS
+    out = ranked.join(F.broadcast(offsets) if small else offsets, on=keys, how="inner")
 
     def combine(m):
         inner, off = F.col(f"_in_{m}"), F.col(f"_off_{m}")

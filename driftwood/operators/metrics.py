@@ -47,7 +47,7 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str,
         .withColumn("actual", F.col("actual").cast(df.schema[label].dataType))
     full = grid.select("actual", F.inline(F.array(*[
         F.struct(F.lit(c).alias("predicted")) for c in classes])))
-    return (full.join(F.broadcast(present), ["actual", "predicted"], "left")
+    return (full.join(present, ["actual", "predicted"], "left")
             .select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n")))
 
 

@@ -195,8 +195,8 @@ def gaussian_kde(df: DataFrame, column: str, grid_points: int = 200,
     group = F.col(f"`{by}`").cast("string") if by else F.lit("all")
     base = (df.select(group.alias("group"), v.alias("_v"))
             .where(F.col("group").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v")))
-    # one row per group (bounded by the number of classes); the grid spans
-    # the range of all groups, taken by a window over that small table
+    # one row per group; the grid spans the range of all groups, taken by a
+    # window over that table (one row per class of ``by``)
     stats = base.groupBy("group").agg(F.count(F.lit(1)).alias("n"),
                                       F.stddev_samp("_v").alias("sd"),
                                       F.min("_v").alias("gmin"), F.max("_v").alias("gmax"))
@@ -208,7 +208,7 @@ def gaussian_kde(df: DataFrame, column: str, grid_points: int = 200,
         ((F.max("gmax").over(everything) - F.min("gmin").over(everything))
          / F.lit(max(grid_points - 1, 1))).alias("step"))
     distinct = base.groupBy("group", "_v").agg(F.count(F.lit(1)).alias("_w"))
-    with_p = distinct.join(F.broadcast(params), "group")
+    with_p = distinct.join(params, "group")  # size-checked by Catalyst / AQE
     grid = F.sequence(F.lit(0), F.lit(grid_points - 1))
     contrib = with_p.select(
         "group", "n", "h", "mn", "step",

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from driftwood.session import shuffle_partitions
 
-MAX_CLASSES = 10000
+BROADCAST_ROWS = 1_000_000  # largest (class, bucket) table joined by broadcast
 
 
 def _hash(key: str, seed: int) -> Column:
@@ -43,6 +43,14 @@ def _class(label: str) -> Column:
     return F.coalesce(F.col(f"`{label}`").cast("string"), F.lit("\u0000null"))
 
 
+def _bounded(df: DataFrame, label: str, bits: int, small: DataFrame) -> DataFrame:
+    """The (class, bucket) table, broadcast only when classes x 2^bits is
+    within ``BROADCAST_ROWS`` (class count from one single-column scan);
+    otherwise left to a regular join."""
+    classes = df.agg(F.approx_count_distinct(F.col(f"`{label}`"))).first()[0] or 1
+    return F.broadcast(small) if (classes + 1) * (1 << bits) <= BROADCAST_ROWS else small
+
+
 def _round_half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5))
 
@@ -85,8 +93,7 @@ def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2
     h = _hash(key, seed)
     rows = df.withColumn("_h", h).withColumn("_b", _bucket(F.col("_h"), bits)) \
         .withColumn("_y", _class(label))
-    # bounded: classes x 2^bits rows
-    tagged = rows.join(F.broadcast(cuts), ["_y", "_b"], "inner")
+    tagged = rows.join(_bounded(df, label, bits, cuts), ["_y", "_b"], "inner")
 
     def name(rank: Column) -> Column:
         return (F.when(rank < F.col("_t"), "test")
@@ -111,7 +118,8 @@ def stratified_ranks(df: DataFrame, label: str, key: str, seed: int = 42,
         .withColumn("_y", _class(label))
     order = Window.partitionBy("_y", "_b").orderBy("_h", f"`{key}`")
     ranked = rows.withColumn("_r", F.row_number().over(order) - 1)
-    out = ranked.join(F.broadcast(table.select("_y", "_b", "_before", "_ny")), ["_y", "_b"], "left")
+    offsets = table.select("_y", "_b", "_before", "_ny")
+    out = ranked.join(_bounded(df, label, bits, offsets), ["_y", "_b"], "left")
     return out.withColumn("_rank", F.col("_before") + F.col("_r")) \
         .withColumnRenamed("_ny", "_class_n") \
         .drop("_y", "_b", "_h", "_r", "_before")
