@@ -17,7 +17,11 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass
 
+import json
+
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
                                        LogisticRegression, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
@@ -33,18 +37,32 @@ from driftwood.operators.splits import stratified_folds
 FEATURES = "features"
 
 
-class FeatureEngineer(Transformer):
+class _JsonParams(Params):
+    """Stage settings kept as one JSON string param, so the stage saves and
+    loads with Spark ML's default params persistence."""
+
+    config = Param(Params._dummy(), "config", "stage settings as JSON",
+                   typeConverter=TypeConverters.toString)
+
+    def _set_config(self, value: dict) -> None:
+        self._set(config=json.dumps(value))
+
+    def _config(self) -> dict:
+        return json.loads(self.getOrDefault(self.config)) if self.isDefined(self.config) else {}
+
+
+class FeatureEngineer(Transformer, _JsonParams, DefaultParamsReadable, DefaultParamsWritable):
     """Adds the derived features a layout needs (stateless)."""
 
     def __init__(self, selected: list[str] | None = None, categories: dict | None = None,
                  columns: dict | None = None):
         super().__init__()
-        self.selected = selected
-        self.categories = categories
-        self.columns = columns
+        self._set_config({"selected": selected, "categories": categories, "columns": columns})
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return add_features(df, self.selected, columns=self.columns, categories=self.categories)
+        c = self._config()
+        return add_features(df, c.get("selected"), columns=c.get("columns"),
+                            categories=c.get("categories"))
 
 
 class RoutedPreprocessor(Estimator):
@@ -56,10 +74,15 @@ class RoutedPreprocessor(Estimator):
         return RoutedPreprocessorModel(E.fit(df, self.layout, self.scaler, self.drop_first))
 
 
-class RoutedPreprocessorModel(Model):
-    def __init__(self, fitted: E.FittedPreprocessor):
+class RoutedPreprocessorModel(Model, _JsonParams, DefaultParamsReadable, DefaultParamsWritable):
+    def __init__(self, fitted: E.FittedPreprocessor | None = None):
         super().__init__()
-        self.fitted = fitted
+        if fitted is not None:
+            self._set_config(E.to_config(fitted))
+
+    @property
+    def fitted(self) -> E.FittedPreprocessor:
+        return E.from_config(self._config())
 
     def _transform(self, df: DataFrame) -> DataFrame:
         # routed columns are appended; other columns (key, label) stay
@@ -117,7 +140,7 @@ def build_pipeline(layout: E.Layout, model, categories: dict | None = None,
                             _LazyAssembler(), model])
 
 
-class _LazyAssembler(Transformer):
+class _LazyAssembler(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """VectorAssembler over the routed output columns present at transform
     time (their names are known only after the preprocessor is fitted)."""
 
@@ -128,6 +151,16 @@ class _LazyAssembler(Transformer):
             .transform(df)
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    """Persist a fitted pipeline (shared storage; Python stages keep their
+    settings as JSON params)."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def probability(df: DataFrame, output: str = "churn_probability") -> DataFrame:
     return df.withColumn(output, vector_to_array("probability")[1])
 

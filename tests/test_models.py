@@ -84,3 +84,14 @@ def test_sequential_selection_backward(spark, data):
                                  k_features=2, forward=False, folds=2).collect()
     assert [r["n_features"] for r in res] == [2]
     assert len(res[0]["features"]) == 2
+
+
+def test_pipeline_save_and_load(spark, data, tmp_path):
+    model = L.build_pipeline(LAYOUT, L.boosted_trees(label="label", n_estimators=4, max_depth=2)).fit(data)
+    path = str(tmp_path / "model")
+    L.save_model(model, path)
+    again = L.load_model(path)
+    a = sorted(L.batch_predict(model, data, "id").collect())
+    b = sorted(L.batch_predict(again, data, "id").collect())
+    assert a == b
+    assert L._assembled_names(again) == L._assembled_names(model)
