@@ -15,7 +15,7 @@ from driftwood.plans.customer360 import C360_CATEGORIES, customer360
 from driftwood.plans.q_preprocess import REGISTRY
 
 LABEL, KEY = "Exited", "CustomerId"
-GBT = dict(n_estimators=20, max_depth=4, learning_rate=0.1, subsample=0.97, colsample=1.0)
+GBT = dict(n_estimators=10, max_depth=3, learning_rate=0.1, subsample=0.97, colsample=1.0)
 _CACHE: dict = {}
 
 
@@ -48,7 +48,7 @@ def baseline_zoo(spark, sf_dir):
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
     out = None
     for kind in ("logistic_regression", "decision_tree", "random_forest", "boosted_trees"):
-        params = GBT if kind == "boosted_trees" else {"n_estimators": 30}
+        params = GBT if kind == "boosted_trees" else {"n_estimators": 20}
         model = L.build_pipeline(_layout(), L.classifier(kind, label=LABEL, **params),
                                  C360_CATEGORIES).fit(train)
         row = L.evaluate_model(model, test, LABEL).select(F.lit(kind).alias("model"), "*")
