@@ -49,15 +49,51 @@ def ks_sf_sql(d: str, n1: str, n2: str) -> str:
             f"ELSE least(1.0, greatest(0.0, 2.0*({terms}))) END)")
 
 
+def ks_lambda(d: str, n1: str, n2: str) -> Column:
+    """lambda = sqrt(n1 n2 / (n1 + n2)) D, to be projected as its own column
+    before ``ks_sf_from_lambda`` (keeps the series' expression small)."""
+    return F.sqrt(F.col(n1) * F.col(n2) / (F.col(n1) + F.col(n2))) * F.col(d)
+
+
+def ks_sf_from_lambda(lam: str, d: str, n1: str, n2: str) -> Column:
+    """The asymptotic series on an already projected lambda column."""
+    L = F.col(lam)
+    series = None
+    for k in range(1, _KS_TERMS + 1):
+        term = F.exp(-2.0 * k * k * L * L)
+        series = term if series is None else (series - term if k % 2 == 0 else series + term)
+    return (F.when(F.col(d).isNull() | (F.col(n1) == 0) | (F.col(n2) == 0), F.lit(None).cast("double"))
+            .when(L < 0.2, F.lit(1.0))
+            .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2.0 * series))))
+
+
 def ks_sf(d: str, n1: str, n2: str) -> Column:
-    """Asymptotic KS p-value from the named statistic and sample-size columns."""
+    """Asymptotic KS p-value from the named statistic and sample-size columns
+    (single expression; for many rows prefer ks_lambda + ks_sf_from_lambda)."""
     return F.expr(ks_sf_sql(f"`{d}`", f"`{n1}`", f"`{n2}`"))
 
 
+def chi2_prepare(x: str, dof: str) -> list[Column]:
+    """Columns the chi-square tail needs, projected once: y = x/2, z =
+    sqrt(y), zz = y, ln y."""
+    y = F.col(x) / 2.0
+    return [y.alias("_c2_y"), F.sqrt(y).alias("_c2_z"), F.log(y).alias("_c2_lny")]
+
+
+def chi2_sf_prepared(x: str, dof: str) -> Column:
+    """P(X > x), X ~ chi-square(dof), on columns from ``chi2_prepare``."""
+    return _chi2_sf(F.col(x), F.col(dof), F.col("_c2_y"), F.col("_c2_z"), F.col("_c2_lny"))
+
+
 def chi2_sf(x: Column, dof: Column) -> Column:
-    """P(X > x) for X ~ chi-square(dof), integer dof >= 1; dof 0 gives 1."""
+    """P(X > x) for X ~ chi-square(dof), integer dof >= 1; dof 0 gives 1.
+    Single expression (the inner values are repeated inside it); for many
+    rows prefer chi2_prepare + chi2_sf_prepared."""
     y = x / 2.0
-    ln_y = F.log(y)
+    return _chi2_sf(x, dof, y, F.sqrt(y), F.log(y))
+
+
+def _chi2_sf(x: Column, dof: Column, y: Column, z: Column, ln_y: Column) -> Column:
     m_even = F.floor(dof / 2).cast("int")        # terms i = 0 .. m-1
     m_odd = F.floor((dof - 1) / 2).cast("int")   # terms i = 1 .. m
 
@@ -74,7 +110,7 @@ def chi2_sf(x: Column, dof: Column) -> Column:
 
     even = _sum(m_even, F.lit(0.0), lambda i: i.cast("double"))
     # l_1 = 0.5 ln y - ln Gamma(1.5); next denominators i + 0.5 for i >= 1
-    odd = _erfc_col(F.sqrt(y)) + _sum(m_odd, 0.5 * ln_y - F.log(F.lit(0.886226925452758)),
+    odd = _erfc_col(z) + _sum(m_odd, 0.5 * ln_y - F.log(F.lit(0.886226925452758)),
                               lambda i: i.cast("double") + 0.5)
     res = F.when(dof % 2 == 0, even).otherwise(odd)
     return (F.when(x.isNull() | dof.isNull(), F.lit(None).cast("double"))

@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwood.functions.stats import chi2_sf, ks_sf
+from driftwood.functions.stats import (chi2_prepare, chi2_sf_prepared, ks_lambda,
+                                      ks_sf_from_lambda)
 from driftwood.operators.cumulative import running_totals
 
 REPORT_COLUMNS = ["feature", "type", "metric_name", "metric_value", "p_value",
@@ -72,7 +73,9 @@ def ks_test(reference: DataFrame, current: DataFrame, columns: list[str],
     if p_method not in ("asymptotic", "exact", "auto"):
         raise ValueError("p_method must be 'asymptotic', 'exact' or 'auto'")
     s = ks_statistics(reference, current, columns)
-    asym = ks_sf("ks_stat", "n_ref", "n_cur")
+    # lambda projected first: the series then refers to a plain column
+    s = s.select("*", ks_lambda("ks_stat", "n_ref", "n_cur").alias("_lam"))
+    asym = ks_sf_from_lambda("_lam", "ks_stat", "n_ref", "n_cur")
     if p_method == "asymptotic":
         p = asym
     else:
@@ -131,8 +134,11 @@ def chi2_from_counts(counts: DataFrame, by: list[str], smoothing: float = 1.0,
                              F.first("n_cat").alias("n_cat"))
     dof = F.col("n_cat") - 1
     stat = F.when(dof <= 0, F.lit(0.0)).otherwise(F.col("stat"))
-    return per.select(*by, stat.alias("chi2_stat"), dof.cast("int").alias("dof"),
-                      chi2_sf(stat, dof).alias("p_value"))
+    out = per.select(*by, stat.alias("chi2_stat"), dof.cast("int").alias("dof"))
+    # inner values projected once so the tail formula refers to plain columns
+    out = out.select("*", *chi2_prepare("chi2_stat", "dof"))
+    return out.select(*by, "chi2_stat", "dof",
+                      chi2_sf_prepared("chi2_stat", "dof").alias("p_value"))
 
 
 def chi2_test(reference: DataFrame, current: DataFrame, columns: list[str],
@@ -214,25 +220,45 @@ def target_drift(reference: DataFrame, current: DataFrame, target: str,
 
 def pipeline_feature_drift(reference: DataFrame, current: DataFrame, layout,
                            categories: dict | None = None, scaler: str = "standard",
-                           alpha: float = 0.05, dtype: str = "float") -> DataFrame:
+                           alpha: float = 0.05, dtype: str = "float",
+                           p_method: str = "asymptotic", materialize: bool = True) -> DataFrame:
     """Drift of the model's inputs: both tables get the derived features and
     the preprocessing fitted on the reference (float32 like the model
     input); one-hot outputs are tested as categorical, scaled outputs as
     numerical, passthrough outputs routed by their cardinality in the
-    reference; then the KS / chi-square report."""
+    reference; then the KS / chi-square report.
+
+    With ``materialize`` the engineered inputs are persisted (memory and
+    disk; lost blocks are recomputed from lineage) for the fit, routing and
+    test jobs, the report (one row per output column) is computed once and
+    the inputs are released."""
+    from pyspark import StorageLevel
+
     from driftwood.functions.features import add_features, required_features
     from driftwood.operators import preprocess as E
 
     need = required_features(layout.columns)
     ref_f = add_features(reference, need, categories=categories)
     cur_f = add_features(current, need, categories=categories)
-    fitted = E.fit(ref_f, layout, scaler)
-    ref_t, cur_t = fitted.transform(ref_f, dtype=dtype), fitted.transform(cur_f, dtype=dtype)
-    names = fitted.output_names()
-    cat = [c for c in names if c.startswith("cat__")]
-    num = [c for c in names if c.startswith("num__")]
-    passthrough = [c for c in names if c.startswith("pass__")]
-    if passthrough:
-        for r in route_passthrough(ref_t, passthrough).collect():  # one row per column
-            (cat if r["kind"] == "categorical" else num).append(r["feature"])
-    return feature_drift_report(ref_t, cur_t, num, cat, alpha)
+    if materialize:
+        ref_f = ref_f.persist(StorageLevel.MEMORY_AND_DISK)
+        cur_f = cur_f.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = E.fit(ref_f, layout, scaler)
+        ref_t, cur_t = fitted.transform(ref_f, dtype=dtype), fitted.transform(cur_f, dtype=dtype)
+        names = fitted.output_names()
+        cat = [c for c in names if c.startswith("cat__")]
+        num = [c for c in names if c.startswith("num__")]
+        passthrough = [c for c in names if c.startswith("pass__")]
+        if passthrough:
+            for r in route_passthrough(ref_t, passthrough).collect():  # one row per column
+                (cat if r["kind"] == "categorical" else num).append(r["feature"])
+        report = feature_drift_report(ref_t, cur_t, num, cat, alpha, p_method)
+        if not materialize:
+            return report
+        rows = report.collect()  # one row per output column
+        return reference.sparkSession.createDataFrame(rows, report.schema)
+    finally:
+        if materialize:
+            ref_f.unpersist()
+            cur_f.unpersist()
