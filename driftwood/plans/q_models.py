@@ -19,10 +19,15 @@ GBT = dict(n_estimators=10, max_depth=3, learning_rate=0.1, subsample=0.97, cols
 _CACHE: dict = {}
 
 
+def _key(spark, what: str, sf_dir: str) -> tuple:
+    """Memo key: a new Spark application never sees another one's objects."""
+    return (spark.sparkContext.applicationId, what, sf_dir)
+
+
 def _data(spark, sf_dir):
     """customer360 with a stratified split column, cached: every model
     query fits several times on it."""
-    key = ("data", sf_dir)
+    key = _key(spark, "data", sf_dir)
     if key not in _CACHE:
         c = customer360(spark, sf_dir).withColumn(LABEL, F.col(LABEL).cast("double"))
         _CACHE[key] = stratified_split(c, LABEL, KEY, test_size=0.2, seed=43).cache()
@@ -35,11 +40,12 @@ def _layout():
 
 def _fitted(spark, sf_dir):
     """Boosted-tree pipeline fitted on the train split (memoised per folder)."""
-    if sf_dir not in _CACHE:
+    key = _key(spark, "model", sf_dir)
+    if key not in _CACHE:
         data = _data(spark, sf_dir)
         pipe = L.build_pipeline(_layout(), L.boosted_trees(label=LABEL, **GBT), C360_CATEGORIES)
-        _CACHE[sf_dir] = pipe.fit(data.where(F.col("split") == "train"))
-    return _CACHE[sf_dir]
+        _CACHE[key] = pipe.fit(data.where(F.col("split") == "train"))
+    return _CACHE[key]
 
 
 @query("baseline_zoo")

@@ -410,3 +410,15 @@ def test_exact_ks_matches_permutation_enumeration(spark, a, b):
     cur = spark.createDataFrame([(x,) for x in b], "x double")
     r = D.ks_test(ref, cur, ["x"], p_method="exact").first()
     assert r["metric_value"] == pytest.approx(d) and r["p_value"] == pytest.approx(p, abs=1e-12)
+
+
+def test_split_counts_reproduce_reference_label_files(spark):
+    # 10,000 rows, 2,038 positives: the reference's committed label files hold
+    # 6,400 / 1,304 positives, 2,000 / 408 and 1,600 / 326 (its file names
+    # for the last two are swapped relative to its own split code)
+    rows = [(i, 1 if i < 2038 else 0) for i in range(10000)]
+    df = spark.createDataFrame(rows, "k long, y int")
+    s = K.stratified_split(df, "y", "k", test_size=0.2, val_size=0.2, seed=43)
+    got = {r["split"]: (r["n"], r["pos"]) for r in
+           s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).collect()}
+    assert got == {"train": (6400, 1304), "test": (2000, 408), "val": (1600, 326)}
