@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from driftwood.functions.features import add_features, fixed_features, required_features
 from driftwood.operators.profile import rate_by_category

@@ -95,3 +95,15 @@ def test_pipeline_save_and_load(spark, data, tmp_path):
     b = sorted(L.batch_predict(again, data, "id").collect())
     assert a == b
     assert L._assembled_names(again) == L._assembled_names(model)
+
+
+def test_table_treeshap_equals_recursion(spark, data):
+    model = L.build_pipeline(LAYOUT, L.boosted_trees(label="label", n_estimators=6, max_depth=4)).fit(data)
+    scored = model.transform(data)
+    names = L._assembled_names(model)
+    a = X.shap_values(model.stages[-1], scored, "id", names, method="tables")
+    b = X.shap_values(model.stages[-1], scored, "id", names, method="recursive")
+    j = a.join(b.withColumnRenamed("shap", "shap_r").select("id", "feature", "shap_r"), ["id", "feature"])
+    rows = j.select("shap", "shap_r").collect()
+    assert len(rows) == 400 * len(names)
+    assert max(abs(r["shap"] - r["shap_r"]) for r in rows) < 1e-9
