@@ -118,9 +118,9 @@ def li_stratified_split(spark, sf_dir):
 s AS (SELECT {", ".join(f"avg({c}) AS a_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS b_{c}" for c in LI_NUMERIC)}
       FROM lineitem),
 t AS (SELECT l_returnflag AS grp,
-             CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END AS "cat__l_returnflag_N",
-             CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS "cat__l_returnflag_R",
-             CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END AS "cat__l_linestatus_O",
+             CAST(CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS "cat__l_returnflag_N",
+             CAST(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS "cat__l_returnflag_R",
+             CAST(CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS "cat__l_linestatus_O",
              {", ".join(f"({c} - a_{c}) / b_{c} AS num__{c}" for c in LI_NUMERIC)},
              CAST(l_linenumber AS DOUBLE) AS pass__l_linenumber
       FROM lineitem, s)

@@ -17,7 +17,7 @@ SCALED = ["Age", "Balance", "CreditScore", "EstimatedSalary"]
 
 
 def _onehot_sql(col: str, values: list[str]) -> list[str]:
-    return [f"CASE WHEN \"{col}\" = '{v}' THEN 1.0 ELSE 0.0 END AS \"cat__{col}_{v}\""
+    return [f"CAST(CASE WHEN \"{col}\" = '{v}' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS \"cat__{col}_{v}\""
             for v in values]
 
 
