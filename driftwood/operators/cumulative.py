@@ -73,29 +73,44 @@ def range_splits(df: DataFrame, order: str, domain: str | None,
         groups = sum(int(r["_dw_g"] or 1) for r in rows)
     if n_buckets <= 1:
         out = {k: [] for k in out}
-    per = max(1, MAX_SPLITS // max(1, len(out)))
-    out = {k: (v if len(v) <= per else [v[int(i * len(v) / per)] for i in range(per)])
-           for k, v in out.items()}
+    if domain is not None:  # the per-domain CASE tree stays codegen-sized
+        per = max(1, MAX_SPLITS // max(1, len(out)))
+        out = {k: (v if len(v) <= per else [v[int(i * len(v) / per)] for i in range(per)])
+               for k, v in out.items()}
     return out, max(1, groups)
 
 
 def _range_bucket(df: DataFrame, order: str, domain: str | None, n: int,
-                  count_groups: list[str] | None) -> tuple[Column, int]:
-    """Bucket expression and an upper bound of the number of
-    (group, bucket) pairs it produces."""
+                  count_groups: list[str] | None):
+    """(bucketing function df -> df with the bucket column, upper bound of
+    the number of (group, bucket) pairs).  One value domain with more than
+    ``MAX_SPLITS`` split points uses ML's ``Bucketizer`` (JVM binary search
+    over any number of splits); otherwise a nested CASE binary search."""
     splits, groups = range_splits(df, order, domain, n, count_groups=count_groups)
     val = F.col(order).cast("double")
     buckets = sum(len(v) + 1 for v in splits.values())
     if not any(splits.values()):
-        return F.lit(0), groups * max(1, len(splits))
+        return (lambda d: d.withColumn(_BUCKET, F.lit(0))), groups * max(1, len(splits))
+    if domain is None and len(splits[None]) > MAX_SPLITS:
+        from pyspark.ml.feature import Bucketizer
+        edges = [float("-inf")] + splits[None] + [float("inf")]
+        tmp = "_dw_order_value"
+
+        def apply(d: DataFrame) -> DataFrame:
+            b = Bucketizer(splits=edges, inputCol=tmp, outputCol=_BUCKET, handleInvalid="keep")
+            return b.transform(d.withColumn(tmp, val)) \
+                .withColumn(_BUCKET, F.col(_BUCKET).cast("int")).drop(tmp)
+        return apply, groups * buckets
     if domain is None:
-        return bucket_column(val, splits[None]), groups * buckets
-    bucket = None
-    for key, s in splits.items():
-        cond = F.col(domain).eqNullSafe(F.lit(key))
-        bucket = F.when(cond, bucket_column(val, s)) if bucket is None \
-            else bucket.when(cond, bucket_column(val, s))
-    return bucket.otherwise(F.lit(0)), groups * buckets
+        expr = bucket_column(val, splits[None])
+    else:
+        expr = None
+        for key, s in splits.items():
+            cond = F.col(domain).eqNullSafe(F.lit(key))
+            expr = F.when(cond, bucket_column(val, s)) if expr is None \
+                else expr.when(cond, bucket_column(val, s))
+        expr = expr.otherwise(F.lit(0))
+    return (lambda d: d.withColumn(_BUCKET, expr)), groups * buckets
 
 
 def running_totals(df: DataFrame, by: list[str], order: str,
@@ -129,10 +144,13 @@ def running_totals(df: DataFrame, by: list[str], order: str,
         extra = [c for c in by if c != domain and c in src.columns]
         if [c for c in by if c != domain and c not in src.columns]:
             extra = None  # groups not visible in the split source: bound unknown
-        bucket, offset_rows = _range_bucket(src, order, domain, n, extra or None)
+        add_bucket, offset_rows = _range_bucket(src, order, domain, n, extra or None)
         if extra is None:
             offset_rows = None
-    b = df.withColumn(_BUCKET, bucket)
+    else:
+        def add_bucket(d, _b=bucket):
+            return d.withColumn(_BUCKET, _b)
+    b = add_bucket(df)
 
     keys = list(by) + [_BUCKET]
     tot = b.groupBy(*keys).agg(*[f(m).alias(f"_bt_{m}") for m in measures])

@@ -422,3 +422,17 @@ def test_split_counts_reproduce_reference_label_files(spark):
     got = {r["split"]: (r["n"], r["pos"]) for r in
            s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).collect()}
     assert got == {"train": (6400, 1304), "test": (2000, 408), "val": (1600, 326)}
+
+
+def test_running_totals_with_many_buckets_uses_bucketizer(spark, monkeypatch):
+    from driftwood.operators import cumulative as C
+    monkeypatch.setattr(C, "MAX_SPLITS", 4)
+    rnd = np.random.default_rng(7)
+    vals = np.concatenate([np.full(300, 0.5), rnd.random(700)])
+    df = spark.createDataFrame(pd.DataFrame({"v": vals}))
+    got = exact_quantiles(df, "v", [0.1, 0.5, 0.9], n_buckets=32).first()
+    for i, p in enumerate([0.1, 0.5, 0.9]):
+        assert got[f"q_{i}"] == pytest.approx(np.quantile(vals, p), abs=1e-12)
+    r = M.ranking_metrics(spark.createDataFrame(pd.DataFrame({"y": (vals > 0.6).astype(int), "s": vals})),
+                          "y", "s").first()
+    assert r["roc_auc"] == pytest.approx(1.0)
