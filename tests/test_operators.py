@@ -436,3 +436,19 @@ def test_running_totals_with_many_buckets_uses_bucketizer(spark, monkeypatch):
     r = M.ranking_metrics(spark.createDataFrame(pd.DataFrame({"y": (vals > 0.6).astype(int), "s": vals})),
                           "y", "s").first()
     assert r["roc_auc"] == pytest.approx(1.0)
+
+
+def test_robust_scaler_approx_close_to_exact(spark):
+    df = spark.createDataFrame([(float(i * i % 97),) for i in range(500)], "x double")
+    exact = E.fit_scaler(df, ["x"], "robust")
+    approx = E.fit_scaler(df, ["x"], "robust", approx=True)
+    assert approx[0]["x"] == pytest.approx(exact[0]["x"], abs=2.0)
+    assert approx[1]["x"] == pytest.approx(exact[1]["x"], abs=4.0)
+
+
+def test_pivot_strict_rejects_duplicates(spark):
+    from driftwood.operators.profile import pivot_scores
+    df = spark.createDataFrame([(1, "a", "x", 0.1), (1, "a", "x", 0.2)], "n int, m string, d string, v double")
+    assert pivot_scores(df, "n", ["m", "d"], "v").count() == 1
+    with pytest.raises(ValueError):
+        pivot_scores(df, "n", ["m", "d"], "v", strict=True)
