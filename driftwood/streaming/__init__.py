@@ -1,0 +1 @@
+"""Structured Streaming forms of drift monitoring and scoring."""
