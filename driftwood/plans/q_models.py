@@ -139,3 +139,16 @@ def staged_search(spark, sf_dir):
                            "learning_rate": (0.05, 0.3), "subsample": (0.6, 1.0)})
     return L.staged_search(data, LABEL, KEY, SMALL_LAYOUT, space, stages=(3, 2), folds=3,
                            categories=C360_CATEGORIES)
+
+
+@query("selection_sweep")
+def selection_sweep(spark, sf_dir):
+    """Selection for each (model, direction, size) and the best row flagged."""
+    data = _data(spark, sf_dir).where(F.col("split") == "train")
+    layout = E.Layout(scaled=("Age", "Balance", "WealthScore"), passthrough=("IsActiveMember",))
+    sweep = L.selection_sweep(data, LABEL, KEY, layout, ["decision_tree"], [2], folds=2,
+                              categories=C360_CATEGORIES)
+    best = L.best_selection(sweep).select("model", "direction", "n_features",
+                                          F.lit(True).alias("is_best"))
+    return sweep.join(best, ["model", "direction", "n_features"], "left") \
+        .withColumn("is_best", F.coalesce("is_best", F.lit(False)))
