@@ -5,9 +5,10 @@ Instead the ordered domain is cut into range buckets (split points from
 ``percentile_approx``, like ``QuantileDiscretizer``), running sums are
 computed inside each ``(group, bucket)`` window partition, and each bucket
 is shifted by the total of the buckets before it.  The bucket-total table
-has at most ``groups x n_buckets`` rows, so broadcasting it is bounded by
-construction.  Results are exact: buckets only decide which task does the
-work.
+has one row per (group, bucket); it is broadcast only when that count is
+known to be at most ``BROADCAST_ROWS`` (no groups, or a group count taken
+from the split-point aggregation), otherwise joined normally.  Results are
+exact: buckets only decide which task does the work.
 
 Callers pre-aggregate to one row per distinct ordered value first (partial
 aggregation map-side), so a value repeated by a third of all rows becomes

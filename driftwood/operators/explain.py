@@ -156,6 +156,7 @@ def _tree_shap(x: np.ndarray, t: dict, phi: np.ndarray) -> None:
 
 
 MAX_PATH_FEATURES = 14  # leaf tables have 2^d rows; deeper paths use the recursion
+MAX_TABLE_ENTRIES = 20_000_000  # all trees' tables together (~160 MB broadcast)
 
 
 def leaf_tables(t: dict) -> list[tuple] | None:
@@ -264,7 +265,15 @@ def shap_values(model, df: DataFrame, key: str, feature_names: list[str],
     exported = export_trees(model)
     trees = exported["trees"]
     base = sum(t["weight"] * _expected(t) for t in trees)
-    tables = [leaf_tables(t) for t in trees] if method == "tables" else [None] * len(trees)
+    tables, entries = [], 0
+    for t in trees:
+        tab = leaf_tables(t) if method == "tables" else None
+        size = sum(tb.size for _, _, tb in tab) if tab is not None else 0
+        if tab is not None and entries + size <= MAX_TABLE_ENTRIES:
+            tables.append(tab)
+            entries += size
+        else:  # over budget or too deep: this tree uses the per-row recursion
+            tables.append(None)
     bc = spark.sparkContext.broadcast({"trees": trees, "tables": tables})
     names = list(feature_names)
     m = len(names)

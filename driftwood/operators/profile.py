@@ -93,7 +93,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     idx = F.least(F.floor((F.col("_v") - mn) / width), F.lit(bins - 1)).cast("int")
     counts = base.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return (grid.join(F.broadcast(counts), "bin", "left")
+    return (grid.join(F.broadcast(counts), "bin", "left")  # at most ``bins`` rows
             .select("bin",
                     (mn + F.col("bin") * width).alias("lo"),
                     (mn + (F.col("bin") + 1) * width).alias("hi"),
