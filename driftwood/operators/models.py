@@ -228,12 +228,24 @@ def _spark():
 
 # --- feature selection and search (driver loops over bounded candidates) -----
 
+def _parallel(fn, items: list, parallelism: int) -> list:
+    """Run independent Spark jobs from a few driver threads (Spark schedules
+    concurrent jobs); results keep the input order."""
+    if parallelism <= 1 or len(items) <= 1:
+        return [fn(x) for x in items]
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(fn, items))
+
+
 def sequential_selection(df: DataFrame, label: str, key: str, layout: E.Layout, kind: str,
                          k_features: int, forward: bool = True, folds: int = 5,
-                         categories: dict | None = None, seed: int = 42) -> DataFrame:
+                         categories: dict | None = None, seed: int = 42,
+                         parallelism: int = 4) -> DataFrame:
     """Greedy forward / backward selection over the routed output columns
     (non-floating), scored by mean CV average precision.  Every candidate
-    of every step is evaluated; the transformed table is cached once.
+    of every step is evaluated (``parallelism`` candidates at a time); the
+    transformed table is cached once.  Ties go to the earlier column.
     Rows: step, n_features, features (array), pr_auc_cv."""
     need = required_features(layout.columns)
     base = add_features(df, need, categories=categories)
@@ -247,10 +259,11 @@ def sequential_selection(df: DataFrame, label: str, key: str, layout: E.Layout,
     while (len(current) < k_features) if forward else (len(current) > k_features):
         step += 1
         options = [c for c in names if c not in current] if forward else list(current)
-        scored = []
-        for cand in options:
-            cols = current + [cand] if forward else [c for c in current if c != cand]
-            scored.append((_cv_ap(data, label, cols, kind, folds, seed), cand, cols))
+        sets = [(cand, current + [cand] if forward else [c for c in current if c != cand])
+                for cand in options]
+        scores = _parallel(lambda cs: _cv_ap(data, label, cs[1], kind, folds, seed), sets,
+                           parallelism)
+        scored = [(sc, cand, cols) for sc, (cand, cols) in zip(scores, sets)]
         best = max(scored, key=lambda t: (t[0], -names.index(t[1])))
         current = best[2]
         history.append((step, len(current), current, best[0]))
@@ -265,7 +278,8 @@ def _cv_ap(data: DataFrame, label: str, cols: list[str], kind: str, folds: int,
 
 def selection_sweep(df: DataFrame, label: str, key: str, layout: E.Layout,
                     kinds: list[str], sizes: list[int], folds: int = 5,
-                    categories: dict | None = None, seed: int = 42) -> DataFrame:
+                    categories: dict | None = None, seed: int = 42,
+                    parallelism: int = 4) -> DataFrame:
     """Selection for every (model, direction, size): rows model, direction,
     n_features, pr_auc_cv, features (sorted).  ``best_selection`` picks the
     top row."""
@@ -274,7 +288,7 @@ def selection_sweep(df: DataFrame, label: str, key: str, layout: E.Layout,
         for direction, forward in (("Forward", True), ("Backward", False)):
             for k in sizes:
                 res = sequential_selection(df, label, key, layout, kind, k, forward, folds,
-                                           categories, seed)
+                                           categories, seed, parallelism)
                 last = res.orderBy(F.desc("step")).limit(1).select(
                     F.lit(kind).alias("model"), F.lit(direction).alias("direction"),
                     F.lit(k).alias("n_features"), "pr_auc_cv",
@@ -306,7 +320,8 @@ def random_trials(space: SearchSpace, n: int, seed: int = 42) -> list[dict]:
 
 def staged_search(df: DataFrame, label: str, key: str, layout: E.Layout, space: SearchSpace,
                   stages: tuple[int, ...] = (200, 100, 50, 25), folds: int = 5,
-                  categories: dict | None = None, seed: int = 42) -> DataFrame:
+                  categories: dict | None = None, seed: int = 42,
+                  parallelism: int = 4) -> DataFrame:
     """Seeded random search in stages; after each stage the ranges are
     re-aimed with the range-suggestion rule over that stage's trials.
     Rows: stage, number, state, value (mean CV AP), params map."""
@@ -321,10 +336,12 @@ def staged_search(df: DataFrame, label: str, key: str, layout: E.Layout, space:
     all_rows = []
     number = 0
     for s, n in enumerate(stages):
+        params_list = random_trials(space, n, seed + s)
+        values = _parallel(lambda p: _cv_ap_model(data, label, cols,
+                                                  boosted_trees(label=label, seed=seed, **p), folds),
+                           params_list, parallelism)
         trials_here = []
-        for params in random_trials(space, n, seed + s):
-            m = boosted_trees(label=label, seed=seed, **params)
-            value = _cv_ap_model(data, label, cols, m, folds)
+        for params, value in zip(params_list, values):
             trials_here.append((s, number, "COMPLETE", value,
                                 {k: float(v) for k, v in params.items()}))
             number += 1

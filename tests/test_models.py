@@ -107,3 +107,11 @@ def test_table_treeshap_equals_recursion(spark, data):
     rows = j.select("shap", "shap_r").collect()
     assert len(rows) == 400 * len(names)
     assert max(abs(r["shap"] - r["shap_r"]) for r in rows) < 1e-9
+
+
+def test_selection_same_with_and_without_threads(spark, data):
+    a = L.sequential_selection(data, "label", "id", LAYOUT, "logistic_regression", k_features=2,
+                               forward=True, folds=2, parallelism=1).collect()
+    b = L.sequential_selection(data, "label", "id", LAYOUT, "logistic_regression", k_features=2,
+                               forward=True, folds=2, parallelism=4).collect()
+    assert [tuple(r) for r in a] == [tuple(r) for r in b]
