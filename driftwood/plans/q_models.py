@@ -52,11 +52,15 @@ def _fitted(spark, sf_dir):
 def baseline_zoo(spark, sf_dir):
     data = _data(spark, sf_dir)
     train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
-    out = None
-    for kind in ("logistic_regression", "decision_tree", "random_forest", "boosted_trees"):
+    kinds = ["logistic_regression", "decision_tree", "random_forest", "boosted_trees"]
+
+    def fit(kind):
         params = GBT if kind == "boosted_trees" else {"n_estimators": 20}
-        model = L.build_pipeline(_layout(), L.classifier(kind, label=LABEL, **params),
-                                 C360_CATEGORIES).fit(train)
+        return L.build_pipeline(_layout(), L.classifier(kind, label=LABEL, **params),
+                                C360_CATEGORIES).fit(train)
+
+    out = None
+    for kind, model in zip(kinds, L._parallel(fit, kinds, 4)):
         row = L.evaluate_model(model, test, LABEL).select(F.lit(kind).alias("model"), "*")
         out = row if out is None else out.unionByName(row)
     return out
