@@ -92,6 +92,9 @@ def ks_test(reference: DataFrame, current: DataFrame, columns: list[str],
 
 def _ks_exact_udf():
     from driftwood.functions.udfs import ks_exact_p
+    from driftwood.session import ship_package
+    from pyspark.sql import SparkSession
+    ship_package(SparkSession.getActiveSession())
     return ks_exact_p
 
 

@@ -31,7 +31,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwood.session import ensure_checkpoint_dir
+from driftwood.session import ensure_checkpoint_dir, ship_package
 
 
 def export_trees(model) -> dict:
@@ -262,6 +262,7 @@ def shap_values(model, df: DataFrame, key: str, feature_names: list[str],
     handled with vectorised numpy.  'recursive': the per-row recursion
     (reference implementation)."""
     spark = df.sparkSession
+    ship_package(spark)  # the batch function runs in Python workers
     exported = export_trees(model)
     trees = exported["trees"]
     base = sum(t["weight"] * _expected(t) for t in trees)

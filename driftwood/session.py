@@ -62,3 +62,30 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def sf_dir_default() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (Arrow UDFs,
+    ``mapInPandas``): zip it once per application on the driver and hand it
+    to Spark with ``addPyFile``, which distributes it to every executor (what
+    ``--py-files`` does).  Harmless when the package is installed there."""
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    parent = os.path.dirname(pkg)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="driftwood-pyfiles-"), "driftwood.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, parent))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
