@@ -34,9 +34,21 @@ from pyspark.sql import functions as F
 from driftwood.session import ensure_checkpoint_dir, ship_package
 
 
+_EXPORTED: dict = {}
+
+
 def export_trees(model) -> dict:
-    """Node arrays of a GBT / random-forest model (one entry per tree)."""
+    """Node arrays of a GBT / random-forest model (one entry per tree);
+    memoised per model uid within an application."""
     spark = _spark()
+    memo = (spark.sparkContext.applicationId, model.uid)
+    if memo in _EXPORTED:
+        return _EXPORTED[memo]
+    _EXPORTED[memo] = out = _export_trees(spark, model)
+    return out
+
+
+def _export_trees(spark, model) -> dict:
     root = ensure_checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/driftwood-model-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
