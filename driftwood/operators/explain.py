@@ -39,9 +39,13 @@ _EXPORTED: dict = {}
 
 def export_trees(model) -> dict:
     """Node arrays of a GBT / random-forest model (one entry per tree);
-    memoised per model uid within an application."""
+    memoised per model within an application (fitted models inherit their
+    estimator's uid, so the key also carries a digest of the trees)."""
+    import hashlib
+
     spark = _spark()
-    memo = (spark.sparkContext.applicationId, model.uid)
+    digest = hashlib.sha1(model.toDebugString.encode()).hexdigest()
+    memo = (spark.sparkContext.applicationId, model.uid, digest)
     if memo in _EXPORTED:
         return _EXPORTED[memo]
     _EXPORTED[memo] = out = _export_trees(spark, model)

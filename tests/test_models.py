@@ -115,3 +115,14 @@ def test_selection_same_with_and_without_threads(spark, data):
     b = L.sequential_selection(data, "label", "id", LAYOUT, "logistic_regression", k_features=2,
                                forward=True, folds=2, parallelism=4).collect()
     assert [tuple(r) for r in a] == [tuple(r) for r in b]
+
+
+def test_tree_export_memo_distinguishes_models_of_one_estimator(spark, data):
+    est = L.boosted_trees(label="label", n_estimators=3, max_depth=2)
+    pipe = L.build_pipeline(LAYOUT, est)
+    m1 = pipe.fit(data.where("id % 2 = 0")).stages[-1]
+    m2 = pipe.fit(data.where("id % 2 = 1")).stages[-1]
+    assert m1.uid == m2.uid
+    t1, t2 = X.export_trees(m1)["trees"], X.export_trees(m2)["trees"]
+    assert any(not np.array_equal(a["thr"], b["thr"]) or not np.array_equal(a["value"], b["value"])
+               for a, b in zip(t1, t2))
