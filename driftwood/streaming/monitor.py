@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,13 +23,18 @@ def drift_monitor(reference: DataFrame, stream: DataFrame, numeric: list[str],
                   alpha: float = 0.05, available_now: bool = True,
                   processing_time: str | None = None) -> StreamingQuery:
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        report = feature_drift_report(reference, batch, numeric, categorical, alpha)
-        (report.withColumn("batch_id", F.lit(batch_id))
-         .withColumn("checked_at", F.current_timestamp())
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(sink_path))
+        # the report runs several jobs over the batch: read it once
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if batch.isEmpty():
+                return
+            report = feature_drift_report(reference, batch, numeric, categorical, alpha)
+            (report.withColumn("batch_id", F.lit(batch_id))
+             .withColumn("checked_at", F.current_timestamp())
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch_id").parquet(sink_path))
+        finally:
+            batch.unpersist()
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
