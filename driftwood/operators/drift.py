@@ -79,7 +79,7 @@ def ks_test(reference: DataFrame, current: DataFrame, columns: list[str],
     if p_method == "asymptotic":
         p = asym
     else:
-        exact = _ks_exact_udf()("ks_stat", "n_ref", "n_cur")
+        exact = _ks_exact_udf(reference.sparkSession)("ks_stat", "n_ref", "n_cur")
         p = exact if p_method == "exact" else F.when(
             F.greatest("n_ref", "n_cur") <= EXACT_MAX_N, exact).otherwise(asym)
     return s.select(
@@ -90,11 +90,10 @@ def ks_test(reference: DataFrame, current: DataFrame, columns: list[str],
     ).withColumn("drift_detected", F.col("p_value") < alpha)
 
 
-def _ks_exact_udf():
+def _ks_exact_udf(spark):
     from driftwood.functions.udfs import ks_exact_p
     from driftwood.session import ship_package
-    from pyspark.sql import SparkSession
-    ship_package(SparkSession.getActiveSession())
+    ship_package(spark)  # the UDF body runs in Python workers
     return ks_exact_p
 
 
