@@ -37,13 +37,13 @@ from driftwood.session import ensure_checkpoint_dir, ship_package
 _EXPORTED: dict = {}
 
 
-def export_trees(model) -> dict:
+def export_trees(model, spark=None) -> dict:
     """Node arrays of a GBT / random-forest model (one entry per tree);
     memoised per model within an application (fitted models inherit their
     estimator's uid, so the key also carries a digest of the trees)."""
     import hashlib
 
-    spark = _spark()
+    spark = spark or _spark()
     digest = hashlib.sha1(model.toDebugString.encode()).hexdigest()
     memo = (spark.sparkContext.applicationId, model.uid, digest)
     if memo in _EXPORTED:
@@ -279,7 +279,7 @@ def shap_values(model, df: DataFrame, key: str, feature_names: list[str],
     (reference implementation)."""
     spark = df.sparkSession
     ship_package(spark)  # the batch function runs in Python workers
-    exported = export_trees(model)
+    exported = export_trees(model, spark)
     trees = exported["trees"]
     base = sum(t["weight"] * _expected(t) for t in trees)
     tables, entries = [], 0
@@ -358,4 +358,4 @@ def dependence(shap: DataFrame, feature: str) -> DataFrame:
 
 def _spark():
     from pyspark.sql import SparkSession
-    return SparkSession.getActiveSession()
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()

@@ -224,7 +224,7 @@ def _assembled_names(model: PipelineModel) -> list[str]:
 
 def _spark():
     from pyspark.sql import SparkSession
-    return SparkSession.getActiveSession()
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
 
 # --- feature selection and search (driver loops over bounded candidates) -----
