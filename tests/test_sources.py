@@ -52,3 +52,15 @@ def test_report_document(spark):
     doc = S.parse_document(S.report_document(rep).first()["document"])
     assert doc["drift_detected"] is False and len(doc["report"]) == 2
     assert S.report_records(rep).count() == 2
+
+
+def test_ship_package_adds_zip_once(spark):
+    from driftwood import session as S
+    before = set(S._SHIPPED)
+    S.ship_package(spark)
+    S.ship_package(spark)
+    assert spark.sparkContext.applicationId in S._SHIPPED
+    assert len(S._SHIPPED - before) <= 1
+    # a Python worker can import the package
+    rows = spark.range(2).rdd.map(lambda _: __import__("driftwood.functions.stats").__name__).collect()
+    assert rows == ["driftwood", "driftwood"]
