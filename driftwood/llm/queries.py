@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwood.llm import bpe
+from driftwood.llm import bpe, mixing
 from driftwood.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +24,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
     docs = table(spark, sf_dir, "documents")
     return bpe.digest(bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN))
+
+
+@query
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op7_source_mixing"] = mixing.MIX_SQL
