@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from driftwood.llm import bpe, mixing, token_count
+from driftwood.llm import bpe, language, mixing, token_count
 from driftwood.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
     counts = token_count.token_counts(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
