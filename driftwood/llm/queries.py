@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from driftwood.llm import bpe, language, mixing, near_dup, token_count
+from driftwood.llm import bpe, fingerprint, language, mixing, near_dup, token_count
 from driftwood.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_minhash_near_dedup"] = near_dup.NEAR_SQL
+
+
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
