@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from driftwood.llm import bpe, fingerprint, language, mixing, near_dup, token_count
+from driftwood.llm import bpe, fingerprint, language, mixing, near_dup, repeats, token_count
 from driftwood.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,12 @@ ORACLES["op8_minhash_near_dedup"] = near_dup.NEAR_SQL
 @query
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "__cleaned.n_words", "__cleaned.n_removed", "__cleaned.kept_sha256")
+
+
+ORACLES["op10_substring_dedup"] = repeats.REPEATS_SQL
