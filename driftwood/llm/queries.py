@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from driftwood.llm import bpe, fingerprint, language, mixing, near_dup, repeats, site_tree, token_count
+from driftwood.llm import bpe, fingerprint, language, licences, mixing, near_dup, repeats, site_tree, token_count
 from driftwood.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ ORACLES["op10_substring_dedup"] = repeats.REPEATS_SQL
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = site_tree.main_text(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.per_document(table(spark, sf_dir, "documents"))
