@@ -99,7 +99,7 @@ def with_next(df: DataFrame, id_col: str, order_col: str, cols: list[str]) -> Da
     n = 4 * partitions(spark)
     number = F.col(id_col).cast("double")
     points = df.select(F.percentile_approx(number, [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    splits = [float("-inf"), *sorted(set(points)), float("inf")]
+    splits = [float("-inf"), *sorted(set(points) or {0.0}), float("inf")]
     dealt = Bucketizer(splits=splits, inputCol="__number", outputCol="__bucket", handleInvalid="keep") \
         .transform(df.withColumn("__number", F.coalesce(number, F.lit(float("-inf"))))) \
         .withColumn("__bucket", F.when(F.col(id_col).isNull(), -1).otherwise(F.col("__bucket").cast("int"))) \

@@ -252,14 +252,14 @@ def strip_words(text: str, covered: np.ndarray) -> str:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """``docs`` with the repeated windows' words taken out of the text, plus
-    __n_words, __n_removed and __kept (the kept words joined by a space)."""
+    """``docs`` plus a struct ``__cleaned``: the text without the words of
+    repeated windows, n_words, n_removed, and the SHA-256 of the kept words
+    joined by a space."""
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     found = repeated_windows(keyed.where("id is not null"), window, gram, crowd)
-    per_doc = found.groupBy("id").agg(F.collect_list(
-        F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("last").cast("long"))).alias("__runs")) \
-        .withColumnRenamed("id", "__id")
-    joined = docs.join(per_doc, docs[id_col] == per_doc["__id"], "left").drop("__id")
+    per_doc = found.groupBy(F.col("id").alias("__dw_id")).agg(F.collect_list(
+        F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("last").cast("long"))).alias("__dw_runs"))
+    joined = docs.join(per_doc, docs[id_col] == F.col("__dw_id"), "left").drop("__dw_id")
 
     def run(texts, found):
         out = []
@@ -279,7 +279,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     run.__annotations__ = {"texts": pd.Series, "found": pd.Series, "return": pd.DataFrame}
     udf = F.pandas_udf(run, "text string, n_words long, n_removed long, kept_sha256 string")
-    return joined.withColumn("__cleaned", udf(F.col(text_col).cast("string"), F.col("__runs"))).drop("__runs")
+    return joined.withColumn("__cleaned", udf(F.col(text_col).cast("string"), F.col("__dw_runs"))).drop("__dw_runs")
 
 
 REPEATS_SQL = r"""
