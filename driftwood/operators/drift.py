@@ -15,8 +15,9 @@ categorical feature's chi-square from one aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from driftwood.functions.stats import (chi2_prepare, chi2_sf_prepared, ks_lambda,
                                       ks_sf_from_lambda)
@@ -57,21 +58,21 @@ def ks_statistics(reference: DataFrame, current: DataFrame,
         F.first("total_n0").alias("n_ref"), F.first("total_n1").alias("n_cur"))
 
 
-EXACT_MAX_N = 10000
+#: The lattice-path count visits n_ref * n_cur / gcd cells in one task.
+EXACT_MAX_CELLS = 100_000_000
 
 
 def ks_test(reference: DataFrame, current: DataFrame, columns: list[str],
             alpha: float = 0.05, p_method: str = "asymptotic") -> DataFrame:
-    """KS rows of the drift report.
-
-    p_method: 'asymptotic' (Kolmogorov series, a SQL expression),
-    'exact' (lattice-path probability), or 'auto' (exact when both samples
-    have at most 10,000 rows, as SciPy does).  The exact value is computed
-    from (D, n1, n2) alone, in a pandas UDF over the one-row-per-feature
-    statistics table; its cost is O(n1 n2) per feature, which 'auto'
-    bounds by 1e8."""
-    if p_method not in ("asymptotic", "exact", "auto"):
-        raise ValueError("p_method must be 'asymptotic', 'exact' or 'auto'")
+    """KS rows of the drift report, by one stated method at every size.
+
+    p_method: 'asymptotic' (Kolmogorov series, a SQL expression) or 'exact'
+    (lattice-path probability from (D, n_ref, n_cur) alone, in a pandas UDF
+    over the one-row-per-feature statistics).  The exact count takes
+    n_ref * n_cur steps; a feature with more than ``EXACT_MAX_CELLS`` raises
+    instead of answering by the other method."""
+    if p_method not in ("asymptotic", "exact"):
+        raise ValueError("p_method must be 'asymptotic' or 'exact'")
     s = ks_statistics(reference, current, columns)
     # lambda projected first: the series then refers to a plain column
     s = s.select("*", ks_lambda("ks_stat", "n_ref", "n_cur").alias("_lam"))
@@ -80,8 +81,8 @@ def ks_test(reference: DataFrame, current: DataFrame, columns: list[str],
         p = asym
     else:
         exact = _ks_exact_udf(reference.sparkSession)("ks_stat", "n_ref", "n_cur")
-        p = exact if p_method == "exact" else F.when(
-            F.greatest("n_ref", "n_cur") <= EXACT_MAX_N, exact).otherwise(asym)
+        p = F.when(F.col("n_ref") * F.col("n_cur") <= EXACT_MAX_CELLS, exact).otherwise(
+            F.raise_error(F.lit(f"exact KS p-value of more than {EXACT_MAX_CELLS} cells: use 'asymptotic'")).cast("double"))
     return s.select(
         "feature", F.lit("numerical").alias("type"),
         F.lit("KS-Statistic").alias("metric_name"),
@@ -97,14 +98,37 @@ def _ks_exact_udf(spark):
     return ks_exact_p
 
 
+def _category(col: str, numeric: bool):
+    """A column as category text: numbers go through double, so that 0 and
+    0.0 are one category; NaN is a missing value, as null is."""
+    c = F.col(f"`{col}`")
+    if not numeric:
+        return c.cast("string")
+    v = c.cast("double")
+    v = F.when(~F.isnan(v), v + F.lit(0.0))  # -0.0 becomes 0.0
+    return F.when(v == F.floor(v), F.format_string("%.0f", v)).otherwise(v.cast("string"))
+
+
+def _numeric(df: DataFrame, col: str) -> bool:
+    return isinstance(df.schema[col].dataType, (NumericType, BooleanType))
+
+
 def aligned_counts(reference: DataFrame, current: DataFrame,
                    columns: list[str]) -> DataFrame:
     """feature, category, n_ref, n_cur over the union of categories of both
-    tables; a category missing on one side counts 0 (nulls excluded)."""
+    tables; a category missing on one side counts 0.  Columns that are
+    numeric (or boolean) on both sides are compared as numbers, others as
+    text; nulls and NaN are left out."""
     cols = _present(reference, current, columns)
-    long = (_long(reference, cols, 0, "string").unionByName(_long(current, cols, 1, "string"))
-            .where(F.col("value").isNotNull()))
-    return long.groupBy("feature", F.col("value").alias("category")).agg(
+    as_number = {c: _numeric(reference, c) and _numeric(current, c) for c in cols}
+
+    def long(df: DataFrame, side: int) -> DataFrame:
+        arr = F.array(*[F.struct(F.lit(c).alias("feature"), _category(c, as_number[c]).alias("category"))
+                        for c in cols])
+        return df.select(F.lit(side).alias("side"), F.inline(arr))
+
+    both = long(reference, 0).unionByName(long(current, 1)).where(F.col("category").isNotNull())
+    return both.groupBy("feature", "category").agg(
         F.count_if(F.col("side") == 0).alias("n_ref"),
         F.count_if(F.col("side") == 1).alias("n_cur"))
 
@@ -112,14 +136,14 @@ def aligned_counts(reference: DataFrame, current: DataFrame,
 def chi2_from_counts(counts: DataFrame, by: list[str], smoothing: float = 1.0,
                      yates: bool = True) -> DataFrame:
     """Chi-square statistic, dof and p-value per ``by`` group from a table
-    of (by..., category, n_ref, n_cur).  Categories per group are few
-    (bounded by cardinality), so the per-group window is small."""
-    w = Window.partitionBy(*by)
+    of (by..., category, n_ref, n_cur).  Group totals come from an
+    aggregation joined back, so a feature with very many categories is
+    spread over tasks."""
     t = counts.select(*by, (F.col("n_ref") + smoothing).alias("o_ref"),
                       (F.col("n_cur") + smoothing).alias("o_cur"))
-    t = t.select("*", F.sum("o_ref").over(w).alias("tot_ref"),
-                 F.sum("o_cur").over(w).alias("tot_cur"),
-                 F.count(F.lit(1)).over(w).alias("n_cat"))
+    totals = t.groupBy(*by).agg(F.sum("o_ref").alias("tot_ref"), F.sum("o_cur").alias("tot_cur"),
+                                F.count(F.lit(1)).alias("n_cat"))
+    t = t.join(totals, by)
     o_ref, o_cur = F.col("o_ref"), F.col("o_cur")
     col_tot = o_ref + o_cur
     grand = F.col("tot_ref") + F.col("tot_cur")
@@ -207,17 +231,19 @@ def target_drift(reference: DataFrame, current: DataFrame, target: str,
     cur = current.select(F.col(f"`{cur_t}`").alias("y"))
     counts = aligned_counts(ref, cur, ["y"])
     chi = chi2_from_counts(counts, ["feature"])
-    ref_rate = ref.select(F.avg(F.col("y").cast("double"))).scalar()
-    cur_rate = cur.select(F.avg(F.col("y").cast("double"))).scalar()
-    return chi.select(
+    y = F.col("category").cast("double")
+    mean = lambda n: F.try_divide(F.sum(y * F.col(n)), F.sum(F.when(y.isNotNull(), F.col(n))))
+    rates = counts.groupBy("feature").agg(mean("n_ref").alias("ref_rate"), mean("n_cur").alias("cur_rate"))
+    change = F.col("cur_rate") - F.col("ref_rate")
+    return chi.join(rates, "feature").select(
         F.lit("Chi2-Statistic").alias("metric_name"),
         F.col("chi2_stat").alias("metric_value"),
         F.col("p_value"),
         (F.col("p_value") < alpha).alias("drift_detected"),
-        ref_rate.alias("reference_positive_rate"),
-        cur_rate.alias("current_positive_rate"),
-        (cur_rate - ref_rate).alias("absolute_change"),
-        (F.try_divide(cur_rate - ref_rate, ref_rate) * 100.0).alias("relative_change_pct"))
+        F.col("ref_rate").alias("reference_positive_rate"),
+        F.col("cur_rate").alias("current_positive_rate"),
+        change.alias("absolute_change"),
+        (F.try_divide(change, F.col("ref_rate")) * 100.0).alias("relative_change_pct"))
 
 
 def pipeline_feature_drift(reference: DataFrame, current: DataFrame, layout,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from driftwood.functions.stats import chi2_sf_dof1_sql, chi2_sf_even_sql, ks_sf_sql
 from driftwood.operators import drift as D
 from driftwood.plans.catalog import query
-from driftwood.plans.common import event_halves, event_halves_sql, rounded
+from driftwood.plans.common import SPLIT_TS, event_halves, event_halves_sql, rounded
 from driftwood.plans.customer360 import customer360, customer360_sql
+from driftwood.sources.tables import table
 
 
 def _ks_sql(shifted: bool) -> str:
@@ -51,10 +54,23 @@ def ks_events_value(spark, sf_dir):
 
 @query("ks_events_value_exact")
 def ks_events_value_exact(spark, sf_dir):
-    """Exact two-sided p-value (both halves have at most 10,000 rows at
-    sf0.01, where SciPy also uses the exact method); no SQL twin."""
+    """Exact two-sided p-value of the two halves' values; raises where the
+    exact count is out of reach instead of answering by another method.  No
+    SQL twin."""
     ref, cur = event_halves(spark, sf_dir)
-    return rounded(D.ks_test(ref, cur, ["value"], p_method="auto"))
+    return rounded(D.ks_test(ref, cur, ["value"], p_method="exact"))
+
+
+@query("ks_daily_counts_exact")
+def ks_daily_counts_exact(spark, sf_dir):
+    """Exact two-sided p-value of daily event counts per type: a row per day
+    and type, so it is within reach at any number of events.  No SQL twin."""
+    daily = (table(spark, sf_dir, "events", ["ts", "event_type"])
+             .groupBy("event_type", F.to_date("ts").alias("day"))
+             .agg(F.count("*").cast("double").alias("value")))
+    split = F.lit(SPLIT_TS).cast("date")
+    return rounded(D.ks_test(daily.where(F.col("day") < split), daily.where(F.col("day") >= split),
+                             ["value"], p_method="exact"))
 
 
 @query("chi2_events_type", oracle=f"WITH {event_halves_sql()},\n{_chi_sql(4)}\n{_final('chi_rows')}")
@@ -129,6 +145,37 @@ def target_drift_exited(spark, sf_dir):
     return rounded(D.target_drift(ref, cur, "Exited"))
 
 
+def _labels_by_half(spark, sf_dir):
+    """Quality labels of even and odd documents: as int on the one side and
+    as double with NaN and null on the other."""
+    labels = table(spark, sf_dir, "labels", ["doc_id", "quality"])
+    ref = labels.where(F.col("doc_id") % 2 == 0).select(F.col("quality").alias("y"))
+    missing = F.when(F.col("doc_id") % 7 == 0, F.lit(float("nan"))).when(F.col("doc_id") % 11 != 0, F.col("quality"))
+    cur = labels.where(F.col("doc_id") % 2 == 1).select(missing.cast("double").alias("y"))
+    return ref, cur
+
+
+@query("target_drift_mixed_types", oracle=f"""WITH ref AS (
+  SELECT CAST(quality AS DOUBLE) AS y FROM labels WHERE doc_id % 2 = 0 AND quality IS NOT NULL),
+cur AS (SELECT CAST(quality AS DOUBLE) AS y FROM labels
+        WHERE doc_id % 2 = 1 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND quality IS NOT NULL),
+cats AS (SELECT y, count(*) FILTER (WHERE side = 0) + 1 AS o_ref, count(*) FILTER (WHERE side = 1) + 1 AS o_cur
+         FROM (SELECT y, 0 AS side FROM ref UNION ALL SELECT y, 1 FROM cur) GROUP BY y),
+tt AS (SELECT *, sum(o_ref) OVER () AS tot_ref, sum(o_cur) OVER () AS tot_cur FROM cats),
+ex AS (SELECT o_ref, o_cur, tot_ref * (o_ref + o_cur) / (tot_ref + tot_cur) AS e_ref,
+              tot_cur * (o_ref + o_cur) / (tot_ref + tot_cur) AS e_cur FROM tt),
+ch AS (SELECT sum(pow(abs(o_ref - e_ref) - least(0.5, abs(o_ref - e_ref)), 2) / e_ref
+                  + pow(abs(o_cur - e_cur) - least(0.5, abs(o_cur - e_cur)), 2) / e_cur) AS stat FROM ex),
+r AS (SELECT (SELECT avg(y) FROM ref) AS a, (SELECT avg(y) FROM cur) AS b)
+SELECT 'Chi2-Statistic' AS metric_name, round(stat, 6) AS metric_value,
+       round({chi2_sf_dof1_sql('stat')}, 6) AS p_value, {chi2_sf_dof1_sql('stat')} < 0.05 AS drift_detected,
+       round(a, 6) AS reference_positive_rate, round(b, 6) AS current_positive_rate,
+       round(b - a, 6) AS absolute_change, round((b - a) / a * 100.0, 6) AS relative_change_pct FROM ch, r""")
+def target_drift_mixed_types(spark, sf_dir):
+    ref, cur = _labels_by_half(spark, sf_dir)
+    return rounded(D.target_drift(ref, cur, "y"))
+
+
 ROUTE_COLUMNS = ["HasCrCard", "IsActiveMember", "NumOfProducts", "Tenure", "Age", "Balance"]
 
 
