@@ -17,31 +17,43 @@ one row per task before any shuffle.
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwood.session import shuffle_partitions
 
 _BUCKET = "_dw_bucket"
-MAX_DOMAINS = 4096
-MAX_SPLITS = 4096  # all domains together: keeps the CASE tree codegen-sized
+MAX_DOMAINS = 4096  # value domains (columns) of one call; more raise
 BROADCAST_ROWS = 1_000_000  # largest bucket-offset table joined by broadcast
 
 
-def _tree(value: Column, splits: list[float], lo: int, hi: int) -> Column:
-    """Bucket index in [lo, hi] by binary search over ``splits`` (a nested
-    CASE: O(log n) comparisons per row, codegen friendly)."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi + 1) // 2
-    return F.when(value < F.lit(splits[mid - 1]), _tree(value, splits, lo, mid - 1)) \
-        .otherwise(_tree(value, splits, mid, hi))
+def _domain_key(domain: str | None) -> Column:
+    return F.lit("all") if domain is None else \
+        F.coalesce(F.concat(F.lit("="), F.col(domain).cast("string")), F.lit("null"))
+
+
+def bucket_column(value: Column, splits: dict, domain: str | None = None) -> Column:
+    """Monotone bucket id: the number of the domain's split points <= value,
+    by binary search over constant sorted arrays (any number of them; the
+    expression does not grow with it).  A null value has bucket -1: nulls
+    come first, as in the window order."""
+    key = "all".format if domain is None else (lambda d: "null" if d is None else f"={_as_text(d)}")
+    points = {key(d): sorted({float(x) for x in v if x is not None}) for d, v in splits.items()}
+    longest = max([1, *map(len, points.values())])
+    arrays = F.from_json(F.lit(json.dumps(points)), "map<string,array<double>>")
+    own = F.try_element_at(arrays, _domain_key(domain))
+    steps = F.array(*[F.lit(1 << k) for k in range(longest.bit_length() - 1, -1, -1)])
+    found = F.aggregate(steps, F.lit(0), lambda lo, step: F.when(
+        value >= F.get(own, lo + step - 1), lo + step).otherwise(lo))
+    return F.when(value.isNull(), F.lit(-1)).otherwise(found).cast("int")
 
 
-def bucket_column(value: Column, splits: list[float]) -> Column:
-    """Monotone bucket id: number of split points <= value."""
-    splits = sorted(set(float(s) for s in splits if s is not None))
-    return _tree(value, splits, 0, len(splits)).cast("int")
+def _as_text(d) -> str:
+    """A domain value as Spark casts it to text."""
+    return str(d).lower() if isinstance(d, bool) else str(d)
 
 
 def range_splits(df: DataFrame, order: str, domain: str | None,
@@ -74,44 +86,17 @@ def range_splits(df: DataFrame, order: str, domain: str | None,
         groups = sum(int(r["_dw_g"] or 1) for r in rows)
     if n_buckets <= 1:
         out = {k: [] for k in out}
-    if domain is not None:  # the per-domain CASE tree stays codegen-sized
-        per = max(1, MAX_SPLITS // max(1, len(out)))
-        out = {k: (v if len(v) <= per else [v[int(i * len(v) / per)] for i in range(per)])
-               for k, v in out.items()}
     return out, max(1, groups)
 
 
 def _range_bucket(df: DataFrame, order: str, domain: str | None, n: int,
                   count_groups: list[str] | None):
     """(bucketing function df -> df with the bucket column, upper bound of
-    the number of (group, bucket) pairs).  One value domain with more than
-    ``MAX_SPLITS`` split points uses ML's ``Bucketizer`` (JVM binary search
-    over any number of splits); otherwise a nested CASE binary search."""
+    the number of (group, bucket) pairs)."""
     splits, groups = range_splits(df, order, domain, n, count_groups=count_groups)
-    val = F.col(order).cast("double")
-    buckets = sum(len(v) + 1 for v in splits.values())
-    if not any(splits.values()):
-        return (lambda d: d.withColumn(_BUCKET, F.lit(0))), groups * max(1, len(splits))
-    if domain is None and len(splits[None]) > MAX_SPLITS:
-        from pyspark.ml.feature import Bucketizer
-        edges = [float("-inf")] + splits[None] + [float("inf")]
-        tmp = "_dw_order_value"
-
-        def apply(d: DataFrame) -> DataFrame:
-            b = Bucketizer(splits=edges, inputCol=tmp, outputCol=_BUCKET, handleInvalid="keep")
-            return b.transform(d.withColumn(tmp, val)) \
-                .withColumn(_BUCKET, F.col(_BUCKET).cast("int")).drop(tmp)
-        return apply, groups * buckets
-    if domain is None:
-        expr = bucket_column(val, splits[None])
-    else:
-        expr = None
-        for key, s in splits.items():
-            cond = F.col(domain).eqNullSafe(F.lit(key))
-            expr = F.when(cond, bucket_column(val, s)) if expr is None \
-                else expr.when(cond, bucket_column(val, s))
-        expr = expr.otherwise(F.lit(0))
-    return (lambda d: d.withColumn(_BUCKET, expr)), groups * buckets
+    buckets = sum(len(v) + 2 for v in splits.values())
+    expr = bucket_column(F.col(order).cast("double"), splits, domain)
+    return (lambda d: d.withColumn(_BUCKET, expr)), groups * max(1, buckets)
 
 
 def running_totals(df: DataFrame, by: list[str], order: str,
@@ -124,7 +109,8 @@ def running_totals(df: DataFrame, by: list[str], order: str,
     """Add ``cum_<m>`` (inclusive running sum in ascending ``order`` within
     ``by``) and ``total_<m>`` (sum within ``by``) for each measure.
 
-    ``df`` must hold one row per distinct (by, order).  ``domain`` names the
+    ``df`` must hold one row per distinct (by, order).  A null group is a
+    group; a null ``order`` comes before all others.  ``domain`` names the
     column among ``by`` whose values have separate value ranges (e.g. the
     feature name of an unpivoted table); split points are per domain.
     ``bucket`` may supply a ready monotone bucket expression instead (e.g. a
@@ -172,7 +158,10 @@ def running_totals(df: DataFrame, by: list[str], order: str,
     # count is known to be small; otherwise a plain equi-join, which
     # Catalyst / AQE size-check themselves
     small = offset_rows is not None and offset_rows <= BROADCAST_ROWS
-    out = ranked.join(F.broadcast(offsets) if small else offsets, on=keys, how="inner")
+    off = offsets.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
+                         *[c for c in offsets.columns if c not in keys])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    out = ranked.join(F.broadcast(off) if small else off, same)
 
     def combine(m):
         inner, off = F.col(f"_in_{m}"), F.col(f"_off_{m}")

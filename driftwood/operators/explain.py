@@ -8,17 +8,15 @@ arrays are broadcast (size bounded by the model: trees x nodes) and each
 partition computes attributions in ``mapInPandas``; no row leaves its task.
 
 Path-dependent TreeSHAP (Lundberg, Erion & Lee 2018, "Consistent
-Individualized Feature Attribution for Tree Ensembles").  Default method:
-a leaf's contribution depends on a row only through which of the d
-distinct features on the leaf's path the row satisfies, so each leaf gets a
-table of 2^d x d contributions (built once from the model, broadcast), and
-every Arrow batch is handled with vectorised comparisons, a gather and an
-add per leaf (the idea of precomputed path tables as in "Fast TreeSHAP",
-Yang 2021).  The per-row recursion of the 2018 paper (Algorithm 2) is kept
-as ``method='recursive'`` and for paths deeper than 14 features; tests
-check the two agree.  For boosted trees attributions are in margin space:
-base_value + sum(shap) equals the model's margin (sum of weighted tree
-outputs).
+Individualized Feature Attribution for Tree Ensembles").  A leaf's
+contribution depends on a row only through which of the distinct features on
+the leaf's path the row satisfies.  Per Arrow batch and leaf the patterns
+that occur are told apart, their contributions are worked out from the
+path's polynomial in one vectorised pass, and every row gathers its own: no
+row loop, and no table that grows with the depth.  The per-row recursion of
+the paper (Algorithm 2) is kept as ``method='recursive'`` for the tests.
+For boosted trees attributions are in margin space: base_value + sum(shap)
+equals the model's margin (sum of weighted tree outputs).
 """
 
 from __future__ import annotations
@@ -28,10 +26,10 @@ import uuid
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwood.session import ensure_checkpoint_dir, ship_package
+from driftwood.session import cut_lineage, ensure_checkpoint_dir, ship_package
 
 
 _EXPORTED: dict = {}
@@ -63,6 +61,8 @@ def _export_trees(spark, model) -> dict:
                         F.col("nodeData.split.featureIndex").alias("feature"),
                         F.col("nodeData.split.leftCategoriesOrThreshold").alias("thr"),
                         F.col("nodeData.split.numCategories").alias("ncat")).toPandas()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     is_forest = not hasattr(model, "getStepSize")
     weights = list(model.treeWeights)
     if is_forest:
@@ -92,7 +92,7 @@ def _export_trees(spark, model) -> dict:
                 value[i] = r.prediction
         trees.append({"left": left, "right": right, "feature": feat, "thr": thr,
                       "value": value, "cover": cover, "weight": weights[int(tid)]})
-    return {"trees": trees, "n_features": model.numFeatures, "path": path}
+    return {"trees": trees, "n_features": model.numFeatures}
 
 
 def _expected(t: dict) -> float:
@@ -171,81 +171,73 @@ def _tree_shap(x: np.ndarray, t: dict, phi: np.ndarray) -> None:
     recurse(0, d, z, o, w, 0, 1.0, 1.0, -1)
 
 
-MAX_PATH_FEATURES = 14  # leaf tables have 2^d rows; deeper paths use the recursion
-MAX_TABLE_ENTRIES = 20_000_000  # all trees' tables together (~160 MB broadcast)
-
-
-def leaf_tables(t: dict) -> list[tuple] | None:
-    """Per leaf: (features on the path, thresholds/directions per feature,
-    table C[pattern, k]) such that a row whose pattern of satisfied path
-    conditions is ``pattern`` gets C[pattern, k] added to the attribution of
-    path feature k.  None when a path is too deep for tables.
-
-    With d distinct features on the path, o_j in {0,1} (row satisfies all
-    conditions on feature j) and z_j (product of cover fractions of the
-    edges on j): C[p, i] = v (o_i - z_i) sum_s w(s, d) [X^s] prod_{j != i}
-    (z_j + o_j X), w(s, d) = s! (d - s - 1)! / d!.
-    """
-    from math import factorial
-
-    left, right, feat, thr, value, cover = (t["left"], t["right"], t["feature"], t["thr"],
-                                            t["value"], t["cover"])
-    out = []
-    stack = [(0, [])]
+def leaf_paths(t: dict) -> list[tuple]:
+    """Per leaf: distinct features on its path, per feature the conditions
+    (threshold, goes left) and the product of cover fractions, leaf value."""
+    left, right, feat, thr, cover = t["left"], t["right"], t["feature"], t["thr"], t["cover"]
+    out, stack = [], [(0, {})]
     while stack:
         node, path = stack.pop()
         if left[node] < 0:
-            feats, conds, z = [], [], []
-            for f, th, go_left, frac in path:
-                if f in feats:
-                    k = feats.index(f)
-                    conds[k].append((th, go_left))
-                    z[k] *= frac
-                else:
-                    feats.append(f)
-                    conds.append([(th, go_left)])
-                    z.append(frac)
-            d = len(feats)
-            if d > MAX_PATH_FEATURES:
-                return None
-            n_pat = 1 << d
-            pats = np.arange(n_pat)
-            o = ((pats[:, None] >> np.arange(d)[None, :]) & 1).astype(float)  # (P, d)
-            w = np.array([factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)]) \
-                if d else np.zeros(0)
-            table = np.zeros((n_pat, d))
-            zz = np.array(z)
-            for i in range(d):
-                coeff = np.zeros((n_pat, d))
-                coeff[:, 0] = 1.0
-                for j in range(d):
-                    if j == i:
-                        continue
-                    shifted = np.zeros_like(coeff)
-                    shifted[:, 1:] = coeff[:, :-1]
-                    coeff = coeff * zz[j] + shifted * o[:, [j]]
-                table[:, i] = value[node] * (o[:, i] - zz[i]) * (coeff * w[None, :]).sum(axis=1)
-            out.append((np.array(feats, dtype=np.int64), conds, table))
+            out.append((np.array(list(path), dtype=np.int64), [c for c, _ in path.values()],
+                        np.array([z for _, z in path.values()]), t["value"][node]))
             continue
-        c = cover[node]
-        f, th = feat[node], thr[node]
-        stack.append((left[node], path + [(f, th, True, cover[left[node]] / c)]))
-        stack.append((right[node], path + [(f, th, False, cover[right[node]] / c)]))
+        f = feat[node]
+        conds, z = path.get(f, ((), 1.0))
+        for child, goes_left in ((left[node], True), (right[node], False)):
+            stack.append((child, {**path, f: (conds + ((thr[node], goes_left),),
+                                              z * cover[child] / cover[node])}))
+    return out
+
+
+def path_contributions(o: np.ndarray, z: np.ndarray, value: float) -> np.ndarray:
+    """Contribution of every path feature for 0/1 patterns ``o`` (n, d).
+
+    Feature i gets value (o_i - z_i) sum_s w(s) [X^s] prod_{j != i} (z_j + o_j X)
+    with w(s) = s! (d - s - 1)! / d!.  The product over all features is built
+    once; a factor is taken out again by synthetic division (o_i = 1) or by
+    dividing by z_i (o_i = 0); z_i = 0 rebuilds the product without it."""
+    from math import comb
+    n, d = o.shape
+
+    def product(cols):
+        coeff = np.zeros((n, len(cols) + 1))
+        coeff[:, 0] = 1.0
+        for k, j in enumerate(cols):
+            coeff[:, 1:k + 2] = coeff[:, 1:k + 2] * z[j] + coeff[:, :k + 1] * o[:, [j]]
+            coeff[:, 0] *= z[j]
+        return coeff
+
+    full = product(range(d))
+    w = np.array([1.0 / (d * comb(d - 1, s)) for s in range(d)])
+    out = np.zeros((n, d))
+    for i in range(d):
+        if z[i] > 0:
+            divided = np.zeros((n, d))
+            divided[:, d - 1] = full[:, d]
+            for k in range(d - 1, 0, -1):
+                divided[:, k - 1] = full[:, k] - z[i] * divided[:, k]
+            rest = np.where(o[:, [i]] > 0, divided, full[:, :d] / z[i])
+        else:
+            rest = product([j for j in range(d) if j != i])
+        out[:, i] = value * (o[:, i] - z[i]) * (rest @ w)
     return out
 
 
-def _batch_shap(X: np.ndarray, tables: list[tuple], weight: float, phi: np.ndarray) -> None:
+def _batch_shap(X: np.ndarray, paths: list[tuple], weight: float, phi: np.ndarray) -> None:
     """Add one tree's attributions for all rows of X (n, m) into phi (n, m)."""
-    for feats, conds, table in tables:
-        code = np.zeros(X.shape[0], dtype=np.int64)
+    for feats, conds, z, value in paths:
+        if not len(feats):
+            continue  # a tree that is one leaf attributes nothing
+        met = np.ones((X.shape[0], len(feats)), dtype=bool)
         for k, (f, cl) in enumerate(zip(feats, conds)):
-            ok = np.ones(X.shape[0], dtype=bool)
-            x = X[:, f]
-            for th, go_left in cl:
-                le = x <= th  # NaN compares False: goes right
-                ok &= le if go_left else ~le
-            code |= ok.astype(np.int64) << k
-        phi[:, feats] += weight * table[code]  # features on one path are distinct
+            for th, goes_left in cl:
+                le = X[:, f] <= th  # NaN compares False: goes right
+                met[:, k] &= le if goes_left else ~le
+        packed = np.packbits(met, axis=1)
+        code = packed.view([("", packed.dtype)] * packed.shape[1]).ravel()
+        _, first, mine = np.unique(code, return_index=True, return_inverse=True)
+        phi[:, feats] += weight * path_contributions(met[first].astype(float), z, value)[mine]
 
 
 def _batch_predict(X: np.ndarray, t: dict) -> np.ndarray:
@@ -261,44 +253,28 @@ def _batch_predict(X: np.ndarray, t: dict) -> np.ndarray:
     return t["value"][node]
 
 
-def _predict(x: np.ndarray, t: dict) -> float:
-    n = 0
-    while t["left"][n] >= 0:
-        n = t["left"][n] if x[t["feature"][n]] <= t["thr"][n] else t["right"][n]
-    return float(t["value"][n])
-
-
 def shap_values(model, df: DataFrame, key: str, feature_names: list[str],
-                features_col: str = "features", method: str = "tables") -> DataFrame:
+                features_col: str = "features", method: str = "paths") -> DataFrame:
     """Long table (key, feature, value, shap, base_value, margin) for every
     row of ``df`` (which must carry ``features_col``).
 
-    method 'tables' (default): per-leaf pattern tables built once on the
-    driver (bounded by the model) and broadcast; each Arrow batch is then
-    handled with vectorised numpy.  'recursive': the per-row recursion
-    (reference implementation)."""
+    method 'paths' (default): vectorised over each Arrow batch; 'recursive':
+    the per-row recursion (for tests).  The node arrays are broadcast: their
+    size is that of the model."""
+    if method not in ("paths", "recursive"):
+        raise ValueError("method must be 'paths' or 'recursive'")
     spark = df.sparkSession
     ship_package(spark)  # the batch function runs in Python workers
-    exported = export_trees(model, spark)
-    trees = exported["trees"]
+    trees = export_trees(model, spark)["trees"]
     base = sum(t["weight"] * _expected(t) for t in trees)
-    tables, entries = [], 0
-    for t in trees:
-        tab = leaf_tables(t) if method == "tables" else None
-        size = sum(tb.size for _, _, tb in tab) if tab is not None else 0
-        if tab is not None and entries + size <= MAX_TABLE_ENTRIES:
-            tables.append(tab)
-            entries += size
-        else:  # over budget or too deep: this tree uses the per-row recursion
-            tables.append(None)
-    bc = spark.sparkContext.broadcast({"trees": trees, "tables": tables})
+    bc = spark.sparkContext.broadcast(trees)
     names = list(feature_names)
     m = len(names)
     key_type = df.schema[key].dataType.simpleString()
 
     def run(batches):
-        payload = bc.value
-        ts, tabs = payload["trees"], payload["tables"]
+        ts = bc.value
+        paths = [leaf_paths(t) if method == "paths" else None for t in ts]
         for pdf in batches:
             if len(pdf) == 0:
                 continue
@@ -307,10 +283,10 @@ def shap_values(model, df: DataFrame, key: str, feature_names: list[str],
             n = X.shape[0]
             phi = np.zeros((n, max(m, X.shape[1]) + 1))
             margin = np.zeros(n)
-            for t, tab in zip(ts, tabs):
+            for t, leaves in zip(ts, paths):
                 margin += t["weight"] * _batch_predict(X, t)
-                if tab is not None:
-                    _batch_shap(X, tab, t["weight"], phi)
+                if leaves is not None:
+                    _batch_shap(X, leaves, t["weight"], phi)
                 else:
                     for r in range(n):
                         part = np.zeros(phi.shape[1])
@@ -333,22 +309,27 @@ def global_importance(shap: DataFrame, top: int = 20) -> DataFrame:
 
 
 def beeswarm(shap: DataFrame, top: int = 20) -> DataFrame:
-    """(key, feature, value, shap) rows of the ``top`` features."""
+    """(key, feature, value, shap) rows of the ``top`` features.  The
+    attributions are read twice, so they are written once to the shared
+    checkpoint folder rather than computed twice."""
+    shap = cut_lineage(shap)
     best = global_importance(shap, top).select("feature")
     return shap.join(F.broadcast(best), "feature", "left_semi")  # at most ``top`` rows
 
 
 def waterfall(shap: DataFrame, key: str, key_value, top: int = 15) -> DataFrame:
     """One row's attributions: the ``top`` largest by |shap|, the rest summed
-    into one 'other features' row."""
-    one = shap.where(F.col(key) == F.lit(key_value))
-    w = Window.partitionBy(key).orderBy(F.desc(F.abs("shap")), "feature")
-    ranked = one.withColumn("_r", F.row_number().over(w))
-    head = ranked.where(F.col("_r") <= top).select(key, "feature", "value", "shap", "_r")
-    rest = ranked.where(F.col("_r") > top).groupBy(key).agg(
-        F.lit("other features").alias("feature"), F.lit(None).cast("double").alias("value"),
-        F.sum("shap").alias("shap"), F.lit(top + 1).alias("_r"))
-    return head.unionByName(rest).withColumnRenamed("_r", "position")
+    into one 'other features' row.  Attribute only the wanted row: a filter
+    on the result can't be pushed below the attribution itself."""
+    ranked = shap.where(F.col(key) == F.lit(key_value)).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
+        (-F.abs("shap")).alias("by"), "feature", "value", "shap"))).alias("all"))  # one entry per feature
+    rest = F.slice("all", top + 1, F.greatest(F.size("all") - top, F.lit(0)))
+    other = F.struct(F.lit("other features").alias("feature"), F.lit(None).cast("double").alias("value"),
+                     F.aggregate(rest, F.lit(0.0), lambda a, x: a + x["shap"]).alias("shap"))
+    head = F.transform(F.slice("all", 1, top), lambda x: F.struct(x["feature"], x["value"], x["shap"]))
+    shown = F.concat(head, F.when(F.size("all") > top, F.array(other)).otherwise(F.slice(F.array(other), 1, 0)))
+    return ranked.select(key, F.posexplode(shown).alias("_p", "_s")).select(
+        key, "_s.feature", "_s.value", "_s.shap", (F.col("_p") + 1).alias("position"))
 
 
 def dependence(shap: DataFrame, feature: str) -> DataFrame:

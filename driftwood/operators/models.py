@@ -14,11 +14,11 @@ libraries - parity is on semantics and metrics, not on trees.
 
 from __future__ import annotations
 
+import json
+import math
 import random
 from dataclasses import dataclass
 
-import json
-
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -89,32 +89,47 @@ class RoutedPreprocessorModel(Model, _JsonParams, DefaultParamsReadable, Default
         return df.select("*", *self.fitted.columns("double", impute=True))
 
 
+#: Parameters each kind of model takes; any other name is an error.
+KNOWN = {
+    "logistic_regression": {"max_iter"},
+    "decision_tree": {"max_depth"},
+    "random_forest": {"n_estimators", "max_depth"},
+    "boosted_trees": {"n_estimators", "max_depth", "learning_rate", "subsample", "colsample",
+                      "min_child_weight", "gamma"},
+}
+
+
 def classifier(kind: str, label: str = "label", weight: str | None = None, seed: int = 42,
                **params):
     """The model zoo: logistic regression, decision tree, random forest,
-    boosted trees."""
+    boosted trees; ``weight`` names a column of row weights."""
+    if kind not in KNOWN:
+        raise ValueError(f"unknown model kind {kind!r}")
+    unknown = set(params) - KNOWN[kind]
+    if unknown:
+        raise ValueError(f"{kind} takes no parameter named {', '.join(sorted(unknown))}")
     common = dict(featuresCol=FEATURES, labelCol=label)
     if kind == "logistic_regression":
-        m = LogisticRegression(**common, maxIter=params.get("max_iter", 100))
+        m = LogisticRegression(**common, maxIter=params.get("max_iter", 2000))
     elif kind == "decision_tree":
         m = DecisionTreeClassifier(**common, seed=seed, maxDepth=params.get("max_depth", 5))
     elif kind == "random_forest":
         m = RandomForestClassifier(**common, seed=seed, numTrees=params.get("n_estimators", 100),
                                    maxDepth=params.get("max_depth", 5))
-    elif kind == "boosted_trees":
-        m = boosted_trees(label=label, seed=seed, **params)
     else:
-        raise ValueError(f"unknown model kind {kind!r}")
-    if weight and kind != "decision_tree":
+        m = boosted_trees(label=label, seed=seed, **params)
+    if weight:
         m.setWeightCol(weight)
     return m
 
 
 def boosted_trees(label: str = "label", seed: int = 42, n_estimators: int = 50,
                   max_depth: int = 5, learning_rate: float = 0.1, subsample: float = 1.0,
-                  colsample: float = 1.0, min_child_weight: int = 2, gamma: float = 0.0,
-                  **_ignored) -> GBTClassifier:
-    """Boosted-tree parameters mapped to GBTClassifier."""
+                  colsample: float = 1.0, min_child_weight: int = 2,
+                  gamma: float = 0.0) -> GBTClassifier:
+    """Boosted-tree parameters mapped to GBTClassifier.  Leaf penalties have
+    no counterpart and are not accepted; a class weight goes through a weight
+    column (``with_class_weight``)."""
     return GBTClassifier(featuresCol=FEATURES, labelCol=label, seed=seed, maxIter=int(n_estimators),
                          maxDepth=int(max_depth), stepSize=float(learning_rate),
                          subsamplingRate=float(subsample),
@@ -131,11 +146,12 @@ def with_class_weight(df: DataFrame, label: str, scale_pos_weight: float,
 
 
 def build_pipeline(layout: E.Layout, model, categories: dict | None = None,
-                   scaler: str = "standard", columns: dict | None = None) -> Pipeline:
+                   scaler: str = "standard", columns: dict | None = None,
+                   drop_first: bool = True) -> Pipeline:
     """Engineer -> preprocess -> assemble -> model (only the features the
     layout names are engineered)."""
     need = required_features(layout.columns)
-    pre = RoutedPreprocessor(layout, scaler)
+    pre = RoutedPreprocessor(layout, scaler, drop_first)
     return Pipeline(stages=[FeatureEngineer(need, categories, columns), pre,
                             _LazyAssembler(), model])
 
@@ -201,6 +217,7 @@ def cross_validate(df: DataFrame, label: str, key: str, pipeline: Pipeline, k: i
 
 
 def mean_score(cv: DataFrame, column: str = "pr_auc") -> float:
+    """Mean over the folds that have a score (one without positives has none)."""
     return cv.agg(F.avg(column)).first()[0]
 
 
@@ -252,6 +269,8 @@ def sequential_selection(df: DataFrame, label: str, key: str, layout: E.Layout,
     base = add_features(df, need, categories=categories)
     fitted = E.fit(base, layout)
     names = fitted.output_names()
+    if not 0 < k_features <= len(names):
+        raise ValueError(f"k_features must be between 1 and the {len(names)} columns")
     data = fitted.transform(base, keep=[key, label], impute=True)
     data = stratified_folds(data, label, key, k=folds, seed=seed).cache()
     current = [] if forward else list(names)
@@ -282,19 +301,18 @@ def selection_sweep(df: DataFrame, label: str, key: str, layout: E.Layout,
                     categories: dict | None = None, seed: int = 42,
                     parallelism: int = 4) -> DataFrame:
     """Selection for every (model, direction, size): rows model, direction,
-    n_features, pr_auc_cv, features (sorted).  ``best_selection`` picks the
-    top row."""
+    n_features, pr_auc_cv, features (sorted).  One greedy path per model and
+    direction passes through every size.  ``best_selection`` picks the top
+    row."""
     out = None
     for kind in kinds:
         for direction, forward in (("Forward", True), ("Backward", False)):
-            for k in sizes:
-                res = sequential_selection(df, label, key, layout, kind, k, forward, folds,
-                                           categories, seed, parallelism)
-                last = res.orderBy(F.desc("step")).limit(1).select(
-                    F.lit(kind).alias("model"), F.lit(direction).alias("direction"),
-                    F.lit(k).alias("n_features"), "pr_auc_cv",
-                    F.array_sort("features").alias("features"))
-                out = last if out is None else out.unionByName(last)
+            path = sequential_selection(df, label, key, layout, kind, max(sizes) if forward else min(sizes),
+                                        forward, folds, categories, seed, parallelism)
+            part = path.where(F.col("n_features").isin(list(sizes))).select(
+                F.lit(kind).alias("model"), F.lit(direction).alias("direction"), "n_features", "pr_auc_cv",
+                F.array_sort("features").alias("features"))
+            out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -302,62 +320,92 @@ def best_selection(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy(F.desc_nulls_last("pr_auc_cv"), "model", "direction", "n_features").limit(1)
 
 
-@dataclass
+#: What a parameter may be at all, whatever range is suggested, and the
+#: parameters that are drawn on a logarithmic scale.
+LIMITS = {"n_estimators": (1, None), "max_depth": (1, 30), "learning_rate": (1e-5, 1.0),
+          "subsample": (0.1, 1.0), "colsample": (0.1, 1.0), "gamma": (0.0, None),
+          "min_child_weight": (1, None), "scale_pos_weight": (0.1, None)}
+LOG_SCALE = frozenset({"learning_rate"})
+SCALERS = ("standard", "minmax", "robust")
+
+
+@dataclass(frozen=True)
 class SearchSpace:
     ranges: dict  # parameter -> (low, high); ints stay ints
 
+    def __post_init__(self):
+        unknown = set(self.ranges) - set(LIMITS)
+        if unknown:
+            raise ValueError(f"no such parameter: {', '.join(sorted(unknown))}")
+
+    def re_aimed(self, suggested: dict) -> SearchSpace:
+        """A space with the suggested ranges; parameters without a
+        suggestion keep this space's."""
+        return SearchSpace({**self.ranges, **{k: v for k, v in suggested.items() if k in self.ranges}})
+
+    def bounds(self, name: str) -> tuple:
+        """The range inside the parameter's limits; whole if the parameter is."""
+        lo, hi = self.ranges[name]
+        least, most = LIMITS[name]
+        inside = lambda x: max(least, x if most is None else min(most, x))
+        lo, hi = inside(lo), inside(hi)
+        return (int(round(lo)), int(round(hi))) if isinstance(least, int) else (float(lo), float(hi))
+
 
 def random_trials(space: SearchSpace, n: int, seed: int = 42) -> list[dict]:
+    """n draws: numeric parameters, a scaler and an encoder (first level
+    dropped or not)."""
     rnd = random.Random(seed)
     out = []
     for _ in range(n):
-        p = {}
-        for name, (lo, hi) in space.ranges.items():
-            p[name] = rnd.randint(int(lo), int(hi)) if isinstance(lo, int) and isinstance(hi, int) \
-                else rnd.uniform(float(lo), float(hi))
+        p = {"scaler": rnd.choice(SCALERS), "drop_first": rnd.random() < 0.5}
+        for name in space.ranges:
+            lo, hi = space.bounds(name)
+            if isinstance(lo, int):
+                p[name] = rnd.randint(lo, hi)
+            elif name in LOG_SCALE:
+                p[name] = math.exp(rnd.uniform(math.log(lo), math.log(hi)))
+            else:
+                p[name] = rnd.uniform(lo, hi)
         out.append(p)
     return out
 
 
+TRIAL_SCHEMA = ("stage int, number long, state string, value double, params map<string,double>, "
+                "scaler string, drop_first boolean")
+
+
 def staged_search(df: DataFrame, label: str, key: str, layout: E.Layout, space: SearchSpace,
                   stages: tuple[int, ...] = (200, 100, 50, 25), folds: int = 5,
                   categories: dict | None = None, seed: int = 42,
                   parallelism: int = 4) -> DataFrame:
-    """Seeded random search in stages; after each stage the ranges are
-    re-aimed with the range-suggestion rule over that stage's trials.
-    Rows: stage, number, state, value (mean CV AP), params map."""
+    """Seeded random search in stages.  After each stage the ranges are
+    re-aimed with the range-suggestion rule over all trials so far, inside
+    each parameter's limits; a parameter without a suggestion returns to the
+    caller's range.  The whole pipeline is fitted per fold.
+    Rows: stage, number, state, value (mean CV AP), params map, scaler,
+    drop_first."""
     from driftwood.operators.search import suggest_ranges
     spark = df.sparkSession
-    need = required_features(layout.columns)
-    base = add_features(df, need, categories=categories)
-    fitted = E.fit(base, layout)
-    data = fitted.transform(base, keep=[key, label], impute=True)
-    data = stratified_folds(data, label, key, k=folds, seed=seed).cache()
-    cols = fitted.output_names()
-    all_rows = []
-    number = 0
+
+    def score(p: dict) -> float:
+        p = dict(p)
+        scaler, drop_first = p.pop("scaler"), p.pop("drop_first")
+        weighted = with_class_weight(df, label, p.pop("scale_pos_weight", 1.0), "__weight")
+        model = classifier("boosted_trees", label, weight="__weight", seed=seed, **p)
+        pipe = build_pipeline(layout, model, categories, scaler, drop_first=drop_first)
+        return mean_score(cross_validate(weighted, label, key, pipe, folds, seed, 1))
+
+    rows, now = [], space
     for s, n in enumerate(stages):
-        params_list = random_trials(space, n, seed + s)
-        values = _parallel(lambda p: _cv_ap_model(data, label, cols,
-                                                  boosted_trees(label=label, seed=seed, **p), folds),
-                           params_list, parallelism)
-        trials_here = []
-        for params, value in zip(params_list, values):
-            trials_here.append((s, number, "COMPLETE", value,
-                                {k: float(v) for k, v in params.items()}))
-            number += 1
-        all_rows += trials_here
-        tdf = spark.createDataFrame(trials_here, "stage int, number long, state string, "
-                                                 "value double, params map<string,double>")
-        for r in suggest_ranges(tdf).collect():
-            lo, hi = space.ranges[r["parameter"]]
-            new = (r["suggested_min"], r["suggested_max"])
-            if isinstance(lo, int) and isinstance(hi, int):
-                new = (max(1, int(round(new[0]))), max(1, int(round(new[1]))))
-            space.ranges[r["parameter"]] = new
-    data.unpersist()
-    return spark.createDataFrame(all_rows, "stage int, number long, state string, value double, "
-                                           "params map<string,double>")
+        trials = random_trials(now, n, seed + s)
+        for p, value in zip(trials, _parallel(score, trials, parallelism)):
+            numbers = {k: float(v) for k, v in p.items() if k in space.ranges}
+            rows.append((s, len(rows), "COMPLETE", value, numbers, p["scaler"], p["drop_first"]))
+        if s + 1 < len(stages):
+            found = suggest_ranges(spark.createDataFrame(rows, TRIAL_SCHEMA)).collect()  # a row per parameter
+            now = space.re_aimed({r["parameter"]: (r["suggested_min"], r["suggested_max"]) for r in found})
+    return spark.createDataFrame(rows, TRIAL_SCHEMA)
 
 
 def _cv_ap_model(data: DataFrame, label: str, cols: list[str], model, folds: int) -> float:
@@ -371,4 +419,4 @@ def _cv_ap_model(data: DataFrame, label: str, cols: list[str], model, folds: int
             .select("fold", F.col(label).cast("int").alias("_y"), "_p")
         held = part if held is None else held.unionByName(part)
     ap = M.average_precision(held, "_y", "_p", by=["fold"])
-    return ap.agg(F.sum(F.coalesce("pr_auc", F.lit(0.0)))).first()[0] / folds
+    return mean_score(ap)

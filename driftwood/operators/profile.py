@@ -260,7 +260,3 @@ def split_sizes(df: DataFrame, split: str = "split") -> DataFrame:
     ncols = len([c for c in df.columns if c != split])
     return df.groupBy(split).agg(F.count(F.lit(1)).alias("rows"),
                                  F.lit(ncols).alias("columns"))
-
-
-def mean_of(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    return df.groupBy(*(by or [])).agg(F.avg(column).alias(f"mean_{column}"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from driftwood.operators.cumulative import running_totals
 from driftwood.operators.topk import top1_per_group
@@ -24,6 +25,13 @@ def tag(name: str) -> Column:
     return F.try_element_at(F.col("tags"), F.lit(name))
 
 
+def iso_date(start: Column, kind) -> Column:
+    """ISO text of a timestamp or of milliseconds since the epoch."""
+    if isinstance(kind, IntegralType):
+        start = F.timestamp_millis(start.cast("long"))
+    return F.date_format(start, ISO)
+
+
 def finished_parents(runs: DataFrame) -> DataFrame:
     return runs.where(tag(PARENT).isNull() & (F.col("status") == "FINISHED"))
 
@@ -34,17 +42,19 @@ def best_runs_per_experiment(runs: DataFrame, primary: str = "test_pr_auc",
     fallback desc, nulls last; run_id breaks ties); its score is primary,
     else fallback (NaN counts as missing); experiments whose best run has
     no score are dropped."""
+    start_type = runs.schema["start_time"].dataType
     cand = finished_parents(runs).select(
         "experiment", "experiment_id", "run_id", "start_time",
         tag(RUN_NAME).alias("run_name"),
         metric(primary).alias("_p"), metric(fallback).alias("_f"))
     best = top1_per_group(cand, ["experiment"], [("_p", "desc"), ("_f", "desc"), ("run_id", "asc")])
-    score = F.coalesce(F.nanvl(F.col("_p"), F.lit(None).cast("double")), F.col("_f"))
+    known = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
+    score = F.coalesce(known("_p"), known("_f"))
     return best.where(score.isNotNull()).select(
         "experiment", "experiment_id", "run_id",
         F.coalesce("run_name", F.lit("Unnamed Model")).alias("run_name"),
         score.alias(primary),
-        F.date_format("start_time", ISO).alias("date"))
+        iso_date(F.col("start_time"), start_type).alias("date"))
 
 
 SUMMARY_METRICS = ["accuracy", "precision", "recall", "f1_score"]
@@ -63,16 +73,20 @@ def experiment_summary(runs: DataFrame, experiment: str,
     return out
 
 
-def best_run(runs: DataFrame, experiment: str, order_metric: str = "pr_auc",
-             run_name: str | None = None) -> DataFrame:
-    """Top run of an experiment (optionally with a given run name) by a
-    metric desc, nulls last; a top-1 plan (one row kept per task)."""
+def best_run(runs: DataFrame, experiment: str, order_metric: str | list[str] = "pr_auc",
+             run_name: str | None = None, params: dict | None = None) -> DataFrame:
+    """Top run of an experiment by one or more metrics desc, each nulls last
+    (later ones break ties, then run_id); optionally only runs with a given
+    name or with given parameter values.  One row is kept per task."""
+    keys = [order_metric] if isinstance(order_metric, str) else list(order_metric)
     sel = runs.where(F.col("experiment") == experiment)
     if run_name is not None:
         sel = sel.where(tag(RUN_NAME) == run_name)
+    for name, value in (params or {}).items():
+        sel = sel.where(F.try_element_at(F.col("params"), F.lit(name)) == F.lit(str(value)))
     return (sel.select("run_id", "experiment", tag(RUN_NAME).alias("run_name"),
-                       metric(order_metric).alias(order_metric), "start_time")
-            .orderBy(F.desc_nulls_last(order_metric), "run_id").limit(1))
+                       *[metric(m).alias(m) for m in keys], "start_time")
+            .orderBy(*[F.desc_nulls_last(m) for m in keys], "run_id").limit(1))
 
 
 def best_run_checked(runs: DataFrame, experiment: str, order_metric: str = "pr_auc",
@@ -90,7 +104,8 @@ def best_run_checked(runs: DataFrame, experiment: str, order_metric: str = "pr_a
 def champion_decision(runs: DataFrame, experiment: str, candidate_run: str,
                       score_metric: str = "test_pr_auc") -> DataFrame:
     """Candidate is champion when its score beats the best non-null score of
-    the experiment's other parent runs, or when there is no such score.
+    the experiment's other parent runs, or when there is no such score; a
+    candidate without a score is rejected.
     One row: run_id, candidate_score, historical_best (0 when none),
     model_status."""
     parents = runs.where((F.col("experiment") == experiment) & tag(PARENT).isNull())
@@ -99,7 +114,8 @@ def champion_decision(runs: DataFrame, experiment: str, candidate_run: str,
     others = parents.where(F.col("run_id") != candidate_run) \
         .select(metric(score_metric).alias("s")).where(F.col("s").isNotNull() & ~F.isnan("s"))
     best = others.select(F.max("s")).scalar()
-    champion = best.isNull() | (F.col("candidate_score") > best)
+    score = F.col("candidate_score")
+    champion = score.isNotNull() & ~F.isnan(score) & (best.isNull() | (score > best))
     return cand.select("run_id", "candidate_score",
                        F.coalesce(best, F.lit(0.0)).alias("historical_best"),
                        F.when(champion, "Production_Champion").otherwise("Candidate_Rejected")
@@ -119,7 +135,7 @@ def champion_history(runs: DataFrame, score_metric: str = "test_pr_auc") -> Data
                           ["experiment"], "_t", ["_s"], tiebreak=["run_id"], agg="max",
                           exclusive=True)
     best = F.col("cum__s")
-    champion = F.col("score").isNotNull() & (best.isNull() | (F.col("score") > best))
+    champion = F.col("score").isNotNull() & ~F.isnan("score") & (best.isNull() | (F.col("score") > best))
     return prev.select("experiment", "run_id", "start_time", "score",
                        F.coalesce(best, F.lit(0.0)).alias("historical_best"),
                        F.when(champion, "Production_Champion").otherwise("Candidate_Rejected")

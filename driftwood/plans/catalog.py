@@ -30,11 +30,5 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from driftwood.plans import (q_features, q_profile, q_metrics,  # noqa: F401
-                                 q_drift)
-    for mod in ("q_splits", "q_preprocess", "q_runs", "q_lineitem", "q_models"):
-        try:
-            __import__(f"driftwood.plans.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise
+    from driftwood.plans import (q_drift, q_features, q_lineitem, q_metrics,  # noqa: F401
+                                 q_models, q_preprocess, q_profile, q_runs, q_splits)

@@ -55,7 +55,7 @@ def baseline_zoo(spark, sf_dir):
     kinds = ["logistic_regression", "decision_tree", "random_forest", "boosted_trees"]
 
     def fit(kind):
-        params = GBT if kind == "boosted_trees" else {"n_estimators": 20}
+        params = GBT if kind == "boosted_trees" else {}
         return L.build_pipeline(_layout(), L.classifier(kind, label=LABEL, **params),
                                 C360_CATEGORIES).fit(train)
 
@@ -90,9 +90,10 @@ def feature_importance(spark, sf_dir):
     return L.feature_importance(_fitted(spark, sf_dir))
 
 
-def _shap(spark, sf_dir):
+def _shap(spark, sf_dir, only=None):
     model = _fitted(spark, sf_dir)
-    scored = model.transform(customer360(spark, sf_dir))
+    rows = customer360(spark, sf_dir)
+    scored = model.transform(rows if only is None else rows.where(only))
     names = L._assembled_names(model)
     return X.shap_values(model.stages[-1], scored, KEY, names)
 
@@ -114,9 +115,8 @@ def shap_beeswarm(spark, sf_dir):
 
 @query("shap_waterfall")
 def shap_waterfall(spark, sf_dir):
-    s = _shap(spark, sf_dir)
     first = customer360(spark, sf_dir).agg(F.min(KEY)).first()[0]
-    return X.waterfall(s, KEY, first, 5)
+    return X.waterfall(_shap(spark, sf_dir, F.col(KEY) == first), KEY, first, 15)
 
 
 @query("shap_dependence")
@@ -139,9 +139,9 @@ def forward_selection(spark, sf_dir):
 @query("staged_search")
 def staged_search(spark, sf_dir):
     data = _data(spark, sf_dir).where(F.col("split") == "train")
-    space = L.SearchSpace({"n_estimators": (5, 15), "max_depth": (2, 4),
-                           "learning_rate": (0.05, 0.3), "subsample": (0.6, 1.0)})
-    return L.staged_search(data, LABEL, KEY, SMALL_LAYOUT, space, stages=(3, 2), folds=3,
+    space = L.SearchSpace({"n_estimators": (5, 15), "learning_rate": (0.05, 0.3),
+                           "subsample": (0.6, 1.0), "scale_pos_weight": (1.0, 2.0)})
+    return L.staged_search(data, LABEL, KEY, _layout(), space, stages=(6, 3), folds=3,
                            categories=C360_CATEGORIES)
 
 

@@ -79,8 +79,8 @@ def fit_retained_apply_all(spark, sf_dir):
     return rounded(p.transform(c, keep=["CustomerId"]))
 
 
-# A registry shaped like the reference's (Satisfaction Score has no source in
-# the binding and is left out).
+# The registry document that the results must match, without
+# Satisfaction Score, which has no source in the binding.
 REGISTRY = {
     "selected_features": ["Age_x_IsActive", "Balance_plus_Salary", "Balance_x_Tenure",
                           "Products_per_Tenure", "Num_Of_Products_1", "Num_Of_Products_2",

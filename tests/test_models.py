@@ -97,11 +97,11 @@ def test_pipeline_save_and_load(spark, data, tmp_path):
     assert L._assembled_names(again) == L._assembled_names(model)
 
 
-def test_table_treeshap_equals_recursion(spark, data):
+def test_vectorised_treeshap_equals_recursion(spark, data):
     model = L.build_pipeline(LAYOUT, L.boosted_trees(label="label", n_estimators=6, max_depth=4)).fit(data)
     scored = model.transform(data)
     names = L._assembled_names(model)
-    a = X.shap_values(model.stages[-1], scored, "id", names, method="tables")
+    a = X.shap_values(model.stages[-1], scored, "id", names, method="paths")
     b = X.shap_values(model.stages[-1], scored, "id", names, method="recursive")
     j = a.join(b.withColumnRenamed("shap", "shap_r").select("id", "feature", "shap_r"), ["id", "feature"])
     rows = j.select("shap", "shap_r").collect()
@@ -126,3 +126,45 @@ def test_tree_export_memo_distinguishes_models_of_one_estimator(spark, data):
     t1, t2 = X.export_trees(m1)["trees"], X.export_trees(m2)["trees"]
     assert any(not np.array_equal(a["thr"], b["thr"]) or not np.array_equal(a["value"], b["value"])
                for a, b in zip(t1, t2))
+
+
+def test_search_space_clamps_and_keeps_the_callers_ranges():
+    space = L.SearchSpace({"learning_rate": (0.01, 0.1), "subsample": (0.5, 1.0), "n_estimators": (5, 9)})
+    wide = space.re_aimed({"learning_rate": (-0.035, 0.1), "subsample": (0.5, 1.25), "n_estimators": (-2.0, 9.4)})
+    assert wide.bounds("learning_rate") == (1e-5, 0.1) and wide.bounds("subsample") == (0.5, 1.0)
+    assert wide.bounds("n_estimators") == (1, 9) and space.ranges["learning_rate"] == (0.01, 0.1)
+    for p in L.random_trials(wide, 200):
+        assert 1e-5 <= p["learning_rate"] <= 0.1 and 0.5 <= p["subsample"] <= 1.0 and 1 <= p["n_estimators"] <= 9
+    with pytest.raises(ValueError):
+        L.SearchSpace({"reg_alpha": (0, 1)})
+    with pytest.raises(ValueError):
+        L.classifier("boosted_trees", scale_pos_weight=2)
+
+
+def test_path_contributions_equal_recursion_on_a_deep_tree():
+    import numpy as np
+    from driftwood.operators import explain as X
+    rng = np.random.default_rng(3)
+    depth, m = 12, 16
+    left, right, feat, thr, value, cover = [], [], [], [], [], []
+
+    def grow(d, c):
+        i = len(left)
+        for col, v in ((left, -1), (right, -1), (feat, -1), (thr, 0.0), (value, rng.normal()), (cover, c)):
+            col.append(v)
+        if d and c > 1.0:
+            f = rng.uniform(0.2, 0.8)
+            feat[i], thr[i] = int(rng.integers(m)), rng.uniform(-1, 1)
+            left[i] = grow(d - 1, c * f)
+            right[i] = grow(d - 1, c * (1 - f))
+        return i
+
+    grow(depth, 400.0)
+    t = {k: np.array(v) for k, v in dict(left=left, right=right, feature=feat, thr=thr, value=value, cover=cover).items()}
+    x = rng.uniform(-1, 1, (20, m))
+    fast = np.zeros((20, m + 1))
+    X._batch_shap(x, X.leaf_paths(t), 1.0, fast)
+    for row, got in zip(x, fast):
+        slow = np.zeros(m + 1)
+        X._tree_shap(row, t, slow)
+        assert np.abs(slow - got).max() < 1e-9

@@ -254,12 +254,6 @@ def test_registry_round_trip():
     layout = E.layout_from_registry(registry)
     assert layout.passthrough == ("HasCrCard", "is_germany")
     assert layout.scaled == ("Age", "Age_x_IsActive")
-    names = ["cat__Gender_Male", "cat__Card Type_GOLD", "cat__Card Type_SILVER", "num__Age",
-             "num__Age_x_IsActive", "pass__HasCrCard", "pass__is_germany"]
-    back = E.registry_from_outputs(names, ["HasCrCard"], ["Card Type", "Gender"], ["Age"])
-    assert back == {"selected_features": ["Age_x_IsActive", "is_germany"],
-                    "nomod_columns": ["HasCrCard"], "dummyfy_columns": ["Gender", "Card Type"],
-                    "norm_std_columns": ["Age"]}
 
 
 def test_registry_inverse_as_table(spark):
@@ -424,9 +418,46 @@ def test_split_counts_reproduce_reference_label_files(spark):
     assert got == {"train": (6400, 1304), "test": (2000, 408), "val": (1600, 326)}
 
 
-def test_running_totals_with_many_buckets_uses_bucketizer(spark, monkeypatch):
-    from driftwood.operators import cumulative as C
-    monkeypatch.setattr(C, "MAX_SPLITS", 4)
+def test_running_totals_keep_null_groups_and_null_order(spark):
+    from driftwood.operators.cumulative import running_totals
+    df = spark.createDataFrame([("a", 1.0, 1), ("a", None, 10), ("a", 2.0, 100), (None, 5.0, 7), (None, 6.0, 8)],
+                               "g string, x double, n long")
+    want = [("a", None, 10, 111), ("a", 1.0, 11, 111), ("a", 2.0, 111, 111), (None, 5.0, 7, 15), (None, 6.0, 15, 15)]
+    for n in (1, 4, 8, 200):
+        got = running_totals(df, ["g"], "x", ["n"], n_buckets=n).select("g", "x", "cum_n", "total_n").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_bucket_column_takes_any_number_of_splits(spark):
+    from driftwood.operators.cumulative import bucket_column
+    df = spark.range(3000).select((F.col("id") % 3).alias("d"), F.col("id").cast("double").alias("v"))
+    splits = {0: [float(i) for i in range(0, 3000, 2)], 1: [100.0], 2: []}
+    got = df.select("d", "v", bucket_column(F.col("v"), splits, "d").alias("b")).collect()
+    assert all(r.b == sum(x <= r.v for x in splits[r.d]) for r in got)
+
+
+def test_champion_history_with_null_start_is_the_same_at_any_bucket_count(spark):
+    from driftwood.operators.runs import champion_history
+    rows = [(f"r{i}", "e", None if i == 3 else 1_700_000_000_000_000 + i * 1_000_000, {"test_pr_auc": s})
+            for i, s in enumerate([0.5, 0.6, 0.4, 0.55, 0.7, 0.65, 0.8, 0.1])]
+    runs = spark.createDataFrame(rows, "run_id string, experiment string, us long, m map<string,double>").select(
+        "run_id", "experiment", F.timestamp_micros("us").alias("start_time"), F.col("m").alias("metrics"),
+        F.create_map().cast("map<string,string>").alias("tags"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = set()
+    try:
+        for n in (1, 4, 8, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.add(tuple(sorted((r.run_id, r.historical_best, r.model_status)
+                                  for r in champion_history(runs).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(seen) == 1
+    assert dict((r[0], r[1]) for r in seen.pop()) == {
+        "r3": 0.0, "r0": 0.55, "r1": 0.55, "r2": 0.6, "r4": 0.6, "r5": 0.7, "r6": 0.7, "r7": 0.8}
+
+
+def test_running_totals_with_many_buckets(spark):
     rnd = np.random.default_rng(7)
     vals = np.concatenate([np.full(300, 0.5), rnd.random(700)])
     df = spark.createDataFrame(pd.DataFrame({"v": vals}))
