@@ -92,9 +92,10 @@ def printed(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
-def with_next(df: DataFrame, id_col: str, order_col: str, cols: list[str]) -> DataFrame:
-    """``df`` plus next_<col> of the row with the next smaller id; after the
-    last row comes the first.  Ids must be numbers."""
+def with_next(df: DataFrame, id_col: str, order_col: str, prepare) -> DataFrame:
+    """``prepare(df)`` plus next_<col>, for each of its columns, of the row
+    with the next smaller id; after the last row comes the first.  Ids must
+    be numbers.  ``prepare`` adds columns row by row."""
     spark = df.sparkSession
     n = 4 * partitions(spark)
     number = F.col(id_col).cast("double")
@@ -104,24 +105,24 @@ def with_next(df: DataFrame, id_col: str, order_col: str, cols: list[str]) -> Da
         .transform(df.withColumn("__number", F.coalesce(number, F.lit(float("-inf"))))) \
         .withColumn("__bucket", F.when(F.col(id_col).isNull(), -1).otherwise(F.col("__bucket").cast("int"))) \
         .drop("__number")
-    order = [F.col(id_col).desc(), F.col(order_col)]
-    inside = Window.partitionBy("__bucket").orderBy(*order)
-    rows = dealt.select("*", *[F.lead(c).over(inside).alias(f"next_{c}") for c in cols],
-                        F.lead(F.lit(True)).over(inside).alias("__has_next"))
-    # the first row of every range, found by its id alone
+    full = prepare(dealt)
+    cols = [c for c in full.columns if c != "__bucket"]
+    inside = Window.partitionBy("__bucket").orderBy(F.col(id_col).desc(), F.col(order_col))
+    rows = full.select("*", *[F.lead(c).over(inside).alias(f"next_{c}") for c in cols],
+                       F.lead(F.lit(True)).over(inside).alias("__has_next"))
+    # the first row of every range: found by its id alone, prepared after that
     tops = dealt.groupBy("__bucket").agg(F.max(id_col).alias("__top"))
     ring = Window.orderBy(F.col("__bucket").desc())
     every = Window.partitionBy()
     tops = tops.select("__bucket", "__top", F.coalesce(F.lead("__bucket").over(ring),
                                                        F.max("__bucket").over(every)).alias("__then"))
     first = F.row_number().over(Window.partitionBy("__bucket").orderBy(F.col(order_col)))
-    heads = (dealt.join(F.broadcast(tops.select("__bucket", "__top")), "__bucket")
-             .where(F.col(id_col).eqNullSafe(F.col("__top")))
-             .withColumn("__first", first).where("__first = 1")
-             .select(F.col("__bucket").alias("__then"), *[F.col(c).alias(f"head_{c}") for c in cols]))
-    bridge = tops.select("__bucket", "__then").join(heads, "__then")
-    out = rows.join(bridge, "__bucket")
-    return out.select(*df.columns, *[
+    heads = (dealt.join(F.broadcast(tops.select("__bucket", "__top")), "__bucket")  # a row per range
+             .where(F.col(id_col).eqNullSafe(F.col("__top"))).drop("__top")
+             .withColumn("__first", first).where("__first = 1").drop("__first"))
+    heads = prepare(heads).select(F.col("__bucket").alias("__then"), *[F.col(c).alias(f"head_{c}") for c in cols])
+    out = rows.join(tops.select("__bucket", "__then").join(heads, "__then"), "__bucket")
+    return out.select(*cols, *[
         F.when(F.col("__has_next"), F.col(f"next_{c}")).otherwise(F.col(f"head_{c}")).alias(f"next_{c}")
         for c in cols])
 
@@ -137,15 +138,18 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Every text beside its edited form (its last half replaced by as much
     of the next document's beginning) and the likeness of its sketch to the
     edited text's and to the next document's."""
-    base = (docs.select(F.col(id_col).alias("id"),
-                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-            .select("id", "text", hashes(F.col("text")).alias("hashed"))
-            .select("id", "text", sketch(F.col("hashed")).alias("sketch")))
+    base = docs.select(F.col(id_col).alias("id"),
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+    def sketched(rows: DataFrame) -> DataFrame:
+        return (rows.withColumn("hashed", hashes(F.col("text")))
+                .withColumn("sketch", sketch(F.col("hashed"))).drop("hashed"))
+
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), n - half),
                       F.substr(F.col("next_text"), F.lit(1), half))
-    both = (with_next(base, "id", "text", ["text", "sketch"])
+    both = (with_next(base, "id", "text", sketched)
             .select("id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
             .select("*", hashes(F.col("edited")).alias("hashed"))
             .select("id", "n_chars", "sketch", "next_sketch", F.sha2("edited", 256).alias("edited_sha256"),
