@@ -10,6 +10,7 @@ Scalars needed by a second pass (min/max, totals) are scalar subqueries
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,31 +23,43 @@ def column_profile(df: DataFrame, columns: list[str] | None = None,
     """Type, non-null count, missing, % missing and distinct (nulls
     excluded) per column, ordered by distinct desc.
 
-    Exact distinct counts of many columns make Spark expand each row once
-    per column; ``approx_distinct=True`` uses HyperLogLog++ instead.
+    One narrow (column, value) row per cell is counted with map-side partial
+    sums, so no row is widened or copied whole; ``approx_distinct=True`` uses
+    HyperLogLog++ in one aggregation without a shuffle of values.
     """
     cols = columns or df.columns
     types = dict(df.dtypes)
-    n = F.count(F.lit(1))
-    stats = []
-    for c in cols:
-        col = F.col(f"`{c}`")
-        distinct = (F.approx_count_distinct(col) if approx_distinct
-                    else F.count_distinct(col))
-        stats.append(F.struct(
-            F.lit(c).alias("column"), F.lit(types[c]).alias("dtype"),
-            F.count(col).alias("non_null"),
-            F.count_if(col.isNull()).alias("missing"),
-            distinct.alias("distinct")))
-    row = df.agg(n.alias("_rows"), F.array(*stats).alias("_s"))
-    return (row.select("_rows", F.inline("_s"))
-            .select("column", "dtype", "non_null", "missing",
-                    F.when(F.col("_rows") > 0, F.col("missing") * 100.0 / F.col("_rows"))
-                    .otherwise(F.lit(0.0)).alias("pct_missing"),
-                    "distinct")
+    if approx_distinct:
+        stats = [F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"),
+                          F.count(F.col(f"`{c}`")).alias("non_null"),
+                          F.approx_count_distinct(F.col(f"`{c}`")).alias("distinct")) for c in cols]
+        per = df.agg(F.array(*stats).alias("_s")).select(F.inline("_s"))
+    else:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), _as_key(F.col(f"`{c}`"), types[c]).alias("value"))
+                          for c in cols])
+        counted = df.select(F.inline(cells)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")  # one row per column
+        per = names.join(counted, "column", "left").groupBy("column").agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+            F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"),
+            F.count("value").alias("distinct"))
+    kind = F.element_at(F.create_map(*[F.lit(x) for c in cols for x in (c, types[c])]), F.col("column"))
+    missing = F.col("rows") - F.col("non_null")
+    return (per.select("column", kind.alias("dtype"), "non_null", missing.alias("missing"),
+                       F.when(F.col("rows") > 0, missing * 100.0 / F.col("rows")).otherwise(F.lit(0.0))
+                       .alias("pct_missing"), "distinct")
             .orderBy(F.desc("distinct"), "column"))
 
 
+def _as_key(col, dtype: str):
+    """A value as text that is equal exactly for equal values."""
+    if dtype in ("double", "float"):
+        col = col + F.lit(0.0).cast(dtype)  # -0.0 becomes 0.0
+    if dtype.startswith(("array", "map", "struct")):
+        return F.to_json(col)
+    return F.hex(col) if dtype == "binary" else col.cast("string")
+
+
 def value_counts(df: DataFrame, column: str, normalize: bool = True) -> DataFrame:
     """Count per value (nulls excluded), with the share of non-null rows."""
     col = F.col(f"`{column}`")
@@ -102,29 +115,34 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 
 def box_stats(df: DataFrame, value: str, by: list[str] | None = None,
-              whisker: float = 1.5) -> DataFrame:
+              whisker: float = 1.5, domain: str | None = None) -> DataFrame:
     """q1, median, q3 (exact, linear interpolation), whiskers = furthest
-    points within ``whisker`` * IQR of the box, and outlier count."""
+    points within ``whisker`` * IQR of the box, and outlier count, from one
+    row per distinct value.  ``domain`` names the column of ``by`` whose
+    values have ranges of their own."""
     by = list(by or [])
     v = F.col(f"`{value}`").cast("double")
     base = df.select(*[F.col(f"`{b}`").alias(b) for b in by], v.alias("_v")) \
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    q = exact_quantiles(base, "_v", [0.25, 0.5, 0.75], by=by) \
+    q = exact_quantiles(base, "_v", [0.25, 0.5, 0.75], by=by, domain=domain) \
         .select(*by, F.col("q_0").alias("q1"), F.col("q_1").alias("median"),
                 F.col("q_2").alias("q3"))
-    if by:  # one quartile row per group, joined on the group key
-        joined = base.join(q, by, "inner")
+    base = base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    if by:  # one quartile row per group, joined on the group key (a null group is one too)
+        q = q.select(*[F.col(b).alias(f"_k_{b}") for b in by], "q1", "median", "q3")
+        same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(f"_k_{b}")) for b in by])
+        joined = base.join(q, same).select(*by, "_v", "_n", "q1", "median", "q3")
     else:   # one row: a scalar subquery, not a join
         s = q.select(F.struct("q1", "median", "q3").alias("s")).scalar()
-        joined = base.select("_v", s["q1"].alias("q1"), s["median"].alias("median"),
+        joined = base.select("_v", "_n", s["q1"].alias("q1"), s["median"].alias("median"),
                              s["q3"].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     lo_fence, hi_fence = F.col("q1") - whisker * iqr, F.col("q3") + whisker * iqr
     return joined.groupBy(*by, "q1", "median", "q3").agg(
         F.min(F.when(F.col("_v") >= lo_fence, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(F.col("_v") <= hi_fence, F.col("_v"))).alias("whisker_high"),
-        F.count_if((F.col("_v") < lo_fence) | (F.col("_v") > hi_fence)).alias("outliers"),
-        F.count(F.lit(1)).alias("n"))
+        F.sum(F.when((F.col("_v") < lo_fence) | (F.col("_v") > hi_fence), F.col("_n")).otherwise(0)).alias("outliers"),
+        F.sum("_n").alias("n"))
 
 
 def category_distribution_matrix(df: DataFrame, categorical: list[str],
@@ -143,42 +161,53 @@ def category_distribution_matrix(df: DataFrame, categorical: list[str],
                       for c in continuous])
     long = (df.select(F.inline(cats), conts.alias("_c"))
             .select("cat_col", "category", F.inline("_c")))
-    return box_stats(long, "value", by=["cat_col", "category", "cont_col"])
+    return box_stats(long, "value", by=["cat_col", "category", "cont_col"], domain="cont_col")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str],
                        method: str = "pearson") -> DataFrame:
     """Lower triangle (i > j) of the correlation matrix as rows
-    (col_a, col_b, corr).  Pearson uses pairwise-complete rows.  Spearman
-    ranks each column (average rank for ties, rows with any null in
-    ``columns`` dropped) and correlates the ranks.
+    (col_a, col_b, corr).  Every pair uses the rows where both columns have
+    a value; Spearman correlates the average ranks (ties share the mean rank)
+    among those rows.
     """
     if method not in ("pearson", "spearman"):
         raise ValueError("method must be 'pearson' or 'spearman'")
     data = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    if method == "spearman":
-        data = _average_ranks(data.dropna(), columns)
     pairs = [(a, b) for i, a in enumerate(columns) for j, b in enumerate(columns) if i > j]
+    if method == "spearman":
+        return _rank_correlations(data, pairs)
     row = data.agg(F.array(*[
         F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
                  F.corr(a, b).alias("corr")) for a, b in pairs]).alias("_p"))
     return row.select(F.inline("_p"))
 
 
-def _average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace each column by its average rank (1-based), tie = mean rank.
-
-    Ranks are joined back on (column, value); the rank table has one row
-    per distinct value, and the join is skew-safe under AQE (a repeated
-    value is one row on the rank side)."""
+def _rank_correlations(data: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Spearman per pair from one row per distinct (pair, x, y): the ranks of
+    x and of y come from running totals over distinct values, and only those
+    counts are joined, never the rows themselves."""
     from driftwood.operators.cumulative import running_totals
-    out = df
-    for c in columns:
-        counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        ranks = running_totals(counts, [], c, ["_n"], split_source=df.select(c)).select(
-            c, (F.col("cum__n") - (F.col("_n") - 1) / 2.0).alias(f"_r_{c}"))
-        out = out.join(ranks, c, "inner")
-    return out.select(*[F.col(f"_r_{c}").alias(c) for c in columns])
+    cells = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.lit(f"{i}").alias("pair"),
+                               F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y"))
+                      for i, (a, b) in enumerate(pairs)])
+    ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    seen = (data.select(F.inline(cells)).where(ok("x") & ok("y"))
+            .groupBy("pair", "col_a", "col_b", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+
+    def ranks(side: str) -> DataFrame:
+        counts = seen.groupBy("pair", side).agg(F.sum("n").alias("_n"))
+        total = running_totals(counts, ["pair"], side, ["_n"], domain="pair")
+        # centred on the mean rank (N + 1) / 2, which keeps the sums small
+        return total.select("pair", side, (F.col("cum__n") - (F.col("_n") - 1) / 2.0
+                                           - (F.col("total__n") + 1) / 2.0).alias(f"r{side}"))
+
+    both = seen.join(ranks("x"), ["pair", "x"]).join(ranks("y"), ["pair", "y"])
+    n, rx, ry = F.col("n"), F.col("rx"), F.col("ry")
+    out = both.groupBy("pair", "col_a", "col_b").agg(
+        F.try_divide(F.sum(n * rx * ry), F.sqrt(F.sum(n * rx * rx)) * F.sqrt(F.sum(n * ry * ry))).alias("corr"))
+    names = data.sparkSession.createDataFrame([(a, b) for a, b in pairs], "col_a string, col_b string")
+    return names.join(out, ["col_a", "col_b"], "left").select("col_a", "col_b", "corr")
 
 
 def gaussian_kde(df: DataFrame, column: str, grid_points: int = 200,

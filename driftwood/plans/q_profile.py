@@ -127,13 +127,17 @@ def correlation_pearson(spark, sf_dir):
     return rounded(P.correlation_matrix(customer360(spark, sf_dir), CORR_COLUMNS, "pearson"))
 
 
-@query("correlation_spearman", oracle=f"""{C360},
-d AS (SELECT {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in CORR_COLUMNS)} FROM customer360
-      WHERE {" AND ".join(f"{c} IS NOT NULL" for c in CORR_COLUMNS)}),
-r AS (SELECT {", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in CORR_COLUMNS)} FROM d)
-""" + "\nUNION ALL\n".join(
-    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS corr FROM r"
-    for a, b in _corr_pairs()))
+def _spearman_sql(a: str, b: str) -> str:
+    def ranked(c):
+        return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+    return f"""SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr(x, y), 6) AS corr
+FROM (SELECT {ranked('a')} AS x, {ranked('b')} AS y
+      FROM (SELECT CAST({a} AS DOUBLE) AS a, CAST({b} AS DOUBLE) AS b FROM customer360
+            WHERE {a} IS NOT NULL AND {b} IS NOT NULL))"""
+
+
+@query("correlation_spearman", oracle=C360 + "\n" + "\nUNION ALL\n".join(
+    _spearman_sql(a, b) for a, b in _corr_pairs()))
 def correlation_spearman(spark, sf_dir):
     return rounded(P.correlation_matrix(customer360(spark, sf_dir), CORR_COLUMNS, "spearman"))
 
