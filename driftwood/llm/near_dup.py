@@ -5,17 +5,17 @@
 2. Each class's distinct shingles give ``BANDS * ROWS`` minima.  Bands of
    ``ROWS`` minima are hashed to bucket keys; the low ``B`` bits of every
    minimum are packed into the signature.
-3. Candidates.  In every bucket the member with the smallest signature hash
-   is the centre and every other member is compared with it: as many pairs
-   as members, whatever the bucket's size.
-4. A pair survives if the matching low bits, corrected for chance
-   collisions, allow the threshold (``MARGIN`` standard errors of slack), and
-   is a link if the full shingle sets confirm it.
-5. Links are contracted to components.  Only members of a bucket that are
-   still in different components can hide further links between components:
-   they are compared with each other in square blocks of ``BLOCK`` members,
-   so that no task holds a whole bucket.  A pair that already shares a
-   component is never looked at, as only reachability is asked for.
+3. Candidates.  Every member of a bucket is joined to the bucket's smallest
+   member - as many edges as members, whatever the bucket's size - and the
+   components of those edges are candidate clusters: two classes that share
+   any bucket are in one cluster.
+4. A cluster is dealt to blocks of a bounded number of members and shingles,
+   and every pair of blocks is one unit of work.  There a pair survives if
+   the matching low bits, corrected for chance collisions, allow the
+   threshold (``MARGIN`` standard errors of slack); survivors are confirmed
+   on their full shingle sets.  What leaves a unit is at most one edge per
+   member: a forest over the confirmed links.
+5. Components of those edges are the result.
 
 With 32 bands of 4 rows a pair at similarity 0.85 shares no band with
 probability 5e-11 (0.8: 5e-8); the bit margin adds 3e-7.
@@ -35,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import LOWER_ASCII, WORD_RE, WordHashes, cut, mix64
+from driftwood.llm.common import LOWER_ASCII, WORD_RE, WordHashes, cut, mix64, partitions
 from driftwood.session import ship_package
 
 BANDS, ROWS, B = 32, 4, 4
 #: Standard errors by which the estimate may fall short of the threshold.
 MARGIN = 5.0
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 512
+#: Members and shingles of a block, about: hashing deals them evenly.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -64,15 +64,19 @@ def normalised(text: str | None) -> list[str]:
 def seeds(k: int) -> tuple[np.ndarray, np.ndarray]:
     """k odd multipliers and k offsets, from the splitmix64 sequence."""
     x = mix64(np.arange(1, 2 * k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return (x[:k] | np.uint64(1))[:, None], x[k:][:, None]
+    x = (x >> np.uint64(32)).astype(np.uint32)
+    return (x[:k] | np.uint32(1))[:, None], x[k:][:, None]
 
 
 def minima(sets: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
-    """Per seed the smallest (high 32 bits of) mul * h + add over the set."""
-    low = np.full(len(mul), np.uint32(0xFFFFFFFF))
-    for i in range(0, len(sets), 2048):
-        np.minimum(low, ((sets[None, i:i + 2048] * mul + add) >> np.uint64(32))
-                   .astype(np.uint32).min(axis=1), out=low)
+    """Per seed the smallest remixed 32-bit hash over the set."""
+    x = (sets >> np.uint64(32)).astype(np.uint32)
+    low = np.full(len(mul), 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(x), 1024):
+        y = x[None, i:i + 1024] * mul + add
+        y ^= y >> np.uint32(15)
+        y *= np.uint32(0x85EBCA6B)
+        np.minimum(low, y.min(axis=1), out=low)
     return low
 
 
@@ -97,7 +101,8 @@ def sketch(df: DataFrame, shingle: int, bands: int, rows: int, bits: int) -> Dat
                 key.append(b"%d:%d:%d" % (len(words), mix64(words + mix64(place)).sum(),
                                           mix64(words ^ mix64(place + words)).sum()))
                 low = minima(sets, mul, add)
-                low_bits = (low[:, None] >> np.arange(bits, dtype=np.uint32)) & np.uint32(1)
+                mixed = low * np.uint32(0x9E3779B1)  # its top bits depend on all of the minimum's
+                low_bits = (mixed[:, None] >> np.arange(32 - bits, 32, dtype=np.uint32)) & np.uint32(1)
                 packed.append(np.packbits(low_bits.astype(np.uint8)).tobytes())
                 band = np.zeros(bands, np.uint64)
                 for column in low.reshape(bands, rows).T.astype(np.uint64):
@@ -120,38 +125,75 @@ def least_matches(threshold: Fraction, k: int, bits: int, margin: float) -> int:
     return int(np.floor(k * p - margin * np.sqrt(k * p * (1 - p))))
 
 
-def matches(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """Equal low-bit groups of packed signatures (last axis: bytes)."""
-    x = np.unpackbits(a ^ b, axis=-1)
-    x = x[..., :x.shape[-1] // bits * bits]
-    return (x.reshape(*x.shape[:-1], -1, bits).max(axis=-1) == 0).sum(axis=-1)
-
-
-def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: Fraction) -> DataFrame:
-    """The (a, b) pairs whose full shingle sets reach the threshold."""
-    num, den = threshold.numerator, threshold.denominator
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    used = texts.join(ids, "id", "left_semi")
-    both = (pairs.join(used.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-            .join(used.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-            .select("a", "b", "text_a", "text_b"))
-    id_type = pairs.schema["a"].dataType.simpleString()
-
-    def run(batches):
-        hashes = WordHashes()
-        held, seen = None, None
-        for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                a = batch.column(0)[i].as_py()
-                if held != a:
-                    held, seen = a, shingle_hashes(hashes.of(normalised(batch.column(2)[i].as_py())), shingle)
-                other = shingle_hashes(hashes.of(normalised(batch.column(3)[i].as_py())), shingle)
-                common = len(np.intersect1d(seen, other, assume_unique=True))
-                keep.append(den * common >= num * (len(seen) + len(other) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, f"a {id_type}, b {id_type}")
+def likely(a: np.ndarray, b: np.ndarray, bits: int, need: int) -> np.ndarray:
+    """Whether the packed signatures of a (n, bytes) and b (m, bytes) have at
+    least ``need`` equal groups of ``bits`` bits; bits is 1, 2, 4 or 8 and
+    the signature a whole number of 64-bit words."""
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    lows = np.uint64(sum(1 << i for i in range(0, 64, bits)))
+    differ = np.zeros((len(a), len(b)), np.uint16)
+    for w in range(a.shape[1]):
+        x = a[:, [w]] ^ b[None, :, w]
+        k = 1
+        while k < bits:
+            x |= x >> np.uint64(k)
+            k *= 2
+        differ += np.bitwise_count(x & lows)
+    return a.shape[1] * (64 // bits) - differ >= need
+
+
+def common(sets: list[np.ndarray], others: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Exact sizes of all intersections of two lists of sets, by products of
+    0/1 matrices over the elements that both lists have."""
+    out = np.zeros((len(sets), len(others)), np.float64)
+    if not sets or not others:
+        return out
+    shared = np.intersect1d(np.concatenate(sets), np.concatenate(others))
+    at = [[np.searchsorted(shared, s[np.isin(s, shared, assume_unique=True)]) for s in x] for x in (sets, others)]
+    for lo in range(0, len(shared), columns):
+        parts = []
+        for side in at:
+            m = np.zeros((len(side), min(columns, len(shared) - lo)), np.float32)
+            for row, cols in enumerate(side):
+                i, j = np.searchsorted(cols, (lo, lo + columns))
+                m[row, cols[i:j] - lo] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def compare(left: pd.DataFrame, right: pd.DataFrame | None, need: int, bits: int,
+            threshold: Fraction) -> list[tuple]:
+    """(id, id) edges that connect what is linked between two blocks, or
+    within one if ``right`` is None; at most one per member."""
+    whole = left if right is None else pd.concat([left, right])
+    ids = whole["id"].to_numpy()
+    packed = np.frombuffer(b"".join(whole["bits"]), np.uint8).reshape(len(whole), -1)
+    n = len(left)
+    maybe = np.zeros((len(whole), len(whole)), bool)
+    if right is None:
+        maybe[:] = likely(packed, packed, bits, need)
+        np.fill_diagonal(maybe, False)
+    else:
+        maybe[:n, n:] = likely(packed[:n], packed[n:], bits, need)
+        maybe[n:, :n] = maybe[:n, n:].T
+    used = np.flatnonzero(maybe.any(axis=1))
+    if not len(used):
+        return []
+    sets = [np.frombuffer(whole["shingles"].iloc[i], np.uint64) for i in used]
+    size = np.array([len(s) for s in sets], np.float64)
+    both = common(sets, sets)
+    linked = maybe[np.ix_(used, used)] & (threshold.denominator * both
+                                          >= threshold.numerator * (size[:, None] + size[None, :] - both))
+    # the smallest position reachable through links, by repeated minima
+    top = np.arange(len(used))
+    while True:
+        new = np.minimum(top, np.where(linked, top[None, :], len(used)).min(axis=1))
+        new = new[new]
+        if (new == top).all():
+            break
+        top = new
+    return [(ids[used[i]], ids[used[t]]) for i, t in enumerate(top) if i != t]
 
 
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:
@@ -176,53 +218,55 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def block_pairs(members: DataFrame, bits_of: DataFrame, need: int, bits: int,
-                block: int = BLOCK) -> DataFrame:
-    """Pairs of different components inside a bucket whose bits allow the
-    threshold.  ``members``: (key, id, comp).  A bucket of n members is dealt
-    to ceil(n / block) blocks, and a group is one pair of blocks."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("c0"),
-                                       F.max("comp").alias("c1")).where("c0 <> c1")
-    n_blocks = F.ceil(F.col("n") / block).cast("int")
-    placed = (members.join(sizes.select("key", n_blocks.alias("blocks")), "key")
+def confirmed(members: DataFrame, need: int, bits: int, threshold: Fraction,
+              block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Edges (a, b) of confirmed links inside clusters.  ``members``:
+    (cluster, id, n_shingles, bits, shingles binary)."""
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("n > 1")
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("s") / shingles)).cast("int")
+    # clusters of one block share units of work, of about a block each
+    spark = members.sparkSession
+    total = sizes.agg(F.sum("n"), F.sum("s")).first()
+    units = int(max(1, (total[0] or 0) / block, (total[1] or 0) / shingles, partitions(spark)))
+    unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(units)).cast("string")) \
+        .otherwise(F.concat_ws(":", F.lit("c"), "cluster", "i", "j"))
+    placed = (members.join(sizes.select("cluster", blocks.alias("blocks")), "cluster")
               .withColumn("x", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-              .join(bits_of, "id")
               .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x",
-                      "id", "comp", "bits"))
+              .withColumn("i", F.least("x", "y")).withColumn("j", F.greatest("x", "y"))
+              .select(unit.alias("unit"), "cluster", "i", "j", "x", "id", "bits", "shingles"))
     id_type = members.schema["id"].dataType.simpleString()
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         out = []
-        i, j = part["i"].iloc[0], part["j"].iloc[0]
-        left, right = part[part["x"] == i], part[part["x"] == j]
-        packed = np.frombuffer(b"".join(right["bits"]), np.uint8).reshape(len(right), -1)
-        comp, ids = right["comp"].to_numpy(), right["id"].to_numpy()
-        for id_, c, own in zip(left["id"], left["comp"], left["bits"]):
-            other = (comp > c) if i == j else (comp != c)
-            if other.any():
-                near = matches(packed[other], np.frombuffer(own, np.uint8)[None, :], bits) >= need
-                out += [(id_, x) for x in ids[other][near]]
+        for (_, i, j), group in part.groupby(["cluster", "i", "j"]):
+            if i == j:
+                out += compare(group, None, need, bits, threshold)
+            else:
+                left, right = group[group["x"] == i], group[group["x"] == j]
+                if len(left) and len(right):
+                    out += compare(left, right, need, bits, threshold)
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return placed.groupBy("key", "i", "j").applyInPandas(run, f"a {id_type}, b {id_type}") \
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return placed.groupBy("unit").applyInPandas(run, f"a {id_type}, b {id_type}")
 
 
-def enough(pairs: DataFrame, bits_of: DataFrame, need: int, bits: int) -> DataFrame:
-    """The (a, b) pairs whose signatures allow the threshold."""
-    both = (pairs.join(bits_of.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
-            .join(bits_of.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a")
-            .select("a", "b", "x", "y"))
-    id_type = pairs.schema["a"].dataType.simpleString()
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, text, ...) -> the same with the text's shingle hashes as binary
+    in its place."""
+    kept = [c for c in texts.columns if c != "text"]
+    schema = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in kept) + ", shingles binary"
+    texts = texts.select(*kept, "text")
 
     def run(batches):
+        hashes = WordHashes()
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8)
-                    .reshape(batch.num_rows, -1) for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array(matches(x, y, bits) >= need))
+            sets = [shingle_hashes(hashes.of(normalised(t.as_py())), shingle).tobytes()
+                    for t in batch.column(len(kept))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())],
+                                             names=[*kept, "shingles"])
 
-    return both.mapInArrow(run, f"a {id_type}, b {id_type}")
+    return texts.mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -230,7 +274,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     bands: int = BANDS, rows: int = ROWS, bits: int = B,
                     margin: float = MARGIN) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest linked id, its own
-    included) and kept (it is that id)."""
+    included) and kept (it is that id).  ``bands * rows * bits`` must be a
+    multiple of 64 and bits 1, 2, 4 or 8."""
     threshold = threshold if isinstance(threshold, Fraction) else Fraction(str(threshold))
     need = least_matches(threshold, bands * rows, bits, margin)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -238,25 +283,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     worded = sketched.where(F.col("keys").isNotNull() & F.col("id").isNotNull())
     # 1. equal words: one row per class
     classes = cut(worded.groupBy("words_key").agg(
-        F.min("id").alias("id"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
-    bits_of = classes.select("id", "bits").dropDuplicates(["id"])
-    # 3. buckets of more than one, and every member against the centre
-    heads = classes.select("id", F.explode("keys").alias("key")).distinct()
-    buckets = (heads.groupBy("key").agg(F.min(F.struct(F.xxhash64("id"), "id")).alias("m"),
-                                        F.count("*").alias("n")).where("n > 1")
-               .select("key", "n", F.col("m.id").alias("centre")))
-    member = cut(heads.join(buckets, "key").select("key", "n", "centre", "id"))
-    star = cut(member.where(F.col("id") != F.col("centre"))
-               .select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct())
-    # 4. links among them
-    links = cut(confirm(enough(star, bits_of, need, bits), src, shingle, threshold))
-    label = components(links)
-    # 5. what still lies between components in a bucket of three or more
-    crowd = (member.where("n > 2").select("key", "id").join(label, "id", "left")
-             .select("key", "id", F.coalesce("comp", "id").alias("comp")))
-    rest = cut(block_pairs(crowd, bits_of, need, bits).join(star, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        label = components(links.union(confirm(rest, src, shingle, threshold)))
+        F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"),
+        F.first("bits").alias("bits"), F.first("keys").alias("keys")))
+    # 3. every member of a bucket beside its smallest
+    heads = classes.select("id", F.explode("keys").alias("key"))
+    buckets = heads.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    # a member's centres (one per band at most) hang together through it: an
+    # edge to the smallest, and edges from that to the others, say the same
+    own = heads.join(buckets, "key").groupBy("id").agg(F.array_distinct(F.collect_list("centre")).alias("c"))
+    least = F.array_min("c")
+    edges = own.select(F.explode(F.concat(
+        F.array(F.struct(least.alias("a"), F.col("id").alias("b"))),
+        F.transform("c", lambda c: F.struct(least.alias("a"), c.alias("b"))))).alias("e")) \
+        .select("e.a", "e.b").where("a <> b").distinct()
+    clusters = components(edges).withColumnRenamed("comp", "cluster")
+    # 4. the texts of clustered classes only; an id with several texts has each of them
+    chosen = classes.join(clusters, "id").select("id", "cluster", "n_shingles", "bits", "words_key")
+    texts = src.join(chosen, "id").select("id", "cluster", "n_shingles", "bits", "text")
+    label = components(confirmed(shingle_sets(texts, shingle), need, bits, threshold))
     # back to the members of the classes, then to rows
     own = (worded.select("id", "words_key")
            .join(classes.select(F.col("id").alias("head"), "words_key"), "words_key")
