@@ -10,8 +10,8 @@ nothing.  The predicted language has the largest sum (ties: first by name);
 the score is its posterior probability, with word scores tempered because
 neighbouring words are not independent.
 
-Training reads a bounded sample of labelled rows: per language the
-``SAMPLE`` rows with the smallest md5 of the id.  Counting runs in Spark; the
+Training reads a bounded sample of labelled rows: about ``SAMPLE`` per
+language, those with the smallest md5 of the id.  Counting runs in Spark; the
 model is bounded by ``WORDS`` and ``GRAMS`` entries per language (and gram
 length) and ``LANGUAGES`` languages, which is what is broadcast.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from driftwood.session import ship_package
 
-#: Labelled rows per language that training reads at most.
+#: Labelled rows per language that training reads, about.
 SAMPLE = 2_000
 #: Model entries kept per language: words, and n-grams of each length.
 WORDS, GRAMS, NGRAM = 20_000, 3_000, 4
@@ -49,15 +49,20 @@ JAVA_WORD, PY_WORD = r"[\p{L}\p{M}]+", r"[^\W\d_]+"
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
                   sample: int = SAMPLE) -> DataFrame:
-    """(lang, text) of the sample; ids are ranked without their texts, and
-    the chosen rows (at most sample x languages) fetch theirs."""
-    order = F.md5(F.col(id_col).cast("string"))
-    rank = Window.partitionBy(lang_col).orderBy(order, F.col(id_col))
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    chosen = (labelled.select(id_col, lang_col).withColumn("__rank", F.row_number().over(rank))
-              .where(F.col("__rank") <= sample).select(id_col).distinct())
-    return (labelled.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col, "left_semi")
-            .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")))
+    """(lang, text) of the sample: rows whose id's md5, as a share of its
+    range, is below ``sample`` / rows of the language.  Counts per language
+    are summed map-side; no language is gathered or ranked anywhere."""
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()
+                          & F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not counts:
+        return labelled.select("lang", "text")
+    n = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], r["n"])]), F.col("lang"))
+    share = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    return labelled.where(share * n < sample).select("lang", "text")
 
 
 def train(rows: DataFrame, words: int = WORDS, grams: int = GRAMS, ngram: int = NGRAM) -> dict:
