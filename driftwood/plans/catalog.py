@@ -30,5 +30,5 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from driftwood.plans import (q_drift, q_features, q_lineitem, q_metrics,  # noqa: F401
+    from driftwood.plans import (q_checks, q_drift, q_features, q_lineitem, q_metrics,  # noqa: F401
                                  q_models, q_preprocess, q_profile, q_runs, q_splits)
