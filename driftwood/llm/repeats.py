@@ -22,9 +22,11 @@ Shards are dealt by content instead of being broadcast to every document:
 the reference is the whole corpus, which has no size bound, and only the
 shard of a window's own anchor can hold an equal window.
 
-Defined cases: null texts have no words; rows that repeat an id are separate
-documents that follow one another in no fixed order among themselves, except
-that equal rows are interchangeable; rows without an id come last.
+Defined cases: null texts have no words.  Rows with one id and different
+texts are documents that follow one another in the order of a hash of the
+text; rows with one id and one text are the same document, and keep and lose
+the same words.  Rows without an id keep all their words and are no reference
+for others.
 """
 
 from __future__ import annotations
@@ -128,14 +130,14 @@ class SuffixAutomaton:
 
 
 def spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(id, anchor, span, first, last): the runs of every text."""
+    """(id, h, anchor, span, first, last): the runs of every text."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            ids, at, cols = [], [], ([], [], [], [])
-            for row, text in enumerate(batch.column(1)):
+            at, cols = [], ([], [], [], [])
+            for row, text in enumerate(batch.column(2)):
                 words = hashes.of(WORD_RE.findall(text.as_py() or ""))
                 if len(words) < window:
                     continue
@@ -145,88 +147,94 @@ def spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
                                        first.astype(np.int32), last.astype(np.int32))):
                     c.append(x)
             if at:
+                rows = pa.array(np.concatenate(at))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.concatenate(at))), *(pa.array(np.concatenate(c)) for c in cols)],
-                    names=["id", "anchor", "span", "first", "last"])
+                    [batch.column(0).take(rows), batch.column(1).take(rows),
+                     *(pa.array(np.concatenate(c)) for c in cols)],
+                    names=["id", "h", "anchor", "span", "first", "last"])
 
-    return docs.mapInArrow(run, f"id {id_type}, anchor long, span long, first int, last int")
+    return docs.mapInArrow(run, f"id {id_type}, h long, anchor long, span long, first int, last int")
 
 
 def span_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The word hashes of the wanted (id, anchor, first, last) spans."""
-    per_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("anchor", "crowd", "first", "last")).alias("spans"))
-    joined = docs.join(per_doc, "id").select("id", "text", "spans")
+    """The word hashes of the wanted (id, h, anchor, first, last) spans."""
+    per_doc = wanted.groupBy("id", "h").agg(F.collect_list(F.struct("anchor", "crowd", "first", "last")).alias("spans"))
+    joined = docs.join(per_doc, ["id", "h"]).select("id", "h", "text", "spans")
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
             for row in range(batch.num_rows):
-                words = hashes.of(WORD_RE.findall(batch.column(1)[row].as_py() or "")).view(np.int64)
-                got = [s for s in batch.column(2)[row].as_py() if s["last"] + window <= len(words)]
+                words = hashes.of(WORD_RE.findall(batch.column(2)[row].as_py() or "")).view(np.int64)
+                got = batch.column(3)[row].as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(0)[row].as_py()] * len(got), batch.column(0).type),
+                    [*(pa.array([batch.column(c)[row].as_py()] * len(got), batch.column(c).type) for c in (0, 1)),
                      pa.array([s["anchor"] for s in got], pa.int64()),
                      pa.array([s["crowd"] for s in got], pa.bool_()),
                      pa.array([s["first"] for s in got], pa.int32()),
                      pa.array([s["last"] for s in got], pa.int32()),
                      pa.array([words[s["first"]:s["last"] + window] for s in got], pa.list_(pa.int64()))],
-                    names=["id", "anchor", "crowd", "first", "last", "words"])
+                    names=["id", "h", "anchor", "crowd", "first", "last", "words"])
 
-    return joined.mapInArrow(run, f"id {id_type}, anchor long, crowd boolean, first int, last int, words array<long>")
+    return joined.mapInArrow(run, f"id {id_type}, h long, anchor long, crowd boolean, first int, last int, "
+                                  "words array<long>")
 
 
 def shard_repeats(part: DataFrame, window: int, n_shards: int) -> DataFrame:
-    """(id, first, last) runs of repeated windows, per reference shard."""
+    """(id, h, first, last) runs of repeated windows, per reference shard."""
     id_type = part.schema["id"].dataType.simpleString()
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, group in shard.sort_values(["anchor", "id", "first"]).groupby("anchor", sort=False):
+        place = ["anchor", "id", "h", "first"]
+        for _, group in shard.drop_duplicates(place).sort_values(place).groupby("anchor", sort=False):
             seen = SuffixAutomaton()  # only spans of one anchor share windows
-            for id_, first, words in zip(group["id"], group["first"], group["words"]):
+            for id_, h, first, words in zip(group["id"], group["h"], group["first"], group["words"]):
                 words = words.tolist()
                 for end, n in enumerate(seen.matching(words)):
                     if n >= window:
-                        out.append((id_, first + end - window + 1))
+                        out.append((id_, h, first + end - window + 1))
                 state = 0
                 for w in words:
                     state = seen.extend(state, w)
-        at = pd.DataFrame(out, columns=["id", "first"])
+        at = pd.DataFrame(out, columns=["id", "h", "first"])
         return at.assign(last=at["first"]).astype({"first": "int32", "last": "int32"})
 
     return (part.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)))
-            .groupBy("shard").applyInPandas(run, f"id {id_type}, first int, last int"))
+            .groupBy("shard").applyInPandas(run, f"id {id_type}, h long, first int, last int"))
 
 
 def crowd_repeats(part: DataFrame, window: int) -> DataFrame:
     """The same by window hashes: a window is repeated unless it is the
     first place of its hash."""
     n = F.size("words") - window
-    rows = part.select("id", "first", F.posexplode(F.transform(
-        F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.slice("words", i + 1, window)))).alias("k", "h")) \
-        .select("h", "id", (F.col("first") + F.col("k")).alias("at"))
-    firsts = rows.groupBy("h").agg(F.min(F.struct("id", "at")).alias("one"), F.count("*").alias("n")).where("n > 1")
-    return (rows.join(firsts, "h").where((F.col("id") != F.col("one.id")) | (F.col("at") != F.col("one.at")))
-            .select("id", F.col("at").alias("first"), F.col("at").alias("last")))
+    rows = part.select("id", "h", "first", F.posexplode(F.transform(
+        F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.slice("words", i + 1, window)))).alias("k", "w")) \
+        .select("w", F.struct("id", "h", (F.col("first") + F.col("k")).alias("at")).alias("here"))
+    firsts = rows.groupBy("w").agg(F.min("here").alias("one"), F.count("*").alias("n")).where("n > 1")
+    return (rows.join(firsts, "w").where(F.col("here") != F.col("one"))
+            .select("here.id", "here.h", F.col("here.at").alias("first"), F.col("here.at").alias("last")))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
                      crowd: int = CROWD) -> DataFrame:
-    """(id, first, last): runs of repeated windows of the (id, text) rows."""
+    """(id, h, first, last): runs of repeated windows of the (id, h, text)
+    rows, h being a hash of the text."""
     spark = docs.sparkSession
     ship_package(spark)
     every = spans(docs, window, gram)
     often = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     shared = cut(every.join(often, "anchor", "left_semi"))
     firsts = cut(shared.groupBy("anchor", "span").agg(
-        F.min(F.struct("id", "first", "last")).alias("one"), F.count("*").alias("n")))
+        F.min(F.struct("id", "h", "first", "last")).alias("one"), F.count("*").alias("n")))
     whole = (shared.join(firsts.where("n > 1").select("anchor", "span", "one"), ["anchor", "span"])
-             .where((F.col("id") != F.col("one.id")) | (F.col("first") != F.col("one.first")))
-             .select("id", "first", "last"))
+             .where((F.col("id") != F.col("one.id")) | (F.col("h") != F.col("one.h"))
+                    | (F.col("first") != F.col("one.first")))
+             .select("id", "h", "first", "last"))
     kinds = firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = (firsts.join(kinds, "anchor")
-              .select("one.id", "anchor", (F.col("kinds") > crowd).alias("crowd"), "one.first", "one.last"))
+              .select("one.id", "one.h", "anchor", (F.col("kinds") > crowd).alias("crowd"), "one.first", "one.last"))
     parts = cut(span_words(docs, wanted, window))
     return (whole.unionByName(shard_repeats(parts.where("not crowd"), window, 4 * partitions(spark)))
             .unionByName(crowd_repeats(parts.where("crowd"), window)))
@@ -255,11 +263,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` plus a struct ``__cleaned``: the text without the words of
     repeated windows, n_words, n_removed, and the SHA-256 of the kept words
     joined by a space."""
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     found = repeated_windows(keyed.where("id is not null"), window, gram, crowd)
-    per_doc = found.groupBy(F.col("id").alias("__dw_id")).agg(F.collect_list(
+    per_doc = found.groupBy(F.col("id").alias("__dw_id"), F.col("h").alias("__dw_h")).agg(F.collect_list(
         F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("last").cast("long"))).alias("__dw_runs"))
-    joined = docs.join(per_doc, docs[id_col] == F.col("__dw_id"), "left").drop("__dw_id")
+    joined = docs.join(per_doc, (docs[id_col] == F.col("__dw_id")) & (F.xxhash64(text) == F.col("__dw_h")), "left") \
+        .drop("__dw_id", "__dw_h")
 
     def run(texts, found):
         out = []
@@ -279,7 +289,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     run.__annotations__ = {"texts": pd.Series, "found": pd.Series, "return": pd.DataFrame}
     udf = F.pandas_udf(run, "text string, n_words long, n_removed long, kept_sha256 string")
-    return joined.withColumn("__cleaned", udf(F.col(text_col).cast("string"), F.col("__dw_runs"))).drop("__dw_runs")
+    return joined.withColumn("__cleaned", udf(text, F.col("__dw_runs"))).drop("__dw_runs")
 
 
 REPEATS_SQL = r"""
