@@ -47,37 +47,55 @@ WINDOW, GRAM = 20, 6
 CROWD = 256
 
 
-def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    h = np.zeros(len(words) - n + 1, np.uint64)
-    for i in range(n):
-        h = mix64(h + words[i:len(words) - n + 1 + i] + np.uint64(0x9E3779B97F4A7C15))
-    return h
-
-
-def runs(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, last window) of every run of windows that
-    share one anchor place."""
-    grams = gram_hashes(words, gram)
-    width = window - gram + 1
-    inside = np.lib.stride_tricks.sliding_window_view(grams, width)
-    place = np.concatenate([inside[i:i + 65536].argmin(axis=1) + np.arange(i, min(i + 65536, len(inside)))
-                            for i in range(0, len(inside), 65536)])
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    return grams[place[first]], first, np.r_[first[1:], len(place)] - 1
+BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+#: Low bits of a window's sort key that hold a place in the document.
+PLACE_BITS = 28
 
 
-def span_keys(words: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> np.ndarray:
-    """A hash of each span's words."""
-    n = len(words)
-    base = np.uint64(0x9E3779B97F4A7C15)
-    longest = int((last - first).max()) + window
-    out = np.zeros(len(first), np.uint64)
-    ends = last + window
-    for k in range(longest):
-        at = first + k
-        live = at < ends
-        out[live] = mix64(out[live] + words[np.minimum(at[live], n - 1)] + base)
-    return out
+class Powers:
+    """Powers of BASE and of its inverse modulo 2**64, grown as needed."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            n = max(n, 2 * len(self.up))
+            for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+                x = np.full(n, base, np.uint64)
+                x[0] = 1
+                setattr(self, name, np.multiply.accumulate(x))
+        return self.up[:n], self.down[:n]
+
+
+def range_hashes(words: np.ndarray, powers: Powers):
+    """A function (starts, stops) -> hashes of those word ranges, from prefix
+    sums of word hashes times powers (modulo 2**64)."""
+    up, down = powers.get(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[:len(words)], out=sums[1:])
+    return lambda start, stop: mix64((sums[stop] - sums[start]) * down[start])
+
+
+def runs(words: np.ndarray, window: int, gram: int, powers: Powers) -> tuple:
+    """(anchor, span hash, first window, last window) of every run of windows
+    that share one anchor place."""
+    if len(words) >= 1 << PLACE_BITS:
+        raise ValueError(f"a document of more than {1 << PLACE_BITS} words")
+    hashed = range_hashes(words, powers)
+    at = np.arange(len(words) - gram + 1)
+    grams = hashed(at, at + gram)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    # smallest (hash, place) of every width grams in a row, by doubling
+    least, have, width = (grams & ~low) | at.astype(np.uint64), 1, window - gram + 1
+    while have < width:
+        step = min(have, width - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    place = (least & low).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    last = np.r_[first[1:], len(place)] - 1
+    return grams[place[first]], hashed(first, last + window), first, last
 
 
 class SuffixAutomaton:
@@ -134,16 +152,16 @@ def spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        hashes = WordHashes()
+        hashes, powers = WordHashes(), Powers()
         for batch in batches:
             at, cols = [], ([], [], [], [])
             for row, text in enumerate(batch.column(2)):
                 words = hashes.of(WORD_RE.findall(text.as_py() or ""))
                 if len(words) < window:
                     continue
-                anchor, first, last = runs(words, window, gram)
+                anchor, span, first, last = runs(words, window, gram, powers)
                 at.append(np.full(len(first), row))
-                for c, x in zip(cols, (anchor.view(np.int64), span_keys(words, first, last, window).view(np.int64),
+                for c, x in zip(cols, (anchor.view(np.int64), span.view(np.int64),
                                        first.astype(np.int32), last.astype(np.int32))):
                     c.append(x)
             if at:
