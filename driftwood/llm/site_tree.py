@@ -1,8 +1,8 @@
 """Main text of web pages by a site style tree.
 
 The pages of a host are merged into one tree of element nodes: a node is a
-path of presentations (tag and class names) from the root, counted once per
-page.  Two distributions are kept per node, over the pages that have it:
+path of presentations (tag and class names, numbered among equal siblings)
+from the root, counted once per page.  Two distributions are kept per node, over the pages that have it:
 
 * style: the sequence of its children's presentations,
 * content: its own text.
@@ -51,6 +51,10 @@ from driftwood.llm.common import cut
 from driftwood.session import ship_package
 
 FEW, LEAST, DECAY, PATHS = 5, 0.2, 0.9, 2_000
+#: Children of one presentation that are told apart by their number.
+SIBLINGS = 8
+#: Low-importance nodes of all hosts together that are broadcast at most.
+BROADCAST_NODES = 1_000_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text.
@@ -139,9 +143,11 @@ def parse(html: str | None) -> Node:
     b.root.path = xxhash.xxh3_64_intdigest("html")
     while stack:
         node = stack.pop()
+        seen: dict[str, int] = {}
         for c in node.children:
             if isinstance(c, Node):
-                c.path = xxhash.xxh3_64_intdigest(c.look, node.path)
+                seen[c.look] = n = min(seen.get(c.look, 0) + 1, SIBLINGS)
+                c.path = xxhash.xxh3_64_intdigest(f"{c.look}[{n}]", node.path)
                 stack.append(c)
     return b.root
 
@@ -225,9 +231,9 @@ def removable(nodes: DataFrame, least: float = LEAST, decay: float = DECAY, leve
         below = (now.groupBy("host", F.col("parent").alias("path"))
                  .agg((F.sum(F.col("imp") * F.col("n")) / F.sum("n")).alias("below")))
         inner_imp = (1 - decay) * F.coalesce("style", F.lit(0.0)) + decay * F.col("below")
-        now = (now.join(below, ["host", "path"], "left")
-               .withColumn("imp", F.when(F.col("below").isNull(), F.col("imp"))
-                           .otherwise(F.greatest(inner_imp, F.coalesce("content", F.lit(0.0))))).drop("below"))
+        now = cut(now.join(below, ["host", "path"], "left")  # else the plan doubles at every level
+                  .withColumn("imp", F.when(F.col("below").isNull(), F.col("imp"))
+                              .otherwise(F.greatest(inner_imp, F.coalesce("content", F.lit(0.0))))).drop("below"))
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "path"))
     return (now.where(F.col("imp") < least).withColumn("rank", rank).where(F.col("rank") <= PATHS)
             .groupBy("host").agg(F.collect_list("path").alias("low")))
@@ -319,5 +325,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     run.__annotations__ = {"html": pd.Series, "low": pd.Series, "return": pd.Series}
     udf = F.pandas_udf(run, "string")
-    return (src.join(low, "host", "left")
+    low = cut(low)
+    size = low.agg(F.sum(F.size("low") + F.length("host"))).first()[0] or 0
+    # few boilerplate nodes altogether: pages stay where they are; otherwise
+    # a join by host, whose hot hosts AQE splits
+    return (src.join(F.broadcast(low) if size <= BROADCAST_NODES else low, "host", "left")
             .select(F.col("id").alias(id_col), F.col("url").alias(url_col), udf("html", "low").alias("text")))
