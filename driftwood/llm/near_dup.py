@@ -218,11 +218,12 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def confirmed(members: DataFrame, need: int, bits: int, threshold: Fraction,
+def confirmed(members: DataFrame, clusters: DataFrame, need: int, bits: int, threshold: Fraction,
               block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Edges (a, b) of confirmed links inside clusters.  ``members``:
-    (cluster, id, n_shingles, bits, shingles binary)."""
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("n > 1")
+    (cluster, id, bits, shingles binary); ``clusters``: (cluster, id,
+    n_shingles), to size the blocks without the sets."""
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("n > 1")
     blocks = F.ceil(F.greatest(F.col("n") / block, F.col("s") / shingles)).cast("int")
     # clusters of one block share units of work, of about a block each
     spark = members.sparkSession
@@ -298,9 +299,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("e.a", "e.b").where("a <> b").distinct()
     clusters = components(edges).withColumnRenamed("comp", "cluster")
     # 4. the texts of clustered classes only; an id with several texts has each of them
-    chosen = classes.join(clusters, "id").select("id", "cluster", "n_shingles", "bits", "words_key")
-    texts = src.join(chosen, "id").select("id", "cluster", "n_shingles", "bits", "text")
-    label = components(confirmed(shingle_sets(texts, shingle), need, bits, threshold))
+    chosen = cut(classes.join(clusters, "id").select("id", "cluster", "n_shingles", "bits"))
+    texts = src.join(chosen.select("id", "cluster", "bits"), "id").select("id", "cluster", "bits", "text")
+    label = components(confirmed(shingle_sets(texts, shingle), chosen.drop("bits"), need, bits, threshold))
     # back to the members of the classes, then to rows
     own = (worded.select("id", "words_key")
            .join(classes.select(F.col("id").alias("head"), "words_key"), "words_key")
