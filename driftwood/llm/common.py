@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,24 +48,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text as UTF-8; bytes are split at exactly the ASCII
+    white space that ``WORD`` leaves out."""
+    return text.encode().split() if text else []
+
+
 class WordHashes(dict):
-    """word -> 64-bit hash; emptied when it reaches ``bound`` entries, so a
-    worker's memory does not grow with the corpus vocabulary."""
+    """word (UTF-8) -> 64-bit hash; emptied when it reaches ``bound``
+    entries, so a worker's memory does not grow with the corpus vocabulary."""
 
     def __init__(self, bound: int = 300_000):
         super().__init__()
         self.bound = bound
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.bound:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
     def of(self, words: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-#: str.translate table of the 26 ASCII capitals.
-LOWER_ASCII = {c: c + 32 for c in range(65, 91)}

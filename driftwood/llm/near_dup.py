@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import LOWER_ASCII, WORD_RE, WordHashes, cut, mix64, partitions
+from driftwood.llm.common import WordHashes, cut, mix64, partitions
 from driftwood.session import ship_package
 
 BANDS, ROWS, B = 32, 4, 4
@@ -57,8 +57,9 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(h)
 
 
-def normalised(text: str | None) -> list[str]:
-    return WORD_RE.findall(text.translate(LOWER_ASCII)) if text else []
+def normalised(text: str | None) -> list[bytes]:
+    """The words with A-Z in lower case (bytes know no other capitals)."""
+    return text.encode().lower().split() if text else []
 
 
 def seeds(k: int) -> tuple[np.ndarray, np.ndarray]:

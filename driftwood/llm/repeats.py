@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import WORD_RE, WordHashes, cut, mix64, partitions
+from driftwood.llm.common import WORD_RE, WordHashes, cut, mix64, partitions, words_of
 from driftwood.session import ship_package
 
 WINDOW, GRAM = 20, 6
@@ -156,7 +156,7 @@ def spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
         for batch in batches:
             at, cols = [], ([], [], [], [])
             for row, text in enumerate(batch.column(2)):
-                words = hashes.of(WORD_RE.findall(text.as_py() or ""))
+                words = hashes.of(words_of(text.as_py()))
                 if len(words) < window:
                     continue
                 anchor, span, first, last = runs(words, window, gram, powers)
@@ -184,7 +184,7 @@ def span_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             for row in range(batch.num_rows):
-                words = hashes.of(WORD_RE.findall(batch.column(2)[row].as_py() or "")).view(np.int64)
+                words = hashes.of(words_of(batch.column(2)[row].as_py())).view(np.int64)
                 got = batch.column(3)[row].as_py()
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array([batch.column(c)[row].as_py()] * len(got), batch.column(c).type) for c in (0, 1)),
@@ -292,7 +292,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(texts, found):
         out = []
         for text, runs_ in zip(texts, found):
-            words = WORD_RE.findall(text or "")
+            words = words_of(text)
             covered = np.zeros(len(words) + 1, np.int64)
             for r in () if runs_ is None else runs_:
                 first, stop = int(r) >> 32, (int(r) & 0xFFFFFFFF) + window
@@ -302,7 +302,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             covered = np.cumsum(covered)[:-1] > 0
             kept = [w for w, c in zip(words, covered) if not c]
             out.append((text and strip_words(text, covered), len(words), len(words) - len(kept),
-                        hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+                        hashlib.sha256(b" ".join(kept)).hexdigest()))
         return pd.DataFrame(out, columns=["text", "n_words", "n_removed", "kept_sha256"])
 
     run.__annotations__ = {"texts": pd.Series, "found": pd.Series, "return": pd.DataFrame}
