@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 
 import numpy as np
@@ -29,11 +30,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its
-    lineage; the files outlive any executor."""
+    lineage; the files outlive any executor.  ``release`` also lets Spark's
+    cleaner drop the shuffle files of the finished job at once, instead of
+    whenever the driver next collects its garbage: for steps that move about
+    as much as the input."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if release:
+        del df
+        gc.collect()
+        out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def n_words(text: Column) -> Column:

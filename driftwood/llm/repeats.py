@@ -171,7 +171,7 @@ def spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
                      *(pa.array(np.concatenate(c)) for c in cols)],
                     names=["id", "h", "anchor", "span", "first", "last"])
 
-    return docs.mapInArrow(run, f"id {id_type}, h long, anchor long, span long, first int, last int")
+    return docs.mapInArrow(run, f"id {id_type}, h int, anchor long, span long, first int, last int")
 
 
 def span_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -195,7 +195,7 @@ def span_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                      pa.array([words[s["first"]:s["last"] + window] for s in got], pa.list_(pa.int64()))],
                     names=["id", "h", "anchor", "crowd", "first", "last", "words"])
 
-    return joined.mapInArrow(run, f"id {id_type}, h long, anchor long, crowd boolean, first int, last int, "
+    return joined.mapInArrow(run, f"id {id_type}, h int, anchor long, crowd boolean, first int, last int, "
                                   "words array<long>")
 
 
@@ -220,7 +220,7 @@ def shard_repeats(part: DataFrame, window: int, n_shards: int) -> DataFrame:
         return at.assign(last=at["first"]).astype({"first": "int32", "last": "int32"})
 
     return (part.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)))
-            .groupBy("shard").applyInPandas(run, f"id {id_type}, h long, first int, last int"))
+            .groupBy("shard").applyInPandas(run, f"id {id_type}, h int, first int, last int"))
 
 
 def crowd_repeats(part: DataFrame, window: int) -> DataFrame:
@@ -243,7 +243,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     ship_package(spark)
     every = spans(docs, window, gram)
     often = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    shared = cut(every.join(often, "anchor", "left_semi"))
+    shared = cut(every.join(often, "anchor", "left_semi"), release=True)
     firsts = cut(shared.groupBy("anchor", "span").agg(
         F.min(F.struct("id", "h", "first", "last")).alias("one"), F.count("*").alias("n")))
     whole = (shared.join(firsts.where("n > 1").select("anchor", "span", "one"), ["anchor", "span"])
@@ -253,7 +253,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     kinds = firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = (firsts.join(kinds, "anchor")
               .select("one.id", "one.h", "anchor", (F.col("kinds") > crowd).alias("crowd"), "one.first", "one.last"))
-    parts = cut(span_words(docs, wanted, window))
+    parts = cut(span_words(docs, wanted, window), release=True)
     return (whole.unionByName(shard_repeats(parts.where("not crowd"), window, 4 * partitions(spark)))
             .unionByName(crowd_repeats(parts.where("crowd"), window)))
 
@@ -282,11 +282,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated windows, n_words, n_removed, and the SHA-256 of the kept words
     joined by a space."""
     text = F.col(text_col).cast("string")
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    keyed = docs.select(F.col(id_col).alias("id"), F.hash(text).alias("h"), text.alias("text"))
     found = repeated_windows(keyed.where("id is not null"), window, gram, crowd)
     per_doc = found.groupBy(F.col("id").alias("__dw_id"), F.col("h").alias("__dw_h")).agg(F.collect_list(
         F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("last").cast("long"))).alias("__dw_runs"))
-    joined = docs.join(per_doc, (docs[id_col] == F.col("__dw_id")) & (F.xxhash64(text) == F.col("__dw_h")), "left") \
+    joined = docs.join(per_doc, (docs[id_col] == F.col("__dw_id")) & (F.hash(text) == F.col("__dw_h")), "left") \
         .drop("__dw_id", "__dw_h")
 
     def run(texts, found):
