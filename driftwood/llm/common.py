@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import re
+import time
 
 import numpy as np
 import xxhash
@@ -41,6 +42,7 @@ def cut(df: DataFrame, release: bool = False) -> DataFrame:
     if release:
         del df
         gc.collect()
+        time.sleep(1.5)  # released Python handles reach the JVM about once a second
         out.sparkSession.sparkContext._jvm.System.gc()
     return out
 
