@@ -31,20 +31,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def cut(df: DataFrame, release: bool = False) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its
-    lineage; the files outlive any executor.  ``release`` also lets Spark's
-    cleaner drop the shuffle files of the finished job at once, instead of
-    whenever the driver next collects its garbage: for steps that move about
-    as much as the input."""
+    lineage; the files outlive any executor."""
     ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    if release:
-        del df
-        gc.collect()
-        time.sleep(1.5)  # released Python handles reach the JVM about once a second
-        out.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished jobs now,
+    instead of whenever the driver next collects its garbage; for after a
+    ``cut`` of a step that moves about as much as the input."""
+    gc.collect()
+    time.sleep(1.5)  # released Python handles reach the JVM about once a second
+    spark.sparkContext._jvm.System.gc()
 
 
 def n_words(text: Column) -> Column:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import WORD_RE, WordHashes, cut, mix64, partitions, words_of
+from driftwood.llm.common import WORD_RE, WordHashes, cut, mix64, partitions, release, words_of
 from driftwood.session import ship_package
 
 WINDOW, GRAM = 20, 6
@@ -243,7 +243,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     ship_package(spark)
     every = spans(docs, window, gram)
     often = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    shared = cut(every.join(often, "anchor", "left_semi"), release=True)
+    shared = cut(every.join(often, "anchor", "left_semi"))
+    release(spark)
     firsts = cut(shared.groupBy("anchor", "span").agg(
         F.min(F.struct("id", "h", "first", "last")).alias("one"), F.count("*").alias("n")))
     whole = (shared.join(firsts.where("n > 1").select("anchor", "span", "one"), ["anchor", "span"])
@@ -253,7 +254,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     kinds = firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = (firsts.join(kinds, "anchor")
               .select("one.id", "one.h", "anchor", (F.col("kinds") > crowd).alias("crowd"), "one.first", "one.last"))
-    parts = cut(span_words(docs, wanted, window), release=True)
+    parts = cut(span_words(docs, wanted, window))
+    release(spark)
     return (whole.unionByName(shard_repeats(parts.where("not crowd"), window, 4 * partitions(spark)))
             .unionByName(crowd_repeats(parts.where("crowd"), window)))
 
