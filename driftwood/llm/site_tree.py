@@ -10,11 +10,15 @@ from the root, counted once per page.  Two distributions are kept per node, over
 Importance of a node is the entropy of its distributions over the pages that
 show it, in units of their number's logarithm: 1 if every page differs, 0 if
 all agree.  A leaf's importance comes from its content; an inner node's is
-``(1 - DECAY) * style + DECAY * mean importance of its children``.  A node
-that fewer than ``FEW`` pages show has importance 1, as nothing is known.
-
-On each page the branches of low importance (below ``LEAST``) go, and so do
-branches whose presentation names a part that is never the article: menus,
+``(1 - DECAY) * style + DECAY * mean importance of its children``, worked out
+from the deepest level up, however deep the tree is.  A node that fewer than
+``FEW`` pages show has importance 1, as nothing is known (and so have all
+nodes below it, which no more pages show).
+
+On each page the text of blocks of low importance (below ``LEAST``) goes; a
+block inside a low one is judged by its own importance, so wrappers that look
+alike on every page take no text with them, whatever their number.  Gone are
+also branches whose presentation names a part that is never the article: menus,
 headers and footers outside it, sidebars, notices, adverts, forms, comments,
 scripts and styles.  Random adverts and menus change from page to page, so
 entropy alone can't tell them from the article: the names decide there, and
@@ -168,22 +172,22 @@ def text_of(node: Node) -> str:
 
 
 def observations(root: Node) -> Iterator[tuple]:
-    """(path, parent path, kind, value) of each distinct node of a page:
+    """(path, parent path, depth, kind, value) of each distinct node of a page:
     style "s" or content "c"; a node that occurs more than once on the page
     is seen with its first occurrence."""
-    seen, stack = set(), [(root, 0)]
+    seen, stack = set(), [(root, 0, 0)]
     while stack:
-        node, parent = stack.pop()
+        node, parent, depth = stack.pop()
         if node.tag in SILENT or node.path in seen:
             continue
         seen.add(node.path)
         kids = inner(node)
         own = SPACE.sub(" ", "".join(c for c in node.children if isinstance(c, str))).strip()
         if kids:
-            yield node.path, parent, "s", xxhash.xxh3_64_intdigest(">".join(k.look for k in kids))
+            yield node.path, parent, depth, "s", xxhash.xxh3_64_intdigest(">".join(k.look for k in kids))
         if own or not kids:
-            yield node.path, parent, "c", xxhash.xxh3_64_intdigest(own)
-        stack.extend((k, node.path) for k in kids)
+            yield node.path, parent, depth, "c", xxhash.xxh3_64_intdigest(own)
+        stack.extend((k, node.path, depth + 1) for k in kids)
 
 
 def host_of(url: Column) -> Column:
@@ -199,41 +203,56 @@ def signed(x: int) -> int:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, parent, n, style, content): the style tree's nodes with
+    """(host, path, parent, depth, n, style, content): the style tree's nodes with
     the entropies of their distributions; ``pages`` has host and html."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            out = [(h, signed(p), signed(q), kind, signed(v)) for h, html in zip(part["host"], part["html"])
-                   for p, q, kind, v in observations(parse(html))]
-            yield pd.DataFrame(out, columns=["host", "path", "parent", "kind", "value"])
+            out = [(h, signed(p), signed(q), d, kind, signed(v)) for h, html in zip(part["host"], part["html"])
+                   for p, q, d, kind, v in observations(parse(html))]
+            yield pd.DataFrame(out, columns=["host", "path", "parent", "depth", "kind", "value"])
 
-    seen = pages.mapInPandas(run, "host string, path long, parent long, kind string, value long")
+    seen = pages.mapInPandas(run, "host string, path long, parent long, depth int, kind string, value long")
     n = F.col("n").cast("double")
-    spread = (seen.groupBy("host", "path", "parent", "kind", "value").agg(F.count("*").alias("n"))
-              .groupBy("host", "path", "parent", "kind")
+    spread = (seen.groupBy("host", "path", "parent", "depth", "kind", "value").agg(F.count("*").alias("n"))
+              .groupBy("host", "path", "parent", "depth", "kind")
               .agg(F.sum("n").alias("pages"), F.sum(n * F.log(n)).alias("nlogn")))
     m = F.col("pages")
     entropy = F.when(m < FEW, 1.0).otherwise((F.log(m) - F.col("nlogn") / m) / F.log(m))
     nodes = (spread.withColumn("h", F.least(F.lit(1.0), F.greatest(F.lit(0.0), entropy)))
-             .groupBy("host", "path", "parent")
+             .groupBy("host", "path", "parent", "depth")
              .agg(F.max("pages").alias("n"), F.max(F.when(F.col("kind") == "s", F.col("h"))).alias("style"),
                   F.max(F.when(F.col("kind") == "c", F.col("h"))).alias("content")))
     return cut(nodes)
 
 
-def removable(nodes: DataFrame, least: float = LEAST, decay: float = DECAY, levels: int = 6) -> DataFrame:
-    """(host, low array<long>): nodes whose importance is below ``least``.
-    Importance is handed from children to parents, ``levels`` times."""
-    now = nodes.select("host", "path", "parent", "n", "style", "content",
-                       F.coalesce("content", "style", F.lit(1.0)).alias("imp"))
-    for _ in range(levels):
-        below = (now.groupBy("host", F.col("parent").alias("path"))
+def important(nodes: DataFrame, decay: float = DECAY) -> list[DataFrame]:
+    """(host, path, parent, n, imp) of the nodes, a DataFrame per level.  The
+    levels are worked out from the deepest that ``FEW`` pages of a host share
+    up to the root; below it every importance is 1."""
+    deepest = nodes.where(F.col("n") >= FEW).agg(F.max("depth")).first()[0]
+    columns = ["host", "path", "parent", "n", "imp"]
+    levels = []
+    above = nodes.where(F.col("depth") == (-1 if deepest is None else deepest) + 1) \
+        .withColumn("imp", F.lit(1.0)).select(columns)
+    for depth in range(-1 if deepest is None else deepest, -1, -1):
+        below = (above.groupBy("host", F.col("parent").alias("path"))
                  .agg((F.sum(F.col("imp") * F.col("n")) / F.sum("n")).alias("below")))
-        inner_imp = (1 - decay) * F.coalesce("style", F.lit(0.0)) + decay * F.col("below")
-        now = cut(now.join(below, ["host", "path"], "left")  # else the plan doubles at every level
-                  .withColumn("imp", F.when(F.col("below").isNull(), F.col("imp"))
-                              .otherwise(F.greatest(inner_imp, F.coalesce("content", F.lit(0.0))))).drop("below"))
+        inner_imp = F.greatest((1 - decay) * F.coalesce("style", F.lit(0.0)) + decay * F.col("below"),
+                               F.coalesce("content", F.lit(0.0)))
+        imp = F.when(F.col("n") < FEW, 1.0).when(F.col("below").isNull(), F.coalesce("content", "style", F.lit(1.0)))
+        above = cut(nodes.where(F.col("depth") == depth).join(below, ["host", "path"], "left")
+                    .withColumn("imp", imp.otherwise(inner_imp)).select(columns))
+        levels.append(above)
+    return levels or [above]
+
+
+def removable(nodes: DataFrame, least: float = LEAST, decay: float = DECAY) -> DataFrame:
+    """(host, low array<long>): nodes whose importance is below ``least``."""
+    now = None
+    for i, level in enumerate(important(nodes, decay)):
+        now = level if now is None else now.unionByName(level)
+        now = cut(now) if i % 64 == 63 else now  # else a very deep tree makes a very long plan
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "path"))
     return (now.where(F.col("imp") < least).withColumn("rank", rank).where(F.col("rank") <= PATHS)
             .groupBy("host").agg(F.collect_list("path").alias("low")))
@@ -253,13 +272,17 @@ def link_share(node: Node) -> float:
     return linked / total if total else 0.0
 
 
-def unwanted(node: Node, low: set, in_main: bool) -> bool:
+def named(node: Node, in_main: bool) -> bool:
+    """Whether tag or names say that the branch is never the article."""
     if node.tag in SILENT or node.tag in OUTSIDE or "hidden" in node.names.split():
         return True
     if node.tag == "header":
         return not in_main
-    if node.tag not in ("article", "main", "body", "html") and node.names and PARTS.search(node.names):
-        return True
+    return bool(node.tag not in ("article", "main", "body", "html") and node.names and PARTS.search(node.names))
+
+
+def unimportant(node: Node, low: set, in_main: bool) -> bool:
+    """Whether the block's own text goes; blocks inside are judged apart."""
     return node.path in low and (not in_main or link_share(node) > 0.5) and node.tag in BLOCKS \
         and node.tag not in ("article", "main", "body", "html")
 
@@ -273,7 +296,7 @@ def main_parts(root: Node) -> list[Node]:
             node = stack.pop()
             if node.tag == tag:
                 found.append(node)
-            elif node is root or not unwanted(node, set(), False):
+            elif node is root or not named(node, False):
                 stack.extend(reversed(inner(node)))
         if found:
             return found
@@ -293,20 +316,22 @@ def extract(html: str | None, low: set) -> str:
 
     parts = main_parts(root)
     in_main = parts[0] is not root
-    stack = [("open", p) for p in reversed(parts)]
+    stack = [("open", p, False) for p in reversed(parts)]
     while stack:
-        what, node = stack.pop()
+        what, node, mute = stack.pop()
         if isinstance(node, str):
-            words.append(node)
+            if not mute:
+                words.append(node)
         elif what == "close":
             flush()
         elif node.tag == "br":
             words.append(" ")
-        elif node in parts or not unwanted(node, low, in_main):
+        elif node in parts or not named(node, in_main):
             if node.tag in BLOCKS:
+                mute = unimportant(node, low, in_main)  # inline elements go with the block they are in
                 flush()
-                stack.append(("close", node))
-            stack.extend(("open", c) for c in reversed(node.children))
+                stack.append(("close", node, mute))
+            stack.extend(("open", c, mute) for c in reversed(node.children))
     flush()
     return "\n\n".join(blocks)
 

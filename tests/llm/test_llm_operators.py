@@ -149,6 +149,20 @@ def test_style_tree_removes_what_every_page_of_a_host_has(spark):
     assert got[100] == "the same"  # too few pages to know
 
 
+def main_texts(spark, htmls, host="h.example"):
+    rows = [(i, f"http://{host}/{i}", h) for i, h in enumerate(htmls)]
+    got = site_tree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_style_tree_keeps_text_below_many_wrappers(spark):
+    for wraps in (["table", "tbody", "tr", "td"] * 3, ["div"] * 30):
+        up, down = "".join(f"<{t}>" for t in wraps), "".join(f"</{t}>" for t in reversed(wraps))
+        got = main_texts(spark, [f"<div><p>the same</p></div>{up}<p>text {i} of page</p><p>more {i * 7}</p>{down}"
+                                 for i in range(12)])
+        assert got == [f"text {i} of page\n\nmore {i * 7}" for i in range(12)]
+
+
 def test_main_text_equals_the_articles(spark):
     import html
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
