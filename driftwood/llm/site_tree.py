@@ -2,11 +2,17 @@
 
 The pages of a host are merged into one tree of element nodes: a node is a
 path of presentations (tag and class names, numbered among equal siblings)
-from the root, counted once per page.  Two distributions are kept per node, over the pages that have it:
+from the root, counted once per page.  Two distributions are kept per node,
+over the pages that have it:
 
 * style: the sequence of its children's presentations,
 * content: its own text.
 
+Siblings of one presentation move from number to number as pages get longer,
+so each of their blocks also counts by what it says: the text of a block (with
+its inline elements) is counted per host, parent and presentation, once per
+page, beside the pages that have such a block there.
+
 Importance of a node is the entropy of its distributions over the pages that
 show it, in units of their number's logarithm: 1 if every page differs, 0 if
 all agree.  A leaf's importance comes from its content; an inner node's is
@@ -17,8 +23,11 @@ nodes below it, which no more pages show).
 
 On each page the text of blocks of low importance (below ``LEAST``) goes; a
 block inside a low one is judged by its own importance, so wrappers that look
-alike on every page take no text with them, whatever their number.  Gone are
-also branches whose presentation names a part that is never the article: menus,
+alike on every page take no text with them, whatever their number.  A text
+that all but ``LEAST`` of the pages have goes under any number; and of several
+equal siblings one of low importance stays if less than ``LEAST`` of the pages
+have its text, so a constant sibling takes no other with it.  Gone are also
+branches whose presentation names a part that is never the article: menus,
 headers and footers outside it, sidebars, notices, adverts, forms, comments,
 scripts and styles.  Random adverts and menus change from page to page, so
 entropy alone can't tell them from the article: the names decide there, and
@@ -55,8 +64,11 @@ from driftwood.llm.common import cut
 from driftwood.session import ship_package
 
 FEW, LEAST, DECAY, PATHS = 5, 0.2, 0.9, 2_000
-#: Children of one presentation that are told apart by their number.
-SIBLINGS = 8
+#: What ``low`` holds besides paths of low importance: hashes of block texts
+#: that at least LEAST (OFTEN), or all but LEAST (MOST) of the pages have.
+OFTEN, MOST = 0x5851F42D4C957F2D, 0x14057B7EF767814F
+#: Depths of rows that are no nodes: pages of a group of siblings, its texts.
+GROUP, TEXT = -1, -2
 #: Low-importance nodes of all hosts together that are broadcast at most.
 BROADCAST_NODES = 1_000_000
 
@@ -83,13 +95,13 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "children", "parent", "look", "path")
+    __slots__ = ("tag", "names", "children", "parent", "look", "path", "several")
 
     def __init__(self, tag: str, names: str = "", parent: Node | None = None):
         self.tag, self.names, self.parent = tag, names, parent
         self.children: list = []  # nodes and strings
         self.look = f"{tag}.{'.'.join(sorted(set(names.lower().split())))}" if names else tag
-        self.path = 0
+        self.path, self.several = 0, False  # several: has siblings of its look
 
 
 class Builder(HTMLParser):
@@ -150,9 +162,12 @@ def parse(html: str | None) -> Node:
         seen: dict[str, int] = {}
         for c in node.children:
             if isinstance(c, Node):
-                seen[c.look] = n = min(seen.get(c.look, 0) + 1, SIBLINGS)
+                seen[c.look] = n = seen.get(c.look, 0) + 1
                 c.path = xxhash.xxh3_64_intdigest(f"{c.look}[{n}]", node.path)
                 stack.append(c)
+        if any(n > 1 for n in seen.values()):
+            for c in inner(node):
+                c.several = seen[c.look] > 1
     return b.root
 
 
@@ -171,22 +186,46 @@ def text_of(node: Node) -> str:
     return SPACE.sub(" ", "".join(out)).strip()
 
 
+def group_and_text(node: Node) -> tuple[int, int]:
+    """Hashes of a block's group (parent and look) and, within it, of its
+    text: all but that of the blocks inside; 0 if there is none."""
+    out, stack = [], node.children[::-1]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.tag == "br":
+            out.append(" ")
+        elif n.tag not in SILENT and n.tag not in BLOCKS:
+            stack.extend(reversed(n.children))
+    group = xxhash.xxh3_64_intdigest(node.look, node.parent.path if node.parent else 0)
+    text = SPACE.sub(" ", "".join(out)).strip()
+    return group, xxhash.xxh3_64_intdigest(text, group) if text else 0
+
+
 def observations(root: Node) -> Iterator[tuple]:
-    """(path, parent path, depth, kind, value) of each distinct node of a page:
-    style "s" or content "c"; a node that occurs more than once on the page
-    is seen with its first occurrence."""
+    """(path, parent path, depth, kind, value) of every node of a page: style
+    "s" or content "c"; and once each, of its groups of equal siblings
+    (depth ``GROUP``) and of their blocks' texts (depth ``TEXT``)."""
     seen, stack = set(), [(root, 0, 0)]
     while stack:
         node, parent, depth = stack.pop()
-        if node.tag in SILENT or node.path in seen:
+        if node.tag in SILENT:
             continue
-        seen.add(node.path)
         kids = inner(node)
         own = SPACE.sub(" ", "".join(c for c in node.children if isinstance(c, str))).strip()
         if kids:
             yield node.path, parent, depth, "s", xxhash.xxh3_64_intdigest(">".join(k.look for k in kids))
         if own or not kids:
             yield node.path, parent, depth, "c", xxhash.xxh3_64_intdigest(own)
+        if node.tag in BLOCKS:
+            group, text = group_and_text(node)
+            if group not in seen:
+                seen.add(group)
+                yield group, 0, GROUP, "g", 0
+            if text and text not in seen:
+                seen.add(text)
+                yield group, 0, TEXT, "t", text
         stack.extend((k, node.path, depth + 1) for k in kids)
 
 
@@ -203,8 +242,9 @@ def signed(x: int) -> int:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, parent, depth, n, style, content): the style tree's nodes with
-    the entropies of their distributions; ``pages`` has host and html."""
+    """(host, path, parent, depth, n, style, content, text): the style tree's
+    nodes with the entropies of their distributions, the groups of siblings
+    and their texts; ``pages`` has host and html."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -214,7 +254,13 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     seen = pages.mapInPandas(run, "host string, path long, parent long, depth int, kind string, value long")
     n = F.col("n").cast("double")
-    spread = (seen.groupBy("host", "path", "parent", "depth", "kind", "value").agg(F.count("*").alias("n"))
+    counted = seen.groupBy("host", "path", "parent", "depth", "kind", "value").agg(F.count("*").alias("n"))
+    # one condition over n and depth: a filter by depth would go below the
+    # counting, which then runs twice
+    texts = (counted.where(F.when(F.col("depth") == TEXT, F.col("n")).otherwise(0) >= FEW)
+             .select("host", "path", "parent", "depth", "n", F.lit(None).cast("double").alias("style"),
+                     F.lit(None).cast("double").alias("content"), F.col("value").alias("text")))
+    spread = (counted
               .groupBy("host", "path", "parent", "depth", "kind")
               .agg(F.sum("n").alias("pages"), F.sum(n * F.log(n)).alias("nlogn")))
     m = F.col("pages")
@@ -222,8 +268,10 @@ def style_tree(pages: DataFrame) -> DataFrame:
     nodes = (spread.withColumn("h", F.least(F.lit(1.0), F.greatest(F.lit(0.0), entropy)))
              .groupBy("host", "path", "parent", "depth")
              .agg(F.max("pages").alias("n"), F.max(F.when(F.col("kind") == "s", F.col("h"))).alias("style"),
-                  F.max(F.when(F.col("kind") == "c", F.col("h"))).alias("content")))
-    return cut(nodes)
+                  F.max(F.when(F.col("kind") == "c", F.col("h"))).alias("content"))
+             .where(F.when(F.col("depth") == TEXT, F.lit(0)).otherwise(F.col("n")) > 0)
+             .withColumn("text", F.lit(None).cast("long")))
+    return cut(nodes.unionByName(texts))
 
 
 def important(nodes: DataFrame, decay: float = DECAY) -> list[DataFrame]:
@@ -247,14 +295,27 @@ def important(nodes: DataFrame, decay: float = DECAY) -> list[DataFrame]:
     return levels or [above]
 
 
+def frequent_texts(tree: DataFrame, least: float = LEAST) -> DataFrame:
+    """(host, path, n): texts by their share of the pages of their group,
+    marked ``OFTEN`` and ``MOST``."""
+    groups = tree.where(F.col("depth") == GROUP).select("host", "path", F.col("n").alias("pages"))
+    share = F.col("n") / F.col("pages")
+    marks = F.array(F.when(share >= least, OFTEN), F.when(share >= 1 - least, MOST))
+    return (tree.where(F.col("depth") == TEXT).join(groups, ["host", "path"])
+            .select("host", "text", "n", F.explode(F.array_compact(marks)).alias("mark"))
+            .select("host", F.col("text").bitwiseXOR(F.col("mark")).alias("path"), "n"))
+
+
 def removable(nodes: DataFrame, least: float = LEAST, decay: float = DECAY) -> DataFrame:
-    """(host, low array<long>): nodes whose importance is below ``least``."""
+    """(host, low array<long>): nodes whose importance is below ``least``, and
+    the marked ``frequent_texts``."""
     now = None
     for i, level in enumerate(important(nodes, decay)):
         now = level if now is None else now.unionByName(level)
         now = cut(now) if i % 64 == 63 else now  # else a very deep tree makes a very long plan
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "path"))
-    return (now.where(F.col("imp") < least).withColumn("rank", rank).where(F.col("rank") <= PATHS)
+    low = now.where(F.col("imp") < least).select("host", "path", "n").unionByName(frequent_texts(nodes, least))
+    return (low.withColumn("rank", rank).where(F.col("rank") <= PATHS)
             .groupBy("host").agg(F.collect_list("path").alias("low")))
 
 
@@ -283,8 +344,12 @@ def named(node: Node, in_main: bool) -> bool:
 
 def unimportant(node: Node, low: set, in_main: bool) -> bool:
     """Whether the block's own text goes; blocks inside are judged apart."""
-    return node.path in low and (not in_main or link_share(node) > 0.5) and node.tag in BLOCKS \
-        and node.tag not in ("article", "main", "body", "html")
+    if not low or node.tag not in BLOCKS or node.tag in ("article", "main", "body", "html"):
+        return False
+    text = group_and_text(node)[1]
+    if not (text ^ MOST in low or node.path in low and (not node.several or text ^ OFTEN in low)):
+        return False
+    return not in_main or link_share(node) > 0.5
 
 
 def main_parts(root: Node) -> list[Node]:

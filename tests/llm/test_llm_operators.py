@@ -163,6 +163,21 @@ def test_style_tree_keeps_text_below_many_wrappers(spark):
         assert got == [f"text {i} of page\n\nmore {i * 7}" for i in range(12)]
 
 
+def test_a_constant_sibling_takes_no_other_with_it(spark):
+    for few, more in ((12, 0), (9, 5), (1, 3)):  # as many on every page, or not
+        own = [[f"part {j} of page {i}" for j in range(few + i % (more + 1))] for i in range(24)]
+        for tag in ("p", "div"):
+            got = main_texts(spark, ["<div>" + "".join(f"<{tag}>{x}</{tag}>" for x in [*o, "all rights reserved"])
+                                     + "</div>" for o in own])
+            assert got == ["\n\n".join(o) for o in own]
+
+
+def test_long_copies_stay_on_their_pages(spark):
+    own = [[f"part {j} of page {i if i > 6 else 'x'}" for j in range(9 if i > 6 else 30)] for i in range(60)]
+    got = main_texts(spark, ["<div>" + "".join(f"<p>{x}</p>" for x in o) + "</div>" for o in own])
+    assert got == ["\n\n".join(o) for o in own]
+
+
 def test_main_text_equals_the_articles(spark):
     import html
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
