@@ -32,9 +32,12 @@ headers and footers outside it, sidebars, notices, adverts, forms, comments,
 scripts and styles.  Random adverts and menus change from page to page, so
 entropy alone can't tell them from the article: the names decide there, and
 entropy decides for unnamed boilerplate.  Where a page marks its main part
-(``article``, ``main``), only that part is read, and inside it entropy
-removes nothing but link-heavy branches, so that an article published twice
-on a host stays.
+(``article``, else ``main``), that part is read if it has at least ``HALF`` as
+much of the text that is left, without links, as any wider part; so a teaser
+in an ``article`` hides no text outside.  Inside a main part a low block goes
+if at least ``HALF`` of the host's pages have it, or if it is mostly links, so
+that an article published several times on a host stays; and so does a main
+part of which nothing but headings would be left.
 
 Spark side: pages are parsed twice, once for the statistics and once for the
 extraction.  Statistics are summed by (host, node, distribution, value) and
@@ -67,6 +70,9 @@ FEW, LEAST, DECAY, PATHS = 5, 0.2, 0.9, 2_000
 #: What ``low`` holds besides paths of low importance: hashes of block texts
 #: that at least LEAST (OFTEN), or all but LEAST (MOST) of the pages have.
 OFTEN, MOST = 0x5851F42D4C957F2D, 0x14057B7EF767814F
+#: Share of a host's pages that have a block which goes inside a main part (with
+#: the mark MANY), and of the text that a main part must have.
+HALF, MANY = 0.5, 0x2545F4914F6CDD1D
 #: Depths of rows that are no nodes: pages of a group of siblings, its texts.
 GROUP, TEXT = -1, -2
 #: Low-importance nodes of all hosts together that are broadcast at most.
@@ -308,17 +314,33 @@ def frequent_texts(tree: DataFrame, least: float = LEAST) -> DataFrame:
 
 def removable(nodes: DataFrame, least: float = LEAST, decay: float = DECAY) -> DataFrame:
     """(host, low array<long>): nodes whose importance is below ``least``, and
-    the marked ``frequent_texts``."""
+    the marked ``frequent_texts``; again with ``MANY`` if ``HALF`` of the
+    host's pages have them."""
     now = None
     for i, level in enumerate(important(nodes, decay)):
         now = level if now is None else now.unionByName(level)
         now = cut(now) if i % 64 == 63 else now  # else a very deep tree makes a very long plan
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "path"))
     low = now.where(F.col("imp") < least).select("host", "path", "n").unionByName(frequent_texts(nodes, least))
+    pages = nodes.where(F.col("depth") == 0).select("host", F.col("n").alias("pages"))
+    many = F.when(F.col("n") >= HALF * F.col("pages"), F.col("path").bitwiseXOR(F.lit(MANY)))
+    low = (low.join(F.broadcast(pages), "host")
+           .select("host", "n", F.explode(F.array_compact(F.array("path", many))).alias("path")))
     return (low.withColumn("rank", rank).where(F.col("rank") <= PATHS)
             .groupBy("host").agg(F.collect_list("path").alias("low")))
 
 
+def strings(node: Node) -> Iterator[str]:
+    """All strings of a branch that can be text."""
+    stack = [node]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            yield n.strip()
+        elif n.tag not in SILENT:
+            stack.extend(n.children)
+
+
 def link_share(node: Node) -> float:
     total = linked = 0
     stack = [(node, False)]
@@ -347,31 +369,34 @@ def unimportant(node: Node, low: set, in_main: bool) -> bool:
     if not low or node.tag not in BLOCKS or node.tag in ("article", "main", "body", "html"):
         return False
     text = group_and_text(node)[1]
-    if not (text ^ MOST in low or node.path in low and (not node.several or text ^ OFTEN in low)):
-        return False
-    return not in_main or link_share(node) > 0.5
 
+    def among(mark: int) -> bool:
+        return text ^ MOST ^ mark in low or node.path ^ mark in low and (
+            not node.several or text ^ OFTEN ^ mark in low)
 
-def main_parts(root: Node) -> list[Node]:
-    """The outermost article elements, else main elements, else the page;
-    articles inside a comment section and the like don't count."""
-    for tag in ("article", "main"):
-        found, stack = [], [root]
-        while stack:
-            node = stack.pop()
-            if node.tag == tag:
-                found.append(node)
-            elif node is root or not named(node, False):
-                stack.extend(reversed(inner(node)))
-        if found:
-            return found
-    return [root]
+    return in_main and among(MANY) or among(0) and (not in_main or link_share(node) > 0.5)
 
 
-def extract(html: str | None, low: set) -> str:
-    """Text blocks of the main part, joined by an empty line."""
-    root = parse(html)
-    blocks, words = [], []
+def marked_parts(root: Node, tag: str) -> list[Node]:
+    """The outermost elements of a tag; articles inside a comment section and
+    the like don't count."""
+    found, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.tag == tag:
+            found.append(node)
+        elif node is root or not named(node, False):
+            stack.extend(reversed(inner(node)))
+    return found
+
+
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
+
+
+def kept(parts: list[Node], in_main: bool, low: set) -> tuple[list[str], int, int]:
+    """Text blocks that stay, and the length of their text without links and
+    of that without headings."""
+    blocks, words, sizes = [], [], [0, 0]
 
     def flush():
         text = SPACE.sub(" ", "".join(words)).strip()
@@ -379,25 +404,44 @@ def extract(html: str | None, low: set) -> str:
         if text:
             blocks.append(text)
 
-    parts = main_parts(root)
-    in_main = parts[0] is not root
-    stack = [("open", p, False) for p in reversed(parts)]
+    top = set(map(id, parts))
+    stack = [("open", p, False, False, False) for p in reversed(parts)]
     while stack:
-        what, node, mute = stack.pop()
+        what, node, mute, link, heading = stack.pop()
         if isinstance(node, str):
             if not mute:
                 words.append(node)
+                size = 0 if link else len(node.strip())
+                sizes[0] += size
+                sizes[1] += 0 if heading else size
         elif what == "close":
             flush()
         elif node.tag == "br":
             words.append(" ")
-        elif node in parts or not named(node, in_main):
+        elif id(node) in top or not named(node, in_main):
             if node.tag in BLOCKS:
                 mute = unimportant(node, low, in_main)  # inline elements go with the block they are in
                 flush()
-                stack.append(("close", node, mute))
-            stack.extend(("open", c, mute) for c in reversed(node.children))
+                stack.append(("close", node, mute, link, heading))
+            link, heading = link or node.tag == "a", heading or node.tag in HEADINGS
+            stack.extend(("open", c, mute, link, heading) for c in reversed(node.children))
     flush()
+    return blocks, *sizes
+
+
+def extract(html: str | None, low: set) -> str:
+    """Text blocks of the main part, joined by an empty line."""
+    root = parse(html)
+    found = []
+    for tag in ("article", "main"):
+        if parts := marked_parts(root, tag):
+            one = kept(parts, True, low)
+            if not one[2] and low:  # all of it on many pages: published again, not boilerplate
+                one = kept(parts, True, set())
+            found.append(one)
+    if not found or found[0][1] < HALF * sum(len(t) for t in strings(root)):
+        found.append(kept([root], False, low))
+    blocks, *_ = next(x for i, x in enumerate(found) if all(x[1] >= HALF * y[1] for y in found[i + 1:]))
     return "\n\n".join(blocks)
 
 

@@ -178,6 +178,23 @@ def test_long_copies_stay_on_their_pages(spark):
     assert got == ["\n\n".join(o) for o in own]
 
 
+def test_importance_decides_inside_the_article(spark):
+    own = [f"text {i} of its own" if i > 8 else "published nine times" for i in range(30)]
+    got = main_texts(spark, [f"<article><h1>title {i}</h1><p>{x}</p><div><p>all you need to know about us</p></div>"
+                             "</article>" for i, x in enumerate(own)])
+    assert got == [f"title {i}\n\n{x}" for i, x in enumerate(own)]
+    # an article that is all there is on its host
+    assert main_texts(spark, ["<article><h1>t</h1><p>one text</p></article>"] * 8) == ["t\n\none text"] * 8
+
+
+def test_a_teaser_in_an_article_hides_no_text(spark):
+    text = "a long sentence of the page, number {} {}"
+    for left, right in (("<main>", "</main>"), ("<div>", "</div>")):
+        got = main_texts(spark, [f"<div><article><p>card {i}</p></article></div>{left}" + "".join(
+            f"<p>{text.format(i, j)}</p>" for j in range(5)) + right for i in range(8)])
+        assert all(text.format(i, j) in x for i, x in enumerate(got) for j in range(5))
+
+
 def test_main_text_equals_the_articles(spark):
     import html
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
