@@ -41,10 +41,11 @@ part of which nothing but headings would be left.
 
 Spark side: pages are parsed twice, once for the statistics and once for the
 extraction.  Statistics are summed by (host, node, distribution, value) and
-then by (host, node), both with map-side partial sums, so a host with a third
+then by (host, node), both with map-side partial sums, so a host so a host with a third
 of all pages is no hot key.  What comes back to the pages of a host is its
-list of low-importance nodes; a host's list is bounded by ``PATHS``, beyond
-which its rarest nodes are treated as unknown (importance 1).
+list of low-importance nodes, however long: broadcast if the lists are short,
+or else only those that a page itself has, joined by host
+and node.
 
 Defined cases: null or empty pages have no text; a url without a host counts
 as host ''; broken markup is read as a browser would: open paragraphs and
@@ -60,13 +61,13 @@ from html.parser import HTMLParser
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwood.llm.common import cut
 from driftwood.session import ship_package
 
-FEW, LEAST, DECAY, PATHS = 5, 0.2, 0.9, 2_000
+FEW, LEAST, DECAY = 5, 0.2, 0.9
 #: What ``low`` holds besides paths of low importance: hashes of block texts
 #: that at least LEAST (OFTEN), or all but LEAST (MOST) of the pages have.
 OFTEN, MOST = 0x5851F42D4C957F2D, 0x14057B7EF767814F
@@ -75,8 +76,9 @@ OFTEN, MOST = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 HALF, MANY = 0.5, 0x2545F4914F6CDD1D
 #: Depths of rows that are no nodes: pages of a group of siblings, its texts.
 GROUP, TEXT = -1, -2
-#: Low-importance nodes of all hosts together that are broadcast at most.
-BROADCAST_NODES = 1_000_000
+#: Low-importance nodes of all hosts together, and of one host, that are
+#: broadcast at most; beyond either, pages are joined with their own.
+BROADCAST_NODES, HOST_NODES = 1_000_000, 5_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text.
@@ -302,32 +304,30 @@ def important(nodes: DataFrame, decay: float = DECAY) -> list[DataFrame]:
 
 
 def frequent_texts(tree: DataFrame, least: float = LEAST) -> DataFrame:
-    """(host, path, n): texts by their share of the pages of their group,
-    marked ``OFTEN`` and ``MOST``."""
+    """(host, path, n, item): texts (path is the hash) by their share of the
+    pages of their group, marked ``OFTEN`` and ``MOST`` in item."""
     groups = tree.where(F.col("depth") == GROUP).select("host", "path", F.col("n").alias("pages"))
     share = F.col("n") / F.col("pages")
     marks = F.array(F.when(share >= least, OFTEN), F.when(share >= 1 - least, MOST))
     return (tree.where(F.col("depth") == TEXT).join(groups, ["host", "path"])
             .select("host", "text", "n", F.explode(F.array_compact(marks)).alias("mark"))
-            .select("host", F.col("text").bitwiseXOR(F.col("mark")).alias("path"), "n"))
+            .select("host", F.col("text").alias("path"), "n", F.col("text").bitwiseXOR(F.col("mark")).alias("item")))
 
 
 def removable(nodes: DataFrame, least: float = LEAST, decay: float = DECAY) -> DataFrame:
-    """(host, low array<long>): nodes whose importance is below ``least``, and
+    """(host, path, item): nodes whose importance is below ``least``, and
     the marked ``frequent_texts``; again with ``MANY`` if ``HALF`` of the
-    host's pages have them."""
+    host's pages have them: item is path (or the text's hash) with the marks."""
     now = None
     for i, level in enumerate(important(nodes, decay)):
         now = level if now is None else now.unionByName(level)
         now = cut(now) if i % 64 == 63 else now  # else a very deep tree makes a very long plan
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "path"))
-    low = now.where(F.col("imp") < least).select("host", "path", "n").unionByName(frequent_texts(nodes, least))
+    low = (now.where(F.col("imp") < least).select("host", "path", "n", F.col("path").alias("item"))
+           .unionByName(frequent_texts(nodes, least)))
     pages = nodes.where(F.col("depth") == 0).select("host", F.col("n").alias("pages"))
-    many = F.when(F.col("n") >= HALF * F.col("pages"), F.col("path").bitwiseXOR(F.lit(MANY)))
-    low = (low.join(F.broadcast(pages), "host")
-           .select("host", "n", F.explode(F.array_compact(F.array("path", many))).alias("path")))
-    return (low.withColumn("rank", rank).where(F.col("rank") <= PATHS)
-            .groupBy("host").agg(F.collect_list("path").alias("low")))
+    many = F.when(F.col("n") >= HALF * F.col("pages"), F.col("item").bitwiseXOR(F.lit(MANY)))
+    return (low.join(F.broadcast(pages), "host")
+            .select("host", "path", F.explode(F.array_compact(F.array("item", many))).alias("item")))
 
 
 def strings(node: Node) -> Iterator[str]:
@@ -445,13 +445,28 @@ def extract(html: str | None, low: set) -> str:
     return "\n\n".join(blocks)
 
 
+def low_of_pages(src: DataFrame, low: DataFrame) -> DataFrame:
+    """(page, low array<long>) by the digest of host and html: the items of
+    the host's that the page's own blocks have."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            out = [(h, page, signed(p)) for h, page, html in zip(part["host"], part["page"], part["html"])
+                   for p in {q for o in observations(parse(html)) for q in ((o[4],) if o[2] == TEXT else (o[0],))}]
+            yield pd.DataFrame(out, columns=["host", "page", "path"])
+
+    has = src.where(F.col("page").isNotNull()).select("host", "page", "html") \
+        .mapInPandas(run, "host string, page binary, path long")
+    return has.join(low, ["host", "path"]).groupBy("page").agg(F.collect_set("item").alias("low"))
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
-              html_col: str = "html") -> DataFrame:
+              html_col: str = "html", broadcast: int = BROADCAST_NODES, longest: int = HOST_NODES) -> DataFrame:
     """(id, url, text) of every page; see the module's notes."""
     ship_package(pages.sparkSession)
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"),
                        F.col(html_col).cast("string").alias("html"))
-    low = removable(style_tree(src.select("host", "html")))
+    low = cut(removable(style_tree(src.select("host", "html"))))
 
     def run(html: pd.Series, low: pd.Series) -> pd.Series:
         return pd.Series([extract(h, set() if x is None else {int(v) % SIGNED for v in x})
@@ -459,9 +474,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     run.__annotations__ = {"html": pd.Series, "low": pd.Series, "return": pd.Series}
     udf = F.pandas_udf(run, "string")
-    low = cut(low)
-    size = low.agg(F.sum(F.size("low") + F.length("host"))).first()[0] or 0
     # few boilerplate nodes altogether: pages stay where they are; otherwise
-    # a join by host, whose hot hosts AQE splits
-    return (src.join(F.broadcast(low) if size <= BROADCAST_NODES else low, "host", "left")
-            .select(F.col("id").alias(id_col), F.col("url").alias(url_col), udf("html", "low").alias("text")))
+    # joins by node and by page, whose hot keys AQE splits
+    size = low.groupBy("host").count().agg(F.sum("count"), F.max("count")).first()
+    if (size[0] or 0) <= broadcast and (size[1] or 0) <= longest:
+        joined = src.join(F.broadcast(low.groupBy("host").agg(F.collect_list("item").alias("low"))), "host", "left")
+    else:
+        src = src.withColumn("page", F.unhex(F.sha2(F.concat_ws("\n", "host", F.col("html")), 256)))
+        joined = src.join(low_of_pages(src, low), "page", "left")
+    return joined.select(F.col("id").alias(id_col), F.col("url").alias(url_col), udf("html", "low").alias("text"))

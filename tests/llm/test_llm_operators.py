@@ -195,6 +195,18 @@ def test_a_teaser_in_an_article_hides_no_text(spark):
         assert all(text.format(i, j) in x for i, x in enumerate(got) for j in range(5))
 
 
+def test_no_node_of_a_large_host_is_left_out(spark):
+    wide = "".join(f'<div class="c{k}">the same {k}</div>' for k in range(2200))
+    rows = [(i, f"http://h.example/{i}", f"<section>{wide}</section><p>text {i}</p>") for i in range(6)]
+    rows += [(100 + i, f"http://h.example/r{i}", f"<div class=rare>all alike</div><p>text r{i}</p>") for i in range(5)]
+    rows += rows[:2] + [(200, "http://h.example/n", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted((i, "" if h is None else "text " + u.rpartition("/")[2]) for i, u, h in rows)
+    for longest in (1_000_000, 0):
+        got = site_tree.main_text(pages, longest=longest).collect()
+        assert sorted((r.page_id, r.text) for r in got) == want
+
+
 def test_main_text_equals_the_articles(spark):
     import html
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
