@@ -57,6 +57,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -93,22 +94,40 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
         "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"},
               "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-#: Class, id and role words of parts that are never the article.
-PARTS = re.compile(r"""(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|
-    nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|aside|widget|related|footer|header|masthead|
-    cookie|cookies|consent|notice|notices|alert|popup|modal|newsletter|subscribe|signup|share|sharing|social|
-    comment|comments|commentlist|reply|replies|disqus|respond|search|login|form|pagination|pager|toolbar|skip|
-    complementary|contentinfo)(?:$|[\s_-])""", re.I | re.X)
+#: Names of parts that are never the article: a class, role or id is one if it
+#: is such a name or made of nothing but such names, ``BESIDE`` and numbers.
+PARTS = frozenset("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo nav navbar
+    navigation menu breadcrumb breadcrumbs sidebar side aside widget related footer header masthead cookie cookies
+    consent notice notices alert popup modal newsletter subscribe signup share sharing social comment comments
+    commentlist reply replies disqus respond search login form pagination pager toolbar skip complementary
+    contentinfo""".split())
+BESIDE = frozenset("""site page main top bottom left right upper lower global primary secondary mobile desktop sticky
+    fixed box bar block list item items wrapper wrap container inner outer content area section panel link links
+    button buttons btn icon icons group row col column slot unit thread text title label posts articles stories law
+    info gdpr policy message overlay to wp""".split())
+COMPOUNDS = frozenset("entry-footer post-footer article-footer post-navigation post-comment share-post".split())
+#: Ids that count inside the article too, where others come from headings.
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACE = re.compile(r"\s+")
 
 
+@lru_cache(20_000)
+def names_part(token: str, core: frozenset = PARTS) -> bool:
+    token = token.lower().partition("--")[0].replace("_", "-").strip("-")
+    words = [w for w in token.split("-") if w and not w[0].isdigit()]
+    return token in COMPOUNDS and core is PARTS or any(w in core for w in words) and all(
+        w in PARTS or w in BESIDE for w in words)
+
+
 class Node:
-    __slots__ = ("tag", "names", "children", "parent", "look", "path", "several")
+    __slots__ = ("tag", "names", "id", "children", "parent", "look", "path", "several")
 
-    def __init__(self, tag: str, names: str = "", parent: Node | None = None):
-        self.tag, self.names, self.parent = tag, names, parent
+    def __init__(self, tag: str, names: str = "", parent: Node | None = None, id: str = ""):
+        self.tag, self.names, self.parent, self.id = tag, names, parent, id  # names: class and role
         self.children: list = []  # nodes and strings
-        self.look = f"{tag}.{'.'.join(sorted(set(names.lower().split())))}" if names else tag
+        looks = sorted(set(f"{names} {id}".lower().split()))
+        self.look = f"{tag}.{'.'.join(looks)}" if looks else tag
         self.path, self.several = 0, False  # several: has siblings of its look
 
 
@@ -126,9 +145,9 @@ class Builder(HTMLParser):
             self.close({"p"}, {"body", "article", "main", "section", "div", "td", "th", "li", "table", "button"})
         if tag in ENDS:
             self.close(ENDS[tag], CONTAINERS[tag])
-        names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
+        names = " ".join(v for k, v in attrs if v and k in ("class", "role"))
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
-        node = Node(tag, names + " hidden" * hidden, self.at)
+        node = Node(tag, names + " hidden" * hidden, self.at, " ".join(v for k, v in attrs if v and k == "id"))
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -355,13 +374,25 @@ def link_share(node: Node) -> float:
     return linked / total if total else 0.0
 
 
-def named(node: Node, in_main: bool) -> bool:
-    """Whether tag or names say that the branch is never the article."""
+def named(node: Node, in_main: bool, low: set | frozenset = frozenset()) -> bool:
+    """Whether tag or names say that the branch is never the article.  Ids of
+    headings say nothing; those of sections, and of all else inside the main
+    part, only what importance confirms, comments apart."""
     if node.tag in SILENT or node.tag in OUTSIDE or "hidden" in node.names.split():
         return True
     if node.tag == "header":
         return not in_main
-    return bool(node.tag not in ("article", "main", "body", "html") and node.names and PARTS.search(node.names))
+    if node.tag in ("article", "main", "body", "html"):
+        return False
+    heading = node.tag in HEADINGS
+    if any(names_part(x) for x in node.names.split() if not (heading and x.lower() == "header")):
+        return True
+    if heading or not node.id:
+        return False
+    ids = node.id.split()
+    if any(names_part(x, COMMENTS) for x in ids):
+        return True
+    return (not (in_main or node.tag == "section") or node.path in low) and any(map(names_part, ids))
 
 
 def unimportant(node: Node, low: set, in_main: bool) -> bool:
@@ -390,9 +421,6 @@ def marked_parts(root: Node, tag: str) -> list[Node]:
     return found
 
 
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
-
-
 def kept(parts: list[Node], in_main: bool, low: set) -> tuple[list[str], int, int]:
     """Text blocks that stay, and the length of their text without links and
     of that without headings."""
@@ -418,12 +446,12 @@ def kept(parts: list[Node], in_main: bool, low: set) -> tuple[list[str], int, in
             flush()
         elif node.tag == "br":
             words.append(" ")
-        elif id(node) in top or not named(node, in_main):
+        elif id(node) in top or not named(node, in_main, low):
             if node.tag in BLOCKS:
                 mute = unimportant(node, low, in_main)  # inline elements go with the block they are in
                 flush()
                 stack.append(("close", node, mute, link, heading))
-            link, heading = link or node.tag == "a", heading or node.tag in HEADINGS
+            link, heading = link or node.tag == "a", heading or node.tag in HEADINGS or node.tag in ("hgroup", "header")
             stack.extend(("open", c, mute, link, heading) for c in reversed(node.children))
     flush()
     return blocks, *sizes

@@ -207,6 +207,19 @@ def test_no_node_of_a_large_host_is_left_out(spark):
         assert sorted((r.page_id, r.text) for r in got) == want
 
 
+def test_names_are_whole_class_or_role_tokens():
+    kept = ['section id="side-effects"', 'h2 id="related-work"', 'h2 id="form-of-government"', 'div class="side-effects"',
+            'section id="search-algorithms"', 'div id="notice-period"', 'h2 id="search"', 'section id="notices"',
+            'h2 class="ui header"', 'div class="side-by-side"']
+    gone = ['div class="cookie-notice"', 'div class="x Ad"', 'div class="share_buttons"', 'div class="ad-300x250"',
+            'div role="navigation"', 'section id="comments"', 'div id="disqus_thread"', 'ul class="site-footer--dark"']
+    for left, right in (("<article>", "</article>"), ("<div>", "</div>")):
+        for x in kept + gone:
+            page = f"{left}<p>one</p><{x}>two</{x.split()[0]}><p>three</p>{right}"
+            assert site_tree.extract(page, set()).split("\n\n") == ["one", *["two"] * (x in kept), "three"], x
+    assert site_tree.extract('<div>one</div><div id="sidebar">two</div>', set()) == "one"
+
+
 def test_main_text_equals_the_articles(spark):
     import html
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
