@@ -22,11 +22,11 @@ inputs of a prediction.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +43,9 @@ TEMPER = 0.2
 #: Entries of a worker's word cache before it is emptied.
 CACHE = 200_000
 
-#: A word is a run of letters (``LETTERS`` in Java's and Python's syntax).
-JAVA_WORD, PY_WORD = r"[\p{L}\p{M}]+", r"[^\W\d_]+"
+#: A word is a run of letters and combining marks with a letter in it, in
+#: training (Java) and prediction (the regex module) alike.
+WORD = r"\p{M}*\p{L}[\p{L}\p{M}]*"
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
@@ -68,7 +69,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 def train(rows: DataFrame, words: int = WORDS, grams: int = GRAMS, ngram: int = NGRAM) -> dict:
     """Fit on (lang, text) rows; returns {"langs", "words", "grams"}."""
     found = rows.select("lang", F.explode(F.regexp_extract_all(
-        F.lower("text"), F.lit(JAVA_WORD), F.lit(0))).alias("item"))
+        F.lower("text"), F.lit(WORD), F.lit(0))).alias("item"))
     by_word = found.groupBy("lang", "item").agg(F.count("*").alias("n"))
     padded = F.concat(F.lit(" "), F.col("item"), F.lit(" "))
     starts = lambda k: F.sequence(F.lit(1), F.length(padded) - (k - 1))
@@ -111,7 +112,7 @@ class Scorer(dict):
         self.langs, self.words, self.grams = model["langs"], model["words"], model["grams"]
         self.ngram, self.temper = ngram, temper
         self.nothing = np.zeros(len(self.langs))
-        self.find = re.compile(PY_WORD).findall
+        self.find = regex.compile(WORD).findall
 
     def __missing__(self, word: str) -> np.ndarray:
         row = self.words.get(word)

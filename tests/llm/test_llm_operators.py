@@ -102,6 +102,14 @@ def test_language_backs_off_to_shorter_grams():
     assert s.predict("known")[0] == "x" and s.predict("abc")[0] == "y" and s.predict("1 2") == ("und", 0.0)
 
 
+def test_language_words_have_their_marks():
+    hindi, accent = "\u0939\u093f\u0928\u094d\u0926\u0940", "e\u0301te\u0301"
+    s = language.Scorer({"langs": ["x", "y"], "words": {hindi: np.array([-9.0, -1.0]), accent: np.array([-1.0, -9.0])},
+                         "grams": {}})
+    assert s.predict(f"{hindi}!")[0] == "y" and s.predict(f"1 {accent}")[0] == "x"
+    assert [s.predict(x) for x in ("\u00bd", "\u2461", "\u0301 1")] == [("und", 0.0)] * 3
+
+
 def test_licences_find_planted_lines(spark, docs):
     planted = {"apache-2.0": "Licensed under the Apache License", "mit": "Released under the MIT License",
                "gpl": "licensed under the GNU General Public", "cc-by-nc": "Licensed under CC BY-NC"}
