@@ -132,6 +132,17 @@ class Scorer(dict):
         self[word] = row
         return row
 
+    def evidence(self, text: str | None) -> bool:
+        """Whether the text has a known word, or a known n-gram of two
+        characters or more in one; without a model, a letter."""
+        for w in self.find(text.lower()) if text else ():
+            padded = f" {w} "
+            if not self.langs or w in self.words or any(
+                    padded[i:i + k] in self.grams for k in range(2, self.ngram + 1)
+                    for i in range(len(padded) - k + 1)):
+                return True
+        return False
+
     def predict(self, text: str | None) -> tuple[str, float]:
         words = self.find(text.lower()) if text else ()
         if not words or not self.langs:
@@ -157,6 +168,20 @@ def predictor(docs_spark, model: dict):
     return F.pandas_udf(run, "lang_pred string, score double")
 
 
+def has_evidence(docs_spark, model: dict):
+    """A column function text -> boolean: see ``Scorer.evidence``."""
+    ship_package(docs_spark)
+    shared = docs_spark.sparkContext.broadcast(model)
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(shared.value)
+        for part in texts:
+            yield pd.Series([scorer.evidence(t) for t in part], dtype=bool)
+
+    run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "boolean")
+
+
 def held_out(id_col: Column) -> Column:
     """Rows that training never sees: crc32 of the id as text mod 4 is 2."""
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

@@ -110,6 +110,20 @@ def test_language_words_have_their_marks():
     assert [s.predict(x) for x in ("\u00bd", "\u2461", "\u0301 1")] == [("und", 0.0)] * 3
 
 
+def test_pipeline_keeps_documents_with_evidence(spark):
+    import corpus_pipeline
+    langs = [f"l{k:02}" for k in range(12)]
+    rows = [(i, f"{lang}word".replace("0", "o").replace("1", "i") + " common", lang) for lang in langs
+            for i in range(langs.index(lang) * 10, langs.index(lang) * 10 + 10)]
+    rows += [(1000, "common", None), (1001, "\u6f22", None), (1002, "12 !", None), (1003, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id for r in corpus_pipeline.keep_known_languages(spark, docs, SF).collect()}
+    assert got == set(range(120)) | {1000}
+    blind = docs.withColumn("lang", F.lit(None).cast("string"))
+    got = {r.doc_id for r in corpus_pipeline.keep_known_languages(spark, blind, SF).collect()}
+    assert got == set(range(120)) | {1000, 1001}
+
+
 def test_licences_find_planted_lines(spark, docs):
     planted = {"apache-2.0": "Licensed under the Apache License", "mit": "Released under the MIT License",
                "gpl": "licensed under the GNU General Public", "cc-by-nc": "Licensed under CC BY-NC"}
