@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from driftwood.llm import bpe, fingerprint, hamming, language, licences, mixing, near_dup, repeats, site_tree, token_count
+from driftwood.llm import bpe, fingerprint, hamming, language, licences, mixing, near_dup, repeats, site_tree, token_count, trie_owners
 from driftwood.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,11 @@ def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op13_trie_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_owners.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_trie_owners"] = trie_owners.EXACT_SQL
