@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from driftwood.llm import bpe, fingerprint, hamming, language, licences, mixing, near_dup, repeats, site_tree, token_count, trie_owners
+from driftwood.llm import bpe, fingerprint, hamming, language, licences, mixing, near_dup, repeats, site_tree, \
+    spelling, token_count, trie_owners
 from driftwood.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +94,11 @@ def op13_trie_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_trie_owners"] = trie_owners.EXACT_SQL
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), one_in=199))
+
+
+ORACLES["op12_spelling_variants"] = spelling.VARIANTS_SQL
