@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from driftwood.llm import bpe, fingerprint, hamming, language, licences, mixing, near_dup, repeats, site_tree, \
+from driftwood.llm import bpe, fingerprint, hamming, language, lexical, licences, mixing, near_dup, repeats, site_tree, \
     spelling, token_count, trie_owners
 from driftwood.llm.common import table
 
@@ -102,3 +102,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_spelling_variants"] = spelling.VARIANTS_SQL
+
+
+@query
+def op11_pair_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_pair_maxscore"] = lexical.SEARCH_SQL
