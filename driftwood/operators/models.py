@@ -263,7 +263,9 @@ def sequential_selection(df: DataFrame, label: str, key: str, layout: E.Layout,
     """Greedy forward / backward selection over the routed output columns
     (non-floating), scored by mean CV average precision.  Every candidate
     of every step is evaluated (``parallelism`` candidates at a time); the
-    transformed table is cached once.  Ties go to the earlier column.
+    transformed table is cached once.  Scores count to 12 places, so that the
+    choice doesn't depend on the order in which Spark sums; ties go to the
+    earlier column.
     Rows: step, n_features, features (array), pr_auc_cv."""
     need = required_features(layout.columns)
     base = add_features(df, need, categories=categories)
@@ -284,7 +286,7 @@ def sequential_selection(df: DataFrame, label: str, key: str, layout: E.Layout,
         scores = _parallel(lambda cs: _cv_ap(data, label, cs[1], kind, folds, seed), sets,
                            parallelism)
         scored = [(sc, cand, cols) for sc, (cand, cols) in zip(scores, sets)]
-        best = max(scored, key=lambda t: (t[0], -names.index(t[1])))
+        best = max(scored, key=lambda t: (-1.0 if t[0] is None else t[0], -names.index(t[1])))
         current = best[2]
         history.append((step, len(current), current, best[0]))
     data.unpersist()
@@ -320,8 +322,8 @@ def best_selection(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy(F.desc_nulls_last("pr_auc_cv"), "model", "direction", "n_features").limit(1)
 
 
-#: What a parameter may be at all, whatever range is suggested, and the
-#: parameters that are drawn on a logarithmic scale.
+#: What a parameter may be at all, whatever range is suggested,
+#: and the parameters that are drawn on a logarithmic scale.
 LIMITS = {"n_estimators": (1, None), "max_depth": (1, 30), "learning_rate": (1e-5, 1.0),
           "subsample": (0.1, 1.0), "colsample": (0.1, 1.0), "gamma": (0.0, None),
           "min_child_weight": (1, None), "scale_pos_weight": (0.1, None)}
@@ -418,5 +420,7 @@ def _cv_ap_model(data: DataFrame, label: str, cols: list[str], model, folds: int
         part = probability(m.transform(vec.where(F.col("fold") == f)), "_p") \
             .select("fold", F.col(label).cast("int").alias("_y"), "_p")
         held = part if held is None else held.unionByName(part)
-    ap = M.average_precision(held, "_y", "_p", by=["fold"])
-    return mean_score(ap)
+    ap = M.average_precision(held, "_y", "_p", by=["fold"]).collect()  # a row per fold
+    scores = [r["pr_auc"] for r in ap if r["pr_auc"] is not None]
+    # sums in Spark differ in the last digits from run to run: compare 12 places
+    return round(math.fsum(scores) / len(scores), 12) if scores else None

@@ -271,10 +271,11 @@ def argmax_row(df: DataFrame, score: str, key: str) -> DataFrame:
 def pivot_scores(df: DataFrame, index: str, columns: list[str], value: str,
                  sep: str = "_", strict: bool = False) -> DataFrame:
     """One row per ``index``, one column per combination of ``columns``
-    (joined by ``sep``), holding ``value``.  A repeated cell takes its first
+    (joined by ``sep``; a null label is written ``null``, which keeps (a, null)
+    and (null, a) apart), holding ``value``.  A repeated cell takes its first
     value, or with ``strict`` raises (pandas' pivot refuses duplicates; the
     check is one aggregation job)."""
-    label = F.concat_ws(sep, *[F.col(c).cast("string") for c in columns])
+    label = F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns])
     cells = df.select(F.col(index), label.alias("_label"), F.col(value))
     if strict:
         dup = cells.groupBy(index, "_label").count().where(F.col("count") > 1).limit(1).collect()

@@ -55,20 +55,39 @@ def _round_half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5))
 
 
+def _prefix(df: DataFrame) -> str:
+    """A prefix for helper columns that no column of ``df`` starts with."""
+    p = "_dw_"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
 def _class_bucket_table(df: DataFrame, label: str, key: str, seed: int,
-                        bits: int) -> DataFrame:
-    """(label, bucket, n, before, n_class): rows per bucket, rows of the
-    class in earlier buckets, and class size.  At most classes x 2^bits
-    rows; the class count is checked."""
+                        bits: int, p: str) -> DataFrame:
+    """(class y, bucket b, rows n, rows of the class in earlier buckets, class
+    size ny), names prefixed: at most classes x 2^bits rows; the class count
+    is checked."""
     h = _hash(key, seed)
-    counts = df.groupBy(_class(label).alias("_y"), _bucket(h, bits).alias("_b")) \
-        .agg(F.count(F.lit(1)).alias("_bn"))
-    w = Window.partitionBy("_y").orderBy("_b")
+    counts = df.groupBy(_class(label).alias(p + "y"), _bucket(h, bits).alias(p + "b")) \
+        .agg(F.count(F.lit(1)).alias(p + "n"))
+    w = Window.partitionBy(p + "y").orderBy(p + "b")
     return counts.select(
-        "_y", "_b", "_bn",
-        F.coalesce(F.sum("_bn").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_before"),
-        F.sum("_bn").over(Window.partitionBy("_y")).alias("_ny"))
+        p + "y", p + "b", p + "n",
+        F.coalesce(F.sum(p + "n").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias(p + "before"),
+        F.sum(p + "n").over(Window.partitionBy(p + "y")).alias(p + "ny"))
+
+
+def _hashed(df: DataFrame, label: str, key: str, seed: int, bits: int, p: str) -> DataFrame:
+    return df.withColumn(p + "h", _hash(key, seed)).withColumn(p + "b", _bucket(F.col(p + "h"), bits)) \
+        .withColumn(p + "y", _class(label))
+
+
+def _and(df: DataFrame, name: str, value: Column) -> list:
+    """The columns of ``df`` and one more, which takes the place of one of
+    its name."""
+    return [F.col(f"`{c}`") for c in df.columns if c != name] + [value.alias(name)]
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2,
@@ -77,34 +96,40 @@ def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2
     """Add ``split_col`` in {train, val, test}.
 
     Per class: test = round(test_size * n); val = round(val_size * (n - test))
-    (the validation share is of the remainder); train = the rest.
+    (the validation share is of the remainder); train = the rest.  All other
+    columns of ``df`` stay, whatever their names.
     """
-    bits = _bits(df, bucket_bits)
-    table = _class_bucket_table(df, label, key, seed, bits)
-    n_test = _round_half_up(F.col("_ny") * test_size)
-    n_val = _round_half_up((F.col("_ny") - n_test) * (val_size or 0.0))
-    cuts = table.select("_y", "_b", "_before", (F.col("_before") + F.col("_bn")).alias("_after"),
-                        n_test.alias("_t"), (n_test + n_val).alias("_tv"))
+    bits, p = _bits(df, bucket_bits), _prefix(df)
+    table = _class_bucket_table(df, label, key, seed, bits, p)
+    before, after, t, tv, mixed = (F.col(p + c) for c in ("before", "after", "t", "tv", "mixed"))
+    n_test = _round_half_up(F.col(p + "ny") * test_size)
+    n_val = _round_half_up((F.col(p + "ny") - n_test) * (val_size or 0.0))
+    cuts = table.select(p + "y", p + "b", p + "before", (before + F.col(p + "n")).alias(p + "after"),
+                        n_test.alias(p + "t"), (n_test + n_val).alias(p + "tv"))
     # a bucket is decided when no cut-off falls strictly inside it
-    straddles = (((F.col("_before") < F.col("_t")) & (F.col("_t") < F.col("_after"))) |
-                 ((F.col("_before") < F.col("_tv")) & (F.col("_tv") < F.col("_after"))))
-    cuts = cuts.withColumn("_mixed", straddles)
-
-    h = _hash(key, seed)
-    rows = df.withColumn("_h", h).withColumn("_b", _bucket(F.col("_h"), bits)) \
-        .withColumn("_y", _class(label))
-    tagged = rows.join(_bounded(df, label, bits, cuts), ["_y", "_b"], "inner")
+    straddles = ((before < t) & (t < after)) | ((before < tv) & (tv < after))
+    cuts = cuts.withColumn(p + "mixed", straddles)
+    tagged = _hashed(df, label, key, seed, bits, p) \
+        .join(_bounded(df, label, bits, cuts), [p + "y", p + "b"], "inner")
 
     def name(rank: Column) -> Column:
-        return (F.when(rank < F.col("_t"), "test")
-                .when(rank < F.col("_tv"), "val").otherwise("train"))
+        return F.when(rank < t, "test").when(rank < tv, "val").otherwise("train")
+
+    decided = tagged.where(~mixed).select(_and(df, split_col, name(before)))
+    order = Window.partitionBy(p + "y", p + "b").orderBy(p + "h", f"`{key}`")
+    ranked = tagged.where(mixed).withColumn(p + "r", F.row_number().over(order) - 1)
+    return decided.unionByName(ranked.select(_and(df, split_col, name(before + F.col(p + "r")))))
 
-    decided = tagged.where(~F.col("_mixed")).withColumn(split_col, name(F.col("_before")))
-    order = Window.partitionBy("_y", "_b").orderBy("_h", f"`{key}`")
-    mixed = tagged.where(F.col("_mixed")).withColumn(
-        split_col, name(F.col("_before") + F.row_number().over(order) - 1))
-    out = decided.unionByName(mixed)
-    return out.drop("_y", "_b", "_h", "_before", "_after", "_t", "_tv", "_mixed")
+
+def _ranked(df: DataFrame, label: str, key: str, seed: int, bucket_bits: int | None, p: str) -> DataFrame:
+    """``df`` with each row's 0-based place in its class's seeded order
+    (prefixed ``rank``) and the class size (``ny``)."""
+    bits = _bits(df, bucket_bits)
+    offsets = _class_bucket_table(df, label, key, seed, bits, p).drop(p + "n")
+    order = Window.partitionBy(p + "y", p + "b").orderBy(p + "h", f"`{key}`")
+    rows = _hashed(df, label, key, seed, bits, p).withColumn(p + "r", F.row_number().over(order) - 1)
+    return rows.join(_bounded(df, label, bits, offsets), [p + "y", p + "b"], "left") \
+        .withColumn(p + "rank", F.col(p + "before") + F.col(p + "r"))
 
 
 def stratified_ranks(df: DataFrame, label: str, key: str, seed: int = 42,
@@ -112,26 +137,20 @@ def stratified_ranks(df: DataFrame, label: str, key: str, seed: int = 42,
     """Add ``_rank`` (0-based position of the row within its class in the
     seeded order) and ``_class_n``; every row is ranked, partitioned by
     (class, hash bucket)."""
-    bits = _bits(df, bucket_bits)
-    table = _class_bucket_table(df, label, key, seed, bits)
-    rows = df.withColumn("_h", _hash(key, seed)).withColumn("_b", _bucket(F.col("_h"), bits)) \
-        .withColumn("_y", _class(label))
-    order = Window.partitionBy("_y", "_b").orderBy("_h", f"`{key}`")
-    ranked = rows.withColumn("_r", F.row_number().over(order) - 1)
-    offsets = table.select("_y", "_b", "_before", "_ny")
-    out = ranked.join(_bounded(df, label, bits, offsets), ["_y", "_b"], "left")
-    return out.withColumn("_rank", F.col("_before") + F.col("_r")) \
-        .withColumnRenamed("_ny", "_class_n") \
-        .drop("_y", "_b", "_h", "_r", "_before")
+    p = _prefix(df)
+    return _ranked(df, label, key, seed, bucket_bits, p).select(
+        *[F.col(f"`{c}`") for c in df.columns if c not in ("_rank", "_class_n")],
+        F.col(p + "rank").alias("_rank"), F.col(p + "ny").alias("_class_n"))
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42,
                      fold_col: str = "fold") -> DataFrame:
     """Stratified k-fold: rows of each class dealt round-robin over folds in
-    the seeded order, so fold class counts differ by at most one."""
-    r = stratified_ranks(df, label, key, seed)
-    return r.withColumn(fold_col, F.pmod(F.col("_rank"), F.lit(k)).cast("int")) \
-        .drop("_rank", "_class_n")
+    the seeded order, so fold class counts differ by at most one.  All other
+    columns of ``df`` stay."""
+    p = _prefix(df)
+    fold = F.pmod(F.col(p + "rank"), F.lit(k)).cast("int")
+    return _ranked(df, label, key, seed, None, p).select(_and(df, fold_col, fold))
 
 
 def random_split(df: DataFrame, test_size: float = 0.2, seed: int = 42,
