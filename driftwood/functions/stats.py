@@ -12,10 +12,18 @@ same text runs in Spark SQL and in DuckDB.
 * ``ks_sf_sql``: asymptotic two-sample Kolmogorov-Smirnov p-value,
   Q(lambda) = 2 sum_k (-1)^(k-1) exp(-2 k^2 lambda^2), lambda = sqrt(n_e) D,
   n_e = n1 n2 / (n1 + n2); 1 when lambda < 0.2 (series not yet converged).
+* ``ks_finite_*``: P(D_n >= d) of the one-sample statistic at the finite
+  n = round(n_e), to 1e-6 at any n.  Up to ``FINITE_EXACT`` by exact formulas:
+  the lattice matrix of Durbin (applied n times to a vector), or twice the
+  one-sided Smirnov sum where n d^2 >= ``FINITE_TAIL`` (both sides at once have
+  probability below 1e-7 there).  Beyond, the expansion of Pelz and Good: the
+  Kolmogorov series with corrections up to n^(-3/2).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,7 +60,7 @@ def ks_sf_sql(d: str, n1: str, n2: str) -> str:
 def ks_lambda(d: str, n1: str, n2: str) -> Column:
     """lambda = sqrt(n1 n2 / (n1 + n2)) D, to be projected as its own column
     before ``ks_sf_from_lambda`` (keeps the series' expression small)."""
-    return F.sqrt(F.col(n1) * F.col(n2) / (F.col(n1) + F.col(n2))) * F.col(d)
+    return F.sqrt(F.col(n1).cast("double") * F.col(n2) / (F.col(n1) + F.col(n2))) * F.col(d)
 
 
 def ks_sf_from_lambda(lam: str, d: str, n1: str, n2: str) -> Column:
@@ -73,6 +81,97 @@ def ks_sf(d: str, n1: str, n2: str) -> Column:
     return F.expr(ks_sf_sql(f"`{d}`", f"`{n1}`", f"`{n2}`"))
 
 
+FINITE_EXACT = 400   # largest n that exact formulas take
+FINITE_TAIL = 2.2    # n d^2 from which the one-sided sum is used there
+_PELZ_TERMS = 20
+
+
+def pelz_good_term_sql(k: str, n: str, z: str) -> str:
+    """Term ``k`` >= 0 of the expansion of P(D_n <= z / sqrt(n)) as SQL text
+    (both signs of the summation index together)."""
+    a = f"(pi()*pi()*(({k})+0.5)*(({k})+0.5))"
+    b = f"(pi()*pi()*({k})*({k}))"
+    w = lambda p: f"pow({z}, {p})"
+    half = (f"1.0/({z}) + ({a} - {w(2)})/(6.0*{w(4)}*sqrt({n}))"
+            f" + (6.0*{w(6)} + 2.0*{w(4)} + {a}*(2.0*{w(4)} - 5.0*{w(2)}) + {a}*{a}*(1.0 - 2.0*{w(2)}))"
+            f"/(72.0*{w(7)}*({n}))"
+            f" + ({a}*{a}*{a}*(5.0 - 30.0*{w(2)}) + {a}*{a}*(212.0*{w(4)} - 60.0*{w(2)})"
+            f" + {a}*(135.0*{w(4)} - 96.0*{w(6)}) - 30.0*{w(6)} - 90.0*{w(8)})/(6480.0*{w(10)}*pow({n}, 1.5))")
+    whole = (f"(3.0*{b}*{w(2)} - {b}*{b})/(108.0*{w(6)}*pow({n}, 1.5)) - {b}/(36.0*{w(3)}*({n}))")
+    return (f"(sqrt(2.0*pi())*(exp(-{a}/(2.0*{w(2)}))*({half}) + exp(-{b}/(2.0*{w(2)}))*({whole})))")
+
+
+def ks_finite_prepare(d: str, n1: str, n2: str) -> list[Column]:
+    """Columns that ``ks_finite_sf`` needs, projected once: n, z = sqrt(n) d,
+    and (where the matrix is used) its middle k and its rows."""
+    n = F.greatest(F.lit(1.0), F.rint(F.col(n1).cast("double") * F.col(n2) / (F.col(n1) + F.col(n2))))
+    return [n.alias("_kf_n"), (F.sqrt(n) * F.col(d)).alias("_kf_z")]
+
+
+def _durbin_rows(n: Column, d: Column) -> Column:
+    """The matrix H of size 2k - 1, k = floor(n d) + 1, with n! / n^n H^n[k, k]
+    = P(D_n < d)."""
+    k = F.floor(n * d) + 1
+    m = 2 * k - 1
+    h = k - n * d
+    inverse = F.array(*[F.lit(1.0 / math.factorial(i)) for i in range(2 * _durbin_size() + 2)])
+    corner = F.when(2 * h > 1, F.pow(2 * h - 1, m)).otherwise(0.0)
+
+    def cell(i: Column, j: Column) -> Column:
+        plain = F.when(i - j + 1 < 0, 0.0).otherwise(1.0)
+        left = F.when(j == 0, F.pow(h, i + 1)).otherwise(0.0)
+        low = F.when(i == m - 1, F.pow(h, m - j)).otherwise(0.0)
+        both = F.when((j == 0) & (i == m - 1), corner).otherwise(0.0)
+        return (plain - left - low + both) * F.get(inverse, F.greatest(i - j + 1, F.lit(0)).cast("int"))
+
+    at = F.sequence(F.lit(0), (m - 1).cast("int"))
+    return F.transform(at, lambda i: F.transform(at, lambda j: cell(i, j)))
+
+
+def _durbin_size() -> int:
+    """Largest k of the matrix: beyond, the one-sided sum is used."""
+    return math.floor(math.sqrt(FINITE_TAIL * FINITE_EXACT)) + 1
+
+
+def _smirnov_sum(n: Column, d: Column) -> Column:
+    """P(D_n^+ >= d) = d sum_j C(n, j) (d + j/n)^(j-1) (1 - d - j/n)^(n-j)."""
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("ln_c"))
+
+    def step(acc: Column, j: Column) -> Column:
+        left = 1 - d - j / n
+        term = F.when(left > 0, F.exp(acc["ln_c"] + (j - 1) * F.log(d + j / n) + (n - j) * F.log(left))).otherwise(0.0)
+        return F.struct((acc["sum"] + term).alias("sum"),
+                        (acc["ln_c"] + F.when(j < n, F.log((n - j) / (j + 1))).otherwise(0.0)).alias("ln_c"))
+
+    return d * F.aggregate(F.sequence(F.lit(0), F.floor(n * (1 - d)).cast("int")), zero, step, lambda acc: acc["sum"])
+
+
+def ks_finite_sf(d: str, n1: str, n2: str) -> Column:
+    """P(D_n >= d) on columns from ``ks_finite_prepare``; null without rows on
+    either side."""
+    n, z, x = F.col("_kf_n"), F.col("_kf_z"), F.col(d)
+    small, tail = n <= FINITE_EXACT, z * z >= FINITE_TAIL
+    matrix = F.when(small & ~tail, _durbin_rows(n, x))
+    k = (F.floor(n * x) + 1).cast("int")
+    start = F.transform(F.sequence(F.lit(1), 2 * k - 1), lambda i: F.when(i == k, 1.0).otherwise(0.0))
+    dot = lambda row, v: F.aggregate(F.zip_with(row, v, lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
+    # binds the matrix to a name, so that it is built once and not per step
+    exact = F.element_at(F.transform(F.array(F.struct(matrix.alias("rows"))), lambda box: F.element_at(F.aggregate(
+        F.sequence(F.lit(1), n.cast("int")), start,
+        lambda v, s: F.transform(box["rows"], lambda row: dot(row, v) * s / n)), k)), 1)
+    terms = F.expr(f"aggregate(sequence(0, {_PELZ_TERMS - 1}), 0D, (acc, k) -> acc + "
+                   f"{pelz_good_term_sql('k', '_kf_n', '_kf_z')})")
+    far = 2 * F.exp(-F.pow(6 * n * x + 1, 2) / (18 * n))
+    p = (F.when(small & tail, 2 * _smirnov_sum(n, x))
+         .when(small, 1 - exact)
+         .when(z >= 5, far)
+         .otherwise(1 - terms))
+    return (F.when(x.isNull() | (F.col(n1) == 0) | (F.col(n2) == 0), F.lit(None).cast("double"))
+            .when((x <= 1 / (2 * n)) | (z < 0.2), F.lit(1.0))
+            .when(x >= 1, F.lit(0.0))
+            .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))))
+
+
 def chi2_prepare(x: str, dof: str) -> list[Column]:
     """Columns the chi-square tail needs, projected once: y = x/2, z =
     sqrt(y), zz = y, ln y."""

@@ -6,7 +6,8 @@ statistic comes from one aggregation + one bucketed running total, and every
 categorical feature's chi-square from one aggregation.
 
 * KS (numeric): D = max_x |F_ref(x) - F_cur(x)| over distinct values, nulls
-  dropped; p-value from the asymptotic Kolmogorov series.
+  dropped; p-value from the asymptotic Kolmogorov series, the finite-n
+  distribution or an exact count, as asked.
 * Chi-square (categorical): category counts of both tables aligned
   (absent = 0), +1 added to every cell, 2 x K contingency test with
   dof = K - 1; Yates' continuity correction when dof = 1; K = 1 gives
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
-from driftwood.functions.stats import (chi2_prepare, chi2_sf_prepared, ks_lambda,
-                                      ks_sf_from_lambda)
+from driftwood.functions.stats import (chi2_prepare, chi2_sf_prepared, ks_finite_prepare, ks_finite_sf,
+                                      ks_lambda, ks_sf_from_lambda)
 from driftwood.operators.cumulative import running_totals
 
 REPORT_COLUMNS = ["feature", "type", "metric_name", "metric_value", "p_value",
@@ -66,22 +67,31 @@ def ks_test(reference: DataFrame, current: DataFrame, columns: list[str],
             alpha: float = 0.05, p_method: str = "asymptotic") -> DataFrame:
     """KS rows of the drift report, by one stated method at every size.
 
-    p_method: 'asymptotic' (Kolmogorov series, a SQL expression) or 'exact'
-    (lattice-path probability from (D, n_ref, n_cur) alone, in a pandas UDF
-    over the one-row-per-feature statistics).  The exact count takes
-    n_ref * n_cur steps; a feature with more than ``EXACT_MAX_CELLS`` raises
-    instead of answering by the other method."""
-    if p_method not in ("asymptotic", "exact"):
-        raise ValueError("p_method must be 'asymptotic' or 'exact'")
-    s = ks_statistics(reference, current, columns)
+    p_method: 'asymptotic' (Kolmogorov series, a SQL expression), 'finite' (the
+    one-sample distribution at n = round(n_ref n_cur / (n_ref + n_cur)), a SQL
+    expression good to 1e-6 at every size) or 'exact' (lattice-path probability
+    from (D, n_ref, n_cur) alone, in a pandas UDF over the one-row-per-feature
+    statistics).  The exact count takes n_ref * n_cur steps; a feature with
+    more than ``EXACT_MAX_CELLS`` raises instead of answering by another
+    method."""
+    return ks_rows(ks_statistics(reference, current, columns), alpha, p_method)
+
+
+def ks_rows(s: DataFrame, alpha: float = 0.05, p_method: str = "asymptotic") -> DataFrame:
+    """The report rows of (feature, ks_stat, n_ref, n_cur)."""
+    if p_method not in ("asymptotic", "finite", "exact"):
+        raise ValueError("p_method must be 'asymptotic', 'finite' or 'exact'")
     # lambda projected first: the series then refers to a plain column
     s = s.select("*", ks_lambda("ks_stat", "n_ref", "n_cur").alias("_lam"))
     asym = ks_sf_from_lambda("_lam", "ks_stat", "n_ref", "n_cur")
     if p_method == "asymptotic":
         p = asym
+    elif p_method == "finite":
+        s = s.select("*", *ks_finite_prepare("ks_stat", "n_ref", "n_cur"))
+        p = ks_finite_sf("ks_stat", "n_ref", "n_cur")
     else:
-        exact = _ks_exact_udf(reference.sparkSession)("ks_stat", "n_ref", "n_cur")
-        p = F.when(F.col("n_ref") * F.col("n_cur") <= EXACT_MAX_CELLS, exact).otherwise(
+        exact = _ks_exact_udf(s.sparkSession)("ks_stat", "n_ref", "n_cur")
+        p = F.when(F.col("n_ref").cast("double") * F.col("n_cur") <= EXACT_MAX_CELLS, exact).otherwise(
             F.raise_error(F.lit(f"exact KS p-value of more than {EXACT_MAX_CELLS} cells: use 'asymptotic'")).cast("double"))
     return s.select(
         "feature", F.lit("numerical").alias("type"),
