@@ -181,7 +181,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float],
     """Exact quantiles with linear interpolation (numpy/pandas default,
     DuckDB ``quantile_cont``), nulls ignored.
 
-    Returns one row per group with columns ``q_<i>`` for ``probs[i]``.  No
+    By bucketed running totals of value counts; ``selection.exact_quantiles``
+    moves less.  Returns one row per group with columns ``q_<i>`` for ``probs[i]``.  No
     group is ever gathered into one task: ranks come from bucketed running
     counts, and only the (at most 2 per probability) rows holding the
     target ranks are kept.

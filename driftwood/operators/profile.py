@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwood.operators.cumulative import exact_quantiles
+from driftwood.operators.selection import exact_quantiles
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None,
@@ -115,16 +115,15 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 
 def box_stats(df: DataFrame, value: str, by: list[str] | None = None,
-              whisker: float = 1.5, domain: str | None = None) -> DataFrame:
+              whisker: float = 1.5) -> DataFrame:
     """q1, median, q3 (exact, linear interpolation), whiskers = furthest
     points within ``whisker`` * IQR of the box, and outlier count, from one
-    row per distinct value.  ``domain`` names the column of ``by`` whose
-    values have ranges of their own."""
+    row per distinct value."""
     by = list(by or [])
     v = F.col(f"`{value}`").cast("double")
     base = df.select(*[F.col(f"`{b}`").alias(b) for b in by], v.alias("_v")) \
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    q = exact_quantiles(base, "_v", [0.25, 0.5, 0.75], by=by, domain=domain) \
+    q = exact_quantiles(base, "_v", [0.25, 0.5, 0.75], by=by) \
         .select(*by, F.col("q_0").alias("q1"), F.col("q_1").alias("median"),
                 F.col("q_2").alias("q3"))
     base = base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
@@ -161,7 +160,7 @@ def category_distribution_matrix(df: DataFrame, categorical: list[str],
                       for c in continuous])
     long = (df.select(F.inline(cats), conts.alias("_c"))
             .select("cat_col", "category", F.inline("_c")))
-    return box_stats(long, "value", by=["cat_col", "category", "cont_col"], domain="cont_col")
+    return box_stats(long, "value", by=["cat_col", "category", "cont_col"])
 
 
 def correlation_matrix(df: DataFrame, columns: list[str],

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwood.operators.cumulative import exact_quantiles
+from driftwood.operators.selection import exact_quantiles
 
 
 def suggest_ranges(trials: DataFrame, top_quantile: float = 0.95,
@@ -35,7 +35,7 @@ def suggest_ranges(trials: DataFrame, top_quantile: float = 0.95,
                                           F.min("p").alias("current_min"),
                                           F.max("p").alias("current_max"))
     top = long.where(F.col("value") >= thr).select("parameter", "p")
-    tq = exact_quantiles(top, "p", [0.1, 0.5, 0.9], by=["parameter"], domain="parameter") \
+    tq = exact_quantiles(top, "p", [0.1, 0.5, 0.9], by=["parameter"]) \
         .select("parameter", F.col("q_0").alias("q10"), F.col("q_1").alias("best_median"),
                 F.col("q_2").alias("q90"))
     span = F.col("current_max") - F.col("current_min")

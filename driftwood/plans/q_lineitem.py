@@ -230,7 +230,7 @@ def li_drift_report(spark, sf_dir):
   round(quantile_cont(l_quantity, 0.75), 6) AS q_2, round(quantile_cont(l_extendedprice, 0.5), 6) AS m_price
 FROM lineitem WHERE l_linestatus IS NOT NULL GROUP BY l_linestatus""")
 def li_quantiles(spark, sf_dir):
-    from driftwood.operators.cumulative import exact_quantiles
+    from driftwood.operators.selection import exact_quantiles
     li = _li(spark, sf_dir, ["l_linestatus", "l_quantity", "l_extendedprice"])
     q = exact_quantiles(li, "l_quantity", [0.25, 0.5, 0.75], by=["l_linestatus"])
     m = exact_quantiles(li, "l_extendedprice", [0.5], by=["l_linestatus"]) \

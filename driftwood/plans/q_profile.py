@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from driftwood.functions.features import add_features
 from driftwood.operators import profile as P
-from driftwood.operators.cumulative import exact_quantiles
+from driftwood.operators.selection import exact_quantiles
 from driftwood.plans.catalog import query
 from driftwood.plans.common import rounded
 from driftwood.plans.customer360 import customer360, customer360_sql
