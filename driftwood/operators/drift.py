@@ -51,8 +51,14 @@ def ks_statistics(reference: DataFrame, current: DataFrame,
     per_value = long.groupBy("feature", "value").agg(
         F.count_if(F.col("side") == 0).alias("n0"),
         F.count_if(F.col("side") == 1).alias("n1"))
+    return ks_from_counts(per_value, long)
+
+
+def ks_from_counts(per_value: DataFrame, split_source: DataFrame | None = None) -> DataFrame:
+    """feature, ks_stat, n_ref, n_cur from (feature, value, n0, n1), a row per
+    distinct value with its rows on both sides."""
     cum = running_totals(per_value, ["feature"], "value", ["n0", "n1"], domain="feature",
-                         split_source=long)
+                         split_source=split_source)
     gap = F.abs(F.col("cum_n0") / F.col("total_n0") - F.col("cum_n1") / F.col("total_n1"))
     return cum.groupBy("feature").agg(
         F.max(gap).alias("ks_stat"),
@@ -180,7 +186,12 @@ def chi2_from_counts(counts: DataFrame, by: list[str], smoothing: float = 1.0,
 def chi2_test(reference: DataFrame, current: DataFrame, columns: list[str],
               alpha: float = 0.05) -> DataFrame:
     """Chi-square rows of the drift report."""
-    s = chi2_from_counts(aligned_counts(reference, current, columns), ["feature"])
+    return chi2_rows(aligned_counts(reference, current, columns), alpha)
+
+
+def chi2_rows(counts: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """The report rows of (feature, category, n_ref, n_cur)."""
+    s = chi2_from_counts(counts, ["feature"])
     return s.select(
         "feature", F.lit("categorical").alias("type"),
         F.lit("Chi2-Statistic").alias("metric_name"),

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from driftwood.functions.stats import FINITE_EXACT, chi2_sf_dof1_sql, chi2_sf_even_sql, ks_sf_sql, pelz_good_term_sql
 from driftwood.operators import drift as D
+from driftwood.operators import summaries as S
 from driftwood.plans.catalog import query
 from driftwood.plans.common import SPLIT_TS, event_halves, event_halves_sql, rounded
 from driftwood.plans.customer360 import customer360, customer360_sql
+from driftwood.plans.q_checks import _folder
 from driftwood.sources.tables import table
 
 
@@ -326,3 +328,36 @@ def pipeline_drift_snapshots(spark, sf_dir):
     cur = customer360(spark, sf_dir, cutoff="2001-01-01")
     return rounded(D.pipeline_feature_drift(ref, cur, E.layout_from_registry(REGISTRY),
                                             categories=C360_CATEGORIES))
+
+
+def _daily_summary(spark, sf_dir):
+    """The events' summary as it is stored: written per day into the shared
+    folder and read back."""
+    events = table(spark, sf_dir, "events", ["ts", "event_type", "value"]).withColumn("day", F.to_date("ts"))
+    path = _folder(spark, "summary")
+    S.write_summary(S.summarise(events, ["value"], ["event_type"], by=["day"]), path, ["day"])
+    return path
+
+
+@query("summary_of_events", oracle="""WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, value FROM events),
+v AS (SELECT day, 'value' AS feature, 'value' AS kind, value, NULL::VARCHAR AS category, count(*) AS n FROM d
+      WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY day, value),
+c AS (SELECT day, 'event_type', 'category', NULL::DOUBLE, event_type, count(*) FROM d WHERE event_type IS NOT NULL
+      GROUP BY day, event_type)
+SELECT CAST(day AS VARCHAR) AS day, feature, kind, value, category, n FROM (SELECT * FROM v UNION ALL SELECT * FROM c)""")
+def summary_of_events(spark, sf_dir):
+    stored = spark.read.parquet(_daily_summary(spark, sf_dir))
+    return stored.select(F.col("day").cast("string").alias("day"), "feature", "kind", "value", "category", "n")
+
+
+@query("drift_from_summaries", oracle=f"""WITH {event_halves_sql()},
+{_ks_sql(False)},
+{_chi_sql(4)},
+all_rows AS (SELECT * FROM ks_rows UNION ALL SELECT * FROM chi_rows)
+{_final('all_rows')}""")
+def drift_from_summaries(spark, sf_dir):
+    """The report of two spans of days from their stored summaries: the same
+    as from the two halves of the table."""
+    path = _daily_summary(spark, sf_dir)
+    return rounded(S.report(S.read_summary(spark, path, f"day < '{SPLIT_TS}'"),
+                            S.read_summary(spark, path, f"day >= '{SPLIT_TS}'")))

@@ -1,7 +1,8 @@
 """Streaming forms of the drift check and batch scoring.
 
 * ``drift_monitor``: every micro-batch of incoming rows is tested against a
-  reference table; reports are written under ``batch_id=<n>`` with dynamic
+  reference table, or its stored summary; the table is summarised once when
+  the stream starts and not read again.  Reports are written under ``batch_id=<n>`` with dynamic
   partition overwrite, so a replayed batch replaces its own report
   (effectively exactly-once on top of foreachBatch's at-least-once).
 * ``scoring_stream``: a fitted pipeline applied to a stream (projection
@@ -15,20 +16,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from driftwood.operators.drift import feature_drift_report
+from driftwood.operators import summaries
+from driftwood.session import cut_lineage
 
 
 def drift_monitor(reference: DataFrame, stream: DataFrame, numeric: list[str],
                   categorical: list[str], sink_path: str, checkpoint: str,
                   alpha: float = 0.05, available_now: bool = True,
-                  processing_time: str | None = None) -> StreamingQuery:
+                  processing_time: str | None = None, summarised: bool = False) -> StreamingQuery:
+    """``summarised`` says that ``reference`` is a merged summary already
+    (see ``summaries.read_summary``)."""
+    known = cut_lineage(reference if summarised else summaries.merge(
+        summaries.summarise(reference, numeric, categorical)))
+
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         # the report runs several jobs over the batch: read it once
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if batch.isEmpty():
                 return
-            report = feature_drift_report(reference, batch, numeric, categorical, alpha)
+            now = summaries.merge(summaries.summarise(batch, numeric, categorical))
+            report = summaries.report(known, now, alpha)
             (report.withColumn("batch_id", F.lit(batch_id))
              .withColumn("checked_at", F.current_timestamp())
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
