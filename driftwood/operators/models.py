@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from driftwood.functions.features import add_features, required_features
 from driftwood.operators import metrics as M
+from driftwood.operators import newton
 from driftwood.operators import preprocess as E
 from driftwood.operators.splits import stratified_folds
 
@@ -262,7 +263,8 @@ def sequential_selection(df: DataFrame, label: str, key: str, layout: E.Layout,
                          parallelism: int = 4) -> DataFrame:
     """Greedy forward / backward selection over the routed output columns
     (non-floating), scored by mean CV average precision.  Every candidate
-    of every step is evaluated (``parallelism`` candidates at a time); the
+    of every step is evaluated (``parallelism`` candidates at a time; logistic
+    regressions of all candidates and folds together, see ``newton``); the
     transformed table is cached once.  Scores count to 12 places, so that the
     choice doesn't depend on the order in which Spark sums; ties go to the
     earlier column.
@@ -283,8 +285,11 @@ def sequential_selection(df: DataFrame, label: str, key: str, layout: E.Layout,
         options = [c for c in names if c not in current] if forward else list(current)
         sets = [(cand, current + [cand] if forward else [c for c in current if c != cand])
                 for cand in options]
-        scores = _parallel(lambda cs: _cv_ap(data, label, cs[1], kind, folds, seed), sets,
-                           parallelism)
+        if kind == "logistic_regression":  # all candidates and folds in one aggregation per step
+            scores = newton.mean_scores(data, label, [cols for _, cols in sets], "fold", list(range(folds)))
+        else:
+            scores = _parallel(lambda cs: _cv_ap(data, label, cs[1], kind, folds, seed), sets,
+                               parallelism)
         scored = [(sc, cand, cols) for sc, (cand, cols) in zip(scores, sets)]
         best = max(scored, key=lambda t: (-1.0 if t[0] is None else t[0], -names.index(t[1])))
         current = best[2]

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from driftwood.operators import explain as X
 from driftwood.operators import models as L
+from driftwood.operators import newton
 from driftwood.operators import preprocess as E
 from driftwood.operators.splits import stratified_split
 from driftwood.plans.catalog import query
-from driftwood.plans.customer360 import C360_CATEGORIES, customer360
+from driftwood.plans.common import rounded
+from driftwood.plans.customer360 import C360_CATEGORIES, customer360, customer360_sql
 from driftwood.plans.q_preprocess import REGISTRY
 
 LABEL, KEY = "Exited", "CustomerId"
@@ -156,3 +158,49 @@ def selection_sweep(spark, sf_dir):
                                           F.lit(True).alias("is_best"))
     return sweep.join(best, ["model", "direction", "n_features"], "left") \
         .withColumn("is_best", F.coalesce("is_best", F.lit(False)))
+
+
+# --- many logistic regressions at once: closed forms as SQL twins ---
+
+BINARY = ["HasCrCard", "male", "building"]
+#: customer360 with yes/no columns and folds that SQL can name too.
+_BINARY_SQL = f"""WITH {customer360_sql()},
+d AS (SELECT CAST(Exited AS INTEGER) AS y, CustomerId % 5 AS fold, CAST(HasCrCard AS INTEGER) AS HasCrCard,
+             CAST(Gender = 'Male' AS INTEGER) AS male, CAST(lower("Card Type") = 'building' AS INTEGER) AS building
+      FROM customer360),
+x AS (SELECT y, fold, unnest(['HasCrCard', 'male', 'building']) AS feature, unnest([HasCrCard, male, building]) AS v FROM d),
+k AS (SELECT unnest(range(5)) AS out_fold),
+r AS (SELECT feature, out_fold, avg(y) FILTER (WHERE v = 0) AS r0, avg(y) FILTER (WHERE v = 1) AS r1
+      FROM x JOIN k ON x.fold <> k.out_fold GROUP BY ALL)"""
+
+
+def _binary(spark, sf_dir):
+    return customer360(spark, sf_dir).select(
+        F.col(LABEL).cast("double").alias("y"), (F.col(KEY) % 5).cast("int").alias("fold"),
+        F.col("HasCrCard").cast("double").alias("HasCrCard"), (F.col("Gender") == "Male").cast("double").alias("male"),
+        (F.lower("Card Type") == "building").cast("double").alias("building"))
+
+
+@query("newton_binary_models", oracle=_BINARY_SQL + """
+SELECT feature, CAST(out_fold AS INTEGER) AS fold, round(ln(r0 / (1 - r0)), 6) AS intercept,
+       round(ln(r1 / (1 - r1)) - ln(r0 / (1 - r0)), 6) AS coefficient FROM r""")
+def newton_binary_models(spark, sf_dir):
+    """One-column logistic regressions of every fold, fitted together: a yes/no
+    column has its maximum likelihood in closed form."""
+    fits = newton.fit_many(_binary(spark, sf_dir), "y", [[c] for c in BINARY], "fold", list(range(5)), ridge=0.0)
+    rows = [(f.columns[0], f.fold, f.intercept, f.coefficients[0]) for f in fits]
+    return rounded(spark.createDataFrame(rows, "feature string, fold int, intercept double, coefficient double"))
+
+
+@query("newton_cv_scores", oracle=_BINARY_SQL + """,
+s AS (SELECT x.feature, x.fold, y, CASE WHEN (v = 1) = (r1 > r0) THEN 1 ELSE 0 END AS high
+      FROM x JOIN r ON x.feature = r.feature AND x.fold = r.out_fold),
+c AS (SELECT feature, fold, sum(y) AS p, sum(y * high) AS tp, sum(high) AS n_high, count(*) AS n FROM s GROUP BY ALL)
+SELECT feature, CAST(fold AS INTEGER) AS fold,
+       round((CASE WHEN n_high > 0 THEN tp * tp / n_high ELSE 0 END + (p - tp) * p / n) / p, 6) AS pr_auc
+FROM c WHERE p > 0""")
+def newton_cv_scores(spark, sf_dir):
+    """Held-out average precision of the same models: two scores a fold."""
+    scores = newton.cv_scores(_binary(spark, sf_dir), "y", [[c] for c in BINARY], "fold", list(range(5)), ridge=0.0)
+    rows = [(c, k, v) for c, s in zip(BINARY, scores) for k, v in s.items()]
+    return rounded(spark.createDataFrame(rows, "feature string, fold int, pr_auc double"))
