@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftwood.llm.common import kept
 from driftwood.session import ship_package
 
 #: Entries of each per-worker cache before it is emptied.
-UNITS, PAIRS, STATES = 250_000, 500_000, 300_000
+UNITS, PAIRS, STATES = 150_000, 500_000, 150_000
 
 
 def unicode_pattern(pattern: str):
@@ -163,10 +164,10 @@ class State(dict):
                 begun.append((part, before))
         if last is None:
             raise ValueError(f"byte {byte} is not in the vocabulary")
-        key = (last, *begun)
+        key = (last, tuple(begun))
         s = v.states.get(key)
         if s is None:
-            s = v.states[key] = State(v, tuple(begun), last)
+            s = v.states[key] = State(v, key[1], last)
         self[byte] = s
         return s
 
@@ -241,19 +242,23 @@ class Encoder(dict):
         rest = map(self.__getitem__, () if cut is None else cut[1:])
         return np.fromiter(chain.from_iterable(chain(first, rest)), np.int32)
 
+    def rest(self) -> None:
+        """Let go of the units, which known states soon give again: a worker
+        that waits for its next task holds less."""
+        self.clear()
+        self.old = {}
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.v.tokens.__getitem__, ids))
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str, pattern: str) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    key = (path, pattern)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(read_ranks(path), pattern)
-    return _ENCODERS[key]
+    """One encoder per worker process and vocabulary, until another operator
+    uses the process."""
+    encoders, key = kept("bpe"), (path, pattern)
+    if key not in encoders:
+        encoders[key] = Encoder(read_ranks(path), pattern)
+    return encoders[key]
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
@@ -279,6 +284,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             if decoded:
                 cols.append(pa.array([enc.decode(r.tolist()) for r in rows], pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        enc.rest()
 
     names = ["id", "ids"] + ["decoded"] * decoded
     out = src.mapInArrow(run, f"id {id_type}, ids array<int>" + ", decoded binary" * decoded)

@@ -47,6 +47,22 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: What this worker process keeps between tasks, by owner.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """The caches that ``owner`` keeps in this worker process.  Spark reuses
+    its workers for later jobs, so asking also frees what others have kept:
+    a worker holds the caches of one operator at a time."""
+    others = [o for o in _KEPT if o != owner]
+    for other in others:
+        _KEPT.pop(other).clear()
+    if others:
+        gc.collect()  # what refers to itself goes only so
+    return _KEPT.setdefault(owner, {})
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

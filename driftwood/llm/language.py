@@ -26,10 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwood.llm.common import kept
 from driftwood.session import ship_package
 
 #: Labelled rows per language that training reads, about.
@@ -132,17 +135,6 @@ class Scorer(dict):
         self[word] = row
         return row
 
-    def evidence(self, text: str | None) -> bool:
-        """Whether the text has a known word, or a known n-gram of two
-        characters or more in one; without a model, a letter."""
-        for w in self.find(text.lower()) if text else ():
-            padded = f" {w} "
-            if not self.langs or w in self.words or any(
-                    padded[i:i + k] in self.grams for k in range(2, self.ngram + 1)
-                    for i in range(len(padded) - k + 1)):
-                return True
-        return False
-
     def predict(self, text: str | None) -> tuple[str, float]:
         words = self.find(text.lower()) if text else ()
         if not words or not self.langs:
@@ -160,6 +152,7 @@ def predictor(docs_spark, model: dict):
     shared = docs_spark.sparkContext.broadcast(model)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        kept("language")
         scorer = Scorer(shared.value)
         for part in texts:
             yield pd.DataFrame([scorer.predict(t) for t in part], columns=["lang_pred", "score"])
@@ -168,18 +161,51 @@ def predictor(docs_spark, model: dict):
     return F.pandas_udf(run, "lang_pred string, score double")
 
 
-def has_evidence(docs_spark, model: dict):
-    """A column function text -> boolean: see ``Scorer.evidence``."""
-    ship_package(docs_spark)
-    shared = docs_spark.sparkContext.broadcast(model)
+class Evidence:
+    """Whether a text has a known word, or a known n-gram of two characters or
+    more in one; without a model, a letter.  Holds only what is known, as sorted
+    64-bit hashes: 8 bytes an entry, however many languages know it."""
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(shared.value)
-        for part in texts:
-            yield pd.Series([scorer.evidence(t) for t in part], dtype=bool)
+    def __init__(self, model: dict, ngram: int = NGRAM):
+        self.any, self.ngram = not model["langs"], ngram
+        self.words = hashes(model["words"])
+        self.grams = hashes(g for g in model["grams"] if len(g) > 1)
+
+    def __call__(self, text: str | None) -> bool:
+        for found in regex.finditer(WORD, text.lower()) if text else ():
+            w = found.group()
+            padded = f" {w} "
+            if self.any or known([w], self.words) or known(
+                    [padded[i:i + k] for k in range(2, self.ngram + 1) for i in range(len(padded) - k + 1)], self.grams):
+                return True
+        return False
+
+
+def hashes(items) -> np.ndarray:
+    return np.sort(np.fromiter((xxhash.xxh3_64_intdigest(x) for x in items), np.uint64))
+
+
+def known(items: list[str], of: np.ndarray) -> bool:
+    """Whether one of the items is in the sorted hashes."""
+    if not len(of):
+        return False
+    h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in items), np.uint64, len(items))
+    return bool((of[np.minimum(np.searchsorted(of, h), len(of) - 1)] == h).any())
+
+
+def with_evidence(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has evidence, see ``Evidence``."""
+    ship_package(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(Evidence(model))
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        kept("language")
+        evidence = shared.value
+        for batch in batches:  # texts become Python strings one by one
+            yield batch.filter(pa.array([evidence(t.as_py()) for t in batch.column(place)], pa.bool_()))
 
-    run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "boolean")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: Column) -> Column:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import WordHashes, cut, mix64, partitions
+from driftwood.llm.common import WordHashes, cut, kept, mix64, partitions
 from driftwood.session import ship_package
 
 BANDS, ROWS, B = 32, 4, 4
@@ -88,6 +88,7 @@ def sketch(df: DataFrame, shingle: int, bands: int, rows: int, bits: int) -> Dat
     id_type = df.schema["id"].dataType.simpleString()
 
     def run(batches):
+        kept("near_dup")
         hashes, (mul, add) = WordHashes(), seeds(bands * rows)
         for batch in batches:
             n, key, packed, keys = [], [], [], []

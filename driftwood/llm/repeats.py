@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwood.llm.common import WORD_RE, WordHashes, cut, mix64, partitions, release, words_of
+from driftwood.llm.common import WORD_RE, WordHashes, cut, kept, mix64, partitions, release, words_of
 from driftwood.session import ship_package
 
 WINDOW, GRAM = 20, 6
@@ -152,6 +152,7 @@ def spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
+        kept("repeats")
         hashes, powers = WordHashes(), Powers()
         for batch in batches:
             at, cols = [], ([], [], [], [])

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwood.llm.bpe import RAGGED, Vocabulary, unicode_pattern
+from driftwood.llm.common import kept
 from driftwood.session import ship_package
 
 #: The pattern of the byte-level pre-tokenizer (fixed value).
@@ -187,14 +188,13 @@ class Counter(dict):
         return self.whole(head) + (0 if n is None else n + self.whole(tail))
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
-    """One counter per worker process and vocabulary."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
-    return _COUNTERS[path]
+    """One counter per worker process and vocabulary, until another operator
+    uses the process."""
+    counters = kept("token_count")
+    if path not in counters:
+        counters[path] = Counter(path)
+    return counters[path]
 
 
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id",

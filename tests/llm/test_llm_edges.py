@@ -194,3 +194,33 @@ def test_stages(spark, docs, none, tmp_path):
         if name == "repeats":
             assert all(PASSAGE not in r.text for r in at.collect() if r.doc_id == 11)
     assert at.columns[0] == "doc_id" and at.where("n_tokens = 0").count() == 0
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    schema = T.StructType([T.StructField(n, {"long": T.LongType(), "string": T.StringType()}[t]) for n, t in FIELDS])
+    data = [(1, "one and the same row", "en", "a", 20)] * 3 + [(1, "another text of that id", "en", "a", 23),
+                                                               (2, "one and the same row", "en", "a", 20),
+                                                               (3, "on its own in here", "en", "b", 18)] + [(None, "x", "en", "b", 1)] * 2
+    got = corpus_pipeline.keep_first_of_near_duplicates(spark, spark.createDataFrame(data, schema).repartition(3), "")
+    assert got.columns == [n for n, _ in FIELDS]
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=str) == sorted(
+        [(1, "one and the same row"), (1, "another text of that id"), (3, "on its own in here"), (None, "x"), (None, "x")], key=str)
+
+
+def test_a_worker_keeps_the_caches_of_one_operator():
+    from driftwood.llm import common
+    common.kept("a")["x"] = 1
+    assert common.kept("a") == {"x": 1}
+    common.kept("b")["y"] = 2
+    assert common.kept("b") == {"y": 2} and common.kept("a") == {}
+    assert common.kept("b") == {}
+
+
+def test_evidence_same_as_looking_items_up():
+    model = {"langs": ["a", "b"], "words": {"hund": None, "chat": None}, "grams": {"q": None, "st": None, " zz": None}}
+    evidence = language.Evidence(model)
+    for text, want in [("Hund", True), ("xx chat", True), ("q", False), ("last", True), ("zzz", True), ("azz", False),
+                       ("12", False), ("", False), (None, False)]:
+        assert evidence(text) is want, text
+    nothing = language.Evidence({"langs": [], "words": {}, "grams": {}})
+    assert nothing("a") and not nothing("1")
