@@ -70,11 +70,35 @@ def _sums(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
                            hessian[np.triu_indices(len(w))]])
 
 
+def ordered_sums(rows: DataFrame, arrays) -> dict[int, np.ndarray]:
+    """Element-wise sums of the (number, array) pairs that ``arrays`` yields
+    from each task's batches, by number: first in ``SALTS`` groups of tasks and
+    then over these, always in the order of the tasks.  A row per number comes
+    to the driver."""
+    def run(batches):
+        found = list(arrays(batches))
+        if found:
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n for n, _ in found], pa.int32()), pa.array([task] * len(found), pa.int32()),
+                 pa.array([a for _, a in found], pa.list_(pa.float64()))], names=["number", "task", "sums"])
+
+    def in_order():
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("task", "sums"))), lambda s: s["sums"])
+        zeros = F.array_repeat(F.lit(0.0), F.size(F.get(parts, 0)))
+        return F.aggregate(parts, zeros, lambda a, b: F.zip_with(a, b, lambda p, q: p + q))
+
+    parts = rows.mapInArrow(run, "number int, task int, sums array<double>")
+    first = parts.groupBy("number", F.pmod("task", F.lit(SALTS)).alias("salt")).agg(in_order().alias("sums"))
+    whole = first.withColumnRenamed("salt", "task").groupBy("number").agg(in_order().alias("sums"))
+    return {r["number"]: np.array(r["sums"]) for r in whole.collect()}
+
+
 def _one_pass(rows: DataFrame, mean: np.ndarray, deviation: np.ndarray, models: dict) -> dict[int, np.ndarray]:
     """Summed arrays of the models {number: (column places, fold, weights)}."""
     shared = rows.sparkSession.sparkContext.broadcast((mean, deviation, models))
 
-    def run(batches):
+    def arrays(batches):
         mean, deviation, models = shared.value
         total = {}
         for batch in batches:
@@ -90,21 +114,9 @@ def _one_pass(rows: DataFrame, mean: np.ndarray, deviation: np.ndarray, models:
                 xf, yf = outside[f]
                 part = _sums(xf[:, at], yf, w)
                 total[number] = total[number] + part if number in total else part
-        if total:
-            task = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.int32()), pa.array([task] * len(total), pa.int32()),
-                 pa.array(list(total.values()), pa.list_(pa.float64()))], names=["model", "task", "sums"])
+        yield from total.items()
 
-    def in_order():
-        arrays = F.transform(F.array_sort(F.collect_list(F.struct("task", "sums"))), lambda s: s["sums"])
-        zeros = F.array_repeat(F.lit(0.0), F.size(F.get(arrays, 0)))
-        return F.aggregate(arrays, zeros, lambda a, b: F.zip_with(a, b, lambda p, q: p + q))
-
-    parts = rows.mapInArrow(run, "model int, task int, sums array<double>")
-    first = parts.groupBy("model", F.pmod("task", F.lit(SALTS)).alias("salt")).agg(in_order().alias("sums"))
-    whole = first.withColumnRenamed("salt", "task").groupBy("model").agg(in_order().alias("sums"))
-    return {r["model"]: np.array(r["sums"]) for r in whole.collect()}  # a row per model
+    return ordered_sums(rows, arrays)
 
 
 def _checked(df: DataFrame, label: str, columns: list[str], fold: str | None) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from driftwood.operators import boosting
 from driftwood.operators import explain as X
 from driftwood.operators import models as L
 from driftwood.operators import newton
@@ -204,3 +205,43 @@ def newton_cv_scores(spark, sf_dir):
     scores = newton.cv_scores(_binary(spark, sf_dir), "y", [[c] for c in BINARY], "fold", list(range(5)), ridge=0.0)
     rows = [(c, k, v) for c, s in zip(BINARY, scores) for k, v in s.items()]
     return rounded(spark.createDataFrame(rows, "feature string, fold int, pr_auc double"))
+
+
+@query("boosted_stump", oracle=f"""WITH {customer360_sql()},
+d AS (SELECT CAST(Exited AS INTEGER) AS y, CAST(HasCrCard AS INTEGER) AS HasCrCard,
+             CAST(Gender = 'Male' AS INTEGER) AS male, CAST(lower("Card Type") = 'building' AS INTEGER) AS building
+      FROM customer360),
+base AS (SELECT avg(y) AS p0 FROM d),
+x AS (SELECT y, unnest([0, 1, 2]) AS c, unnest(['HasCrCard', 'male', 'building']) AS feature,
+             unnest([HasCrCard, male, building]) AS v FROM d),
+s AS (SELECT c, feature, sum(p0 - y) FILTER (WHERE v = 0) AS gl, p0 * (1 - p0) * count(*) FILTER (WHERE v = 0) AS hl,
+             sum(p0 - y) FILTER (WHERE v = 1) AS gr, p0 * (1 - p0) * count(*) FILTER (WHERE v = 1) AS hr
+      FROM x, base GROUP BY c, feature, p0),
+t AS (SELECT *, sign(gl) * greatest(abs(gl) - 0.5, 0) AS tl, sign(gr) * greatest(abs(gr) - 0.5, 0) AS tr,
+             sign(gl + gr) * greatest(abs(gl + gr) - 0.5, 0) AS tt FROM s),
+g AS (SELECT *, 0.5 * (tl * tl / (hl + 3) + tr * tr / (hr + 3) - tt * tt / (hl + hr + 3)) - 0.001 AS gain FROM t),
+b AS (SELECT * FROM g ORDER BY round(gain, 10) DESC, c LIMIT 1)
+SELECT 0 AS node, feature, 0.0::DOUBLE AS threshold, round(gain, 6) AS gain, NULL::DOUBLE AS value FROM b
+UNION ALL SELECT 1, NULL, NULL, NULL, round(-0.3 * tl / (hl + 3), 6) FROM b
+UNION ALL SELECT 2, NULL, NULL, NULL, round(-0.3 * tr / (hr + 3), 6) FROM b""")
+def boosted_stump(spark, sf_dir):
+    """The first split of a regularised boosting model, and its leaves."""
+    p = boosting.Parameters(n_estimators=1, max_depth=1, learning_rate=0.3, reg_lambda=3.0, reg_alpha=0.5, gamma=0.001)
+    rows = _binary(spark, sf_dir).withColumn("key", F.monotonically_increasing_id())
+    model = boosting.fit(rows, "y", "key", BINARY, p)
+    return rounded(model.table(spark).select("node", "feature", "threshold", "gain", "value"))
+
+
+@query("boosted_regularised")
+def boosted_regularised(spark, sf_dir):
+    """Regularised boosting of the routed inputs on the training rows: held-out
+    probabilities.  Its trees are tested against brute force."""
+    data = _data(spark, sf_dir)
+    fitted = E.fit(L.add_features(data.where("split = 'train'"), L.required_features(_layout().columns),
+                                  categories=C360_CATEGORIES), _layout())
+    rows = fitted.transform(L.add_features(data, L.required_features(_layout().columns), categories=C360_CATEGORIES),
+                            keep=[KEY, LABEL, "split"])
+    names = fitted.output_names()
+    p = boosting.Parameters(n_estimators=10, max_depth=3, subsample=0.97, colsample=0.6, scale_pos_weight=1.2)
+    model = boosting.fit(rows.where("split = 'train'"), LABEL, KEY, names, p)
+    return rounded(boosting.predict(rows.where("split = 'test'"), model, KEY, [LABEL]))
