@@ -7,8 +7,10 @@ the same words also start earlier (smaller id, or earlier in the document).
    of equals).  Equal windows have equal anchors, so windows with the same
    anchor form runs; each run is one *span*: the words its windows cover.
    There are about 2 spans for every ``WINDOW - GRAM + 2`` words.
-2. Anchors that occur once can't hold a repeated window; the rest go on.
-3. Equal spans of an anchor: all but the first are repeated as a whole.
+2. Equal spans: all but the first are repeated as a whole.  This is decided
+   within a task's batch first, so that what is shared by very many documents
+   leaves a task once.
+3. An anchor with one kind of span can't hold a repeated window beyond those.
 4. First spans of an anchor that has several go to the *reference shard* of
    the anchor.  A shard streams its spans in document order through a suffix
    automaton of the spans before: the matching statistic at each word says
@@ -36,7 +38,8 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwood.llm.common import WORD_RE, WordHashes, cut, kept, mix64, partitions, release, words_of
@@ -45,6 +48,8 @@ from driftwood.session import ship_package
 WINDOW, GRAM = 20, 6
 #: Different spans of one anchor that a shard takes at most.
 CROWD = 256
+#: Words of a shard, about: the number of shards grows with the input.
+SHARD_WORDS = 200_000
 
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
@@ -147,8 +152,39 @@ class SuffixAutomaton:
         return out
 
 
+def document_ranks(ids: pa.Array, h: pa.Array) -> np.ndarray:
+    """Places of the rows in the order of (id, h); equal documents share one."""
+    rows = pa.table([ids, h], names=["id", "h"])
+    order = pc.sort_indices(rows, sort_keys=[("id", "ascending"), ("h", "ascending")])
+    rows = rows.take(order)
+    new = np.zeros(len(rows), bool)
+    for c in rows.columns:
+        c = c.combine_chunks()
+        new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    rank = np.empty(len(rows), np.int64)
+    rank[order.to_numpy()] = np.cumsum(new)
+    return rank
+
+
+def first_of_equal(anchor: np.ndarray, span: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple:
+    """Of the spans of one batch: which are the first of those equal to them,
+    and which come later for sure (a repeated row is neither)."""
+    order = np.lexsort((first, doc, span, anchor))
+    key = [x[order] for x in (anchor, span, doc, first)]
+    differ = lambda xs: np.r_[True, np.any([x[1:] != x[:-1] for x in xs], axis=0)]
+    head = differ(key[:2])
+    place = np.flatnonzero(head)[np.cumsum(head) - 1]  # of the first of its equals
+    later = (key[2] != key[2][place]) | (key[3] != key[3][place])
+    one, sure = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    one[order[head]], sure[order] = True, later
+    return one, sure
+
+
 def spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(id, h, anchor, span, first, last): the runs of every text."""
+    """(id, h, key, span, first, last, sure): the runs of every text.  Of equal
+    runs in a batch only the first goes on under its anchor as ``key``; the
+    others are repeated whatever the other batches hold (``sure``) and go
+    anywhere, so a passage that very many documents share is no hot key."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -160,19 +196,26 @@ def spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 words = hashes.of(words_of(text.as_py()))
                 if len(words) < window:
                     continue
-                anchor, span, first, last = runs(words, window, gram, powers)
-                at.append(np.full(len(first), row))
-                for c, x in zip(cols, (anchor.view(np.int64), span.view(np.int64),
-                                       first.astype(np.int32), last.astype(np.int32))):
+                found = runs(words, window, gram, powers)
+                at.append(np.full(len(found[0]), row))
+                for c, x in zip(cols, found):
                     c.append(x)
-            if at:
-                rows = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows),
-                     *(pa.array(np.concatenate(c)) for c in cols)],
-                    names=["id", "h", "anchor", "span", "first", "last"])
-
-    return docs.mapInArrow(run, f"id {id_type}, h int, anchor long, span long, first int, last int")
+            if not at:
+                continue
+            rows = np.concatenate(at)
+            anchor, span, first, last = map(np.concatenate, cols)
+            one, sure = first_of_equal(anchor, span, document_ranks(batch.column(0), batch.column(1))[rows], first)
+            go = np.flatnonzero(one | sure)
+            rows, anchor, span, first, last, sure = (x[go] for x in (rows, anchor, span, first, last, sure))
+            spread = mix64(span + np.arange(len(span), dtype=np.uint64))
+            rows = pa.array(rows)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows),
+                 pa.array(np.where(sure, spread, anchor).view(np.int64)), pa.array(span.view(np.int64)),
+                 pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(sure)],
+                names=["id", "h", "key", "span", "first", "last", "sure"])
+
+    return docs.mapInArrow(run, f"id {id_type}, h int, key long, span long, first int, last int, sure boolean")
 
 
 def span_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -242,22 +285,23 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     rows, h being a hash of the text."""
     spark = docs.sparkSession
     ship_package(spark)
-    every = spans(docs, window, gram)
-    often = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    shared = cut(every.join(often, "anchor", "left_semi"))
+    # one exchange, by anchor, serves both windows
+    equal = Window.partitionBy("key", "span").orderBy("id", "h", "first")
+    placed = spans(docs, window, gram).repartition(partitions(spark), "key").select(
+        "*", F.rank().over(equal).alias("rank"), F.row_number().over(equal).alias("row"))
+    one = (F.col("rank") == 1) & (F.col("row") == 1) & ~F.col("sure")
+    counted = placed.select("*", F.count(F.when(one, 1)).over(Window.partitionBy("key")).alias("kinds"))
+    whole = F.col("sure") | (F.col("rank") > 1)
+    found = cut(counted.where(whole | (one & (F.col("kinds") > 1))).select(
+        "id", "h", F.when(~whole, F.col("key")).alias("anchor"), "first", "last", (F.col("kinds") > crowd).alias("crowd")))
     release(spark)
-    firsts = cut(shared.groupBy("anchor", "span").agg(
-        F.min(F.struct("id", "h", "first", "last")).alias("one"), F.count("*").alias("n")))
-    whole = (shared.join(firsts.where("n > 1").select("anchor", "span", "one"), ["anchor", "span"])
-             .where((F.col("id") != F.col("one.id")) | (F.col("h") != F.col("one.h"))
-                    | (F.col("first") != F.col("one.first")))
-             .select("id", "h", "first", "last"))
-    kinds = firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = (firsts.join(kinds, "anchor")
-              .select("one.id", "one.h", "anchor", (F.col("kinds") > crowd).alias("crowd"), "one.first", "one.last"))
+    repeated = found.where("anchor is null").select("id", "h", "first", "last")
+    wanted = found.where("anchor is not null")
+    size = wanted.where("not crowd").agg(F.sum(F.col("last") - F.col("first") + window)).first()[0] or 0
     parts = cut(span_words(docs, wanted, window))
     release(spark)
-    return (whole.unionByName(shard_repeats(parts.where("not crowd"), window, 4 * partitions(spark)))
+    n_shards = max(4 * partitions(spark), size // SHARD_WORDS + 1)
+    return (repeated.unionByName(shard_repeats(parts.where("not crowd"), window, n_shards))
             .unionByName(crowd_repeats(parts.where("crowd"), window)))
 
 
