@@ -168,14 +168,17 @@ def correlation_matrix(df: DataFrame, columns: list[str],
     """Lower triangle (i > j) of the correlation matrix as rows
     (col_a, col_b, corr).  Every pair uses the rows where both columns have
     a value; Spearman correlates the average ranks (ties share the mean rank)
-    among those rows.
+    among those rows, Kendall is tau-b.
     """
-    if method not in ("pearson", "spearman"):
-        raise ValueError("method must be 'pearson' or 'spearman'")
+    if method not in ("pearson", "spearman", "kendall"):
+        raise ValueError("method must be 'pearson', 'spearman' or 'kendall'")
     data = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
     pairs = [(a, b) for i, a in enumerate(columns) for j, b in enumerate(columns) if i > j]
     if method == "spearman":
         return _rank_correlations(data, pairs)
+    if method == "kendall":
+        from driftwood.operators.kendall import kendall
+        return kendall(data, pairs)
     row = data.agg(F.array(*[
         F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
                  F.corr(a, b).alias("corr")) for a, b in pairs]).alias("_p"))

@@ -142,6 +142,32 @@ def correlation_spearman(spark, sf_dir):
     return rounded(P.correlation_matrix(customer360(spark, sf_dir), CORR_COLUMNS, "spearman"))
 
 
+def _kendall_sql(source: str, a: str, b: str) -> str:
+    """tau-b by pairs of cells: for tables of few distinct cells."""
+    return f"""SELECT '{a}' AS col_a, '{b}' AS col_b, (
+  WITH c AS (SELECT {a}::DOUBLE AS x, {b}::DOUBLE AS y, count(*)::HUGEINT AS n FROM {source}
+             WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL),
+  s AS (SELECT sum(p.n * q.n * sign(p.y - q.y)) AS s FROM c p JOIN c q ON p.x > q.x),
+  t AS (SELECT sum(n) * (sum(n) - 1) / 2 AS n0 FROM c),
+  tx AS (SELECT sum(n * (n - 1)) / 2 AS n1 FROM (SELECT sum(n) AS n FROM c GROUP BY x)),
+  ty AS (SELECT sum(n * (n - 1)) / 2 AS n2 FROM (SELECT sum(n) AS n FROM c GROUP BY y))
+  SELECT round(s / sqrt((n0 - n1)::DOUBLE * (n0 - n2)), 6) FROM s, t, tx, ty) AS corr"""
+
+
+@query("correlation_kendall", oracle=C360 + "\n" + "\nUNION ALL\n".join(
+    _kendall_sql("customer360", a, b) for a, b in _corr_pairs()))
+def correlation_kendall(spark, sf_dir):
+    return rounded(P.correlation_matrix(customer360(spark, sf_dir), CORR_COLUMNS, "kendall"))
+
+
+@query("li_kendall", oracle=_kendall_sql("lineitem", "l_discount", "l_quantity") + "\nUNION ALL\n"
+       + _kendall_sql("lineitem", "l_tax", "l_discount"))
+def li_kendall(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem", ["l_quantity", "l_discount", "l_tax"])
+    from driftwood.operators.kendall import kendall
+    return rounded(kendall(li, [("l_discount", "l_quantity"), ("l_tax", "l_discount")]))
+
+
 KDE_POINTS = 64
 
 
