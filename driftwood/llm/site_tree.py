@@ -41,7 +41,7 @@ part of which nothing but headings would be left.
 
 Spark side: pages are parsed twice, once for the statistics and once for the
 extraction.  Statistics are summed by (host, node, distribution, value) and
-then by (host, node), both with map-side partial sums, so a host so a host with a third
+then by (host, node), both with map-side partial sums, so a host with a third
 of all pages is no hot key.  What comes back to the pages of a host is its
 list of low-importance nodes, however long: broadcast if the lists are short,
 or else only those that a page itself has, joined by host
@@ -55,7 +55,6 @@ left open ends with the page.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -85,7 +84,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is never text.
 SILENT = frozenset("script style template noscript svg math head title iframe object canvas audio video".split())
 #: Elements that are never part of the article, wherever they are.
-OUTSIDE = frozenset("nav aside form footer menu dialog button select textarea input label fieldset".split())
+OUTSIDE = frozenset("nav aside form footer menu dialog button select textarea input fieldset".split())
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption
     figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table
     tbody td tfoot th thead tr ul option""".split())
@@ -109,7 +108,11 @@ COMPOUNDS = frozenset("entry-footer post-footer article-footer post-navigation p
 #: Ids that count inside the article too, where others come from headings.
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-SPACE = re.compile(r"\s+")
+
+
+def one_spaced(text: str) -> str:
+    """White space as one space, none at the ends."""
+    return " ".join(text.split())
 
 
 @lru_cache(20_000)
@@ -126,8 +129,10 @@ class Node:
     def __init__(self, tag: str, names: str = "", parent: Node | None = None, id: str = ""):
         self.tag, self.names, self.parent, self.id = tag, names, parent, id  # names: class and role
         self.children: list = []  # nodes and strings
-        looks = sorted(set(f"{names} {id}".lower().split()))
-        self.look = f"{tag}.{'.'.join(looks)}" if looks else tag
+        self.look = tag
+        if names or id:
+            looks = sorted(set(f"{names} {id}".lower().split()))
+            self.look = f"{tag}.{'.'.join(looks)}" if looks else tag
         self.path, self.several = 0, False  # several: has siblings of its look
 
 
@@ -138,6 +143,9 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html")
 
+    def updatepos(self, i, j):
+        return j  # nobody asks for line numbers
+
     def handle_starttag(self, tag, attrs):
         if tag == "html":
             return
@@ -187,13 +195,13 @@ def parse(html: str | None) -> Node:
     while stack:
         node = stack.pop()
         seen: dict[str, int] = {}
-        for c in node.children:
-            if isinstance(c, Node):
-                seen[c.look] = n = seen.get(c.look, 0) + 1
-                c.path = xxhash.xxh3_64_intdigest(f"{c.look}[{n}]", node.path)
-                stack.append(c)
-        if any(n > 1 for n in seen.values()):
-            for c in inner(node):
+        kids = [c for c in node.children if isinstance(c, Node)]
+        for c in kids:
+            seen[c.look] = n = seen.get(c.look, 0) + 1
+            c.path = xxhash.xxh3_64_intdigest(f"{c.look}[{n}]", node.path)
+        stack += kids
+        if len(seen) < len(kids):
+            for c in kids:
                 c.several = seen[c.look] > 1
     return b.root
 
@@ -210,7 +218,7 @@ def text_of(node: Node) -> str:
             out.append(n)
         elif n.tag not in SILENT:
             stack.extend(reversed(n.children))
-    return SPACE.sub(" ", "".join(out)).strip()
+    return one_spaced("".join(out))
 
 
 def group_and_text(node: Node) -> tuple[int, int]:
@@ -226,7 +234,7 @@ def group_and_text(node: Node) -> tuple[int, int]:
         elif n.tag not in SILENT and n.tag not in BLOCKS:
             stack.extend(reversed(n.children))
     group = xxhash.xxh3_64_intdigest(node.look, node.parent.path if node.parent else 0)
-    text = SPACE.sub(" ", "".join(out)).strip()
+    text = one_spaced("".join(out))
     return group, xxhash.xxh3_64_intdigest(text, group) if text else 0
 
 
@@ -240,7 +248,7 @@ def observations(root: Node) -> Iterator[tuple]:
         if node.tag in SILENT:
             continue
         kids = inner(node)
-        own = SPACE.sub(" ", "".join(c for c in node.children if isinstance(c, str))).strip()
+        own = one_spaced("".join(c for c in node.children if isinstance(c, str)))
         if kids:
             yield node.path, parent, depth, "s", xxhash.xxh3_64_intdigest(">".join(k.look for k in kids))
         if own or not kids:
@@ -272,6 +280,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     """(host, path, parent, depth, n, style, content, text): the style tree's
     nodes with the entropies of their distributions, the groups of siblings
     and their texts; ``pages`` has host and html."""
+    ship_package(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -345,7 +354,7 @@ def removable(nodes: DataFrame, least: float = LEAST, decay: float = DECAY) -> D
            .unionByName(frequent_texts(nodes, least)))
     pages = nodes.where(F.col("depth") == 0).select("host", F.col("n").alias("pages"))
     many = F.when(F.col("n") >= HALF * F.col("pages"), F.col("item").bitwiseXOR(F.lit(MANY)))
-    return (low.join(F.broadcast(pages), "host")
+    return (low.join(pages, "host")
             .select("host", "path", F.explode(F.array_compact(F.array("item", many))).alias("item")))
 
 
@@ -427,7 +436,7 @@ def kept(parts: list[Node], in_main: bool, low: set) -> tuple[list[str], int, in
     blocks, words, sizes = [], [], [0, 0]
 
     def flush():
-        text = SPACE.sub(" ", "".join(words)).strip()
+        text = one_spaced("".join(words))
         words.clear()
         if text:
             blocks.append(text)

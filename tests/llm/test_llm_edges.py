@@ -224,3 +224,9 @@ def test_evidence_same_as_looking_items_up():
         assert evidence(text) is want, text
     nothing = language.Evidence({"langs": [], "words": {}, "grams": {}})
     assert nothing("a") and not nothing("1")
+
+
+def test_labels_in_running_text_stay(spark):
+    html = "<article><p>Press <label>Start</label> now and wait for the light.</p><form><label>Name</label></form></article>"
+    got = site_tree.main_text(spark.createDataFrame([(1, "http://a/b", html)], "page_id long, url string, html string"))
+    assert got.first()["text"] == "Press Start now and wait for the light."
