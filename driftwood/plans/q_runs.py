@@ -10,7 +10,9 @@ from driftwood.operators.search import suggest_ranges
 from driftwood.operators.topk import top_k_per_group
 from driftwood.plans.catalog import query
 from driftwood.plans.common import rounded
+from driftwood.plans.q_checks import _folder
 from driftwood.plans.runs_table import MODELS, TRIAL_PARAMS, runs, runs_sql, trials, trials_sql
+from driftwood.sources import run_store
 
 RUNS = "WITH " + runs_sql()
 
@@ -107,6 +109,24 @@ def remove_recent_runs(spark, sf_dir):
                                           F.max("start_time").alias("latest_start"))
 
 
+@query("run_store_after_changes", oracle=f"""{RUNS},
+recent AS (SELECT run_id FROM runs WHERE experiment = '5-LOW'
+           ORDER BY start_time DESC, run_id DESC LIMIT 10)
+SELECT experiment, count(*) AS n_runs, count(DISTINCT run_id) AS n_ids, max(start_time) AS latest_start
+FROM runs WHERE run_id NOT IN (SELECT run_id FROM recent) GROUP BY experiment""")
+def run_store_after_changes(spark, sf_dir):
+    """Runs stored in two batches, one of them replayed, and the latest of an
+    experiment removed: what a reader of the store then sees."""
+    r, path = runs(spark, sf_dir), _folder(spark, "runs")
+    for batch, part in (("finished", r.where("status = 'FINISHED'")), ("others", r.where("status <> 'FINISHED'"))):
+        run_store.append(part, path, batch)
+    run_store.append(r.where("status <> 'FINISHED'"), path, "others")
+    run_store.remove_recent(spark, path, "5-LOW", 10)
+    return run_store.read_runs(spark, path).groupBy("experiment").agg(
+        F.count(F.lit(1)).alias("n_runs"), F.count_distinct("run_id").alias("n_ids"),
+        F.max("start_time").alias("latest_start"))
+
+
 @query("top3_runs_per_experiment", oracle=f"""{RUNS},
 r AS (SELECT experiment, run_id, m_pr_auc AS pr_auc,
              row_number() OVER (PARTITION BY experiment ORDER BY m_pr_auc DESC NULLS LAST, run_id) AS rank
