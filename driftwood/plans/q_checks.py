@@ -21,6 +21,7 @@ from driftwood.plans import q_models
 from driftwood.plans.catalog import query
 from driftwood.plans.common import SCORED_SQL, event_halves, rounded, scored_documents
 from driftwood.plans.customer360 import C360_CATEGORIES, customer360, customer360_sql
+from driftwood.plans.q_features import FEATURE_SQL
 from driftwood.plans.q_preprocess import REGISTRY
 from driftwood.plans.runs_table import runs as runs_table
 from driftwood.plans.runs_table import runs_sql
@@ -69,42 +70,67 @@ def split_tables_rejoined(spark, sf_dir):
         F.count("*").alias("n"), F.round(F.sum(F.col("EstimatedSalary").cast("double")), 2).alias("salary"))
 
 
-@query("registry_applied_from_file", oracle=f"""{C360}
-SELECT count(*) AS n, {len(E.layout_from_registry(REGISTRY).columns)} AS columns FROM customer360""")
+def _column_sums(df):
+    """A row per column of ``df``: rows, nulls, and the sum of its numbers or of
+    its texts' lengths, so that every value of every column counts."""
+    def total(f):
+        c = F.col(f"`{f.name}`")
+        return F.sum(F.length(c) if f.dataType.typeName() == "string" else c.cast("double"))
+    cells = [F.struct(F.lit(f.name).alias("feature"), F.count(F.lit(1)).alias("n"),
+                      F.count_if(F.col(f"`{f.name}`").isNull()).alias("nulls"),
+                      F.round(total(f).cast("double"), 3).alias("total")) for f in df.schema.fields]
+    return df.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+
+
+def _sums_sql(source: str, columns: dict[str, str], texts: tuple = ()) -> str:
+    """The same rows; ``columns`` are names and SQL expressions."""
+    return "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS feature, count(*) AS n, count(*) - count({x}) AS nulls, "
+        f"round(CAST(sum({f'length({x})' if name in texts else f'CAST({x} AS DOUBLE)'}) AS DOUBLE), 3) AS total FROM {source}"
+        for name, x in columns.items())
+
+
+@query("registry_applied_from_file", oracle=C360 + "\n" + _sums_sql("customer360", {
+    **{name: FEATURE_SQL[name] for name in (
+        "Age_x_IsActive", "Balance_plus_Salary", "Balance_x_Tenure", "Products_per_Tenure", "Num_Of_Products_1",
+        "Num_Of_Products_2", "is_germany")},
+    "HasCrCard": "HasCrCard", "Card Type": '"Card Type"', "Gender": "Gender", "Age": "Age", "Balance": "Balance",
+    "CreditScore": "CreditScore"}, ("Card Type", "Gender")))
 def registry_applied_from_file(spark, sf_dir):
-    """The registry written as JSON, read back, and used as a layout."""
+    """The registry written as JSON, read back, and used as a layout: the
+    sums of every column that it names."""
     path = _folder(spark, "registry")
     S.write_registry(spark, REGISTRY, path)
     layout = E.layout_from_registry(S.registry_dict(S.read_registry(spark, path)))
     made = FE.add_features(customer360(spark, sf_dir), FE.required_features(layout.columns),
                            categories=C360_CATEGORIES)
-    return made.select(*[F.col(f"`{c}`") for c in layout.columns]).agg(
-        F.count("*").alias("n"), F.lit(len(layout.columns)).alias("columns"))
+    return _column_sums(made.select(*[F.col(f"`{c}`") for c in layout.columns]))
 
 
-@query("target_and_features_apart", oracle=f"""{C360}
-SELECT count(*) AS n, sum({LABEL})::BIGINT AS positives, 12 AS feature_columns FROM customer360""")
+@query("target_and_features_apart", oracle=C360 + "\n" + _sums_sql("customer360", {
+    "Surname": "Surname", "CreditScore": "CreditScore", "Geography": "Geography", "Gender": "Gender", "Age": "Age",
+    "Tenure": "Tenure", "Balance": "Balance", "NumOfProducts": "NumOfProducts", "HasCrCard": "HasCrCard",
+    "IsActiveMember": "IsActiveMember", "EstimatedSalary": "EstimatedSalary", "Card Type": '"Card Type"',
+    LABEL: LABEL}, ("Surname", "Geography", "Gender", "Card Type")))
 def target_and_features_apart(spark, sf_dir):
     """The target dropped from and selected beside the features, for
-    all splits together."""
+    all splits together: the sums of every column on its side."""
     parts = list(K.split_frames(_split(spark, sf_dir).drop(KEY), LABEL).values())
     y, x = parts[0][1], parts[0][0]
     for feats, target in parts[1:]:
         x, y = x.unionByName(feats), y.unionByName(target)
-    counted = x.agg(F.count("*").alias("n"), F.lit(len(x.columns)).alias("feature_columns"))
-    return counted.select("n", y.select(F.sum(LABEL)).scalar().alias("positives"), "feature_columns")
+    return _column_sums(x).unionByName(_column_sums(y))
 
 
-@query("columns_by_prefix", oracle=f"""{C360}
-SELECT count(*) AS n, 3 AS num_columns, 2 AS cat_columns FROM customer360""")
+@query("columns_by_prefix", oracle=C360 + "\n" + _sums_sql("customer360", {
+    "num__Age": "Age", "num__Balance": "Balance", "num__CreditScore": "CreditScore", "cat__Gender": "Gender",
+    "cat__Geography": "Geography"}, ("cat__Gender", "cat__Geography")))
 def columns_by_prefix(spark, sf_dir):
-    """Columns chosen by their transformer prefix."""
+    """Columns chosen by their transformer prefix, and their sums."""
     c = customer360(spark, sf_dir)
     wide = c.select(*[F.col(x).alias(f"num__{x}") for x in ("Age", "Balance", "CreditScore")],
                     *[F.col(x).alias(f"cat__{x}") for x in ("Gender", "Geography")])
-    num, cat = N.select_prefix(wide, "num__"), N.select_prefix(wide, "cat__")
-    return num.agg(F.count("*").alias("n"), F.lit(len(num.columns)).alias("num_columns"),
-                   F.lit(len(cat.columns)).alias("cat_columns"))
+    return _column_sums(N.select_prefix(wide, "num__")).unionByName(_column_sums(N.select_prefix(wide, "cat__")))
 
 
 @query("threshold_labels", oracle=f"""WITH {SCORED_SQL}
@@ -115,17 +141,20 @@ def threshold_labels(spark, sf_dir):
     return M.threshold_label(scored, "score", 0.7).groupBy("prediction").agg(F.count("*").alias("n"))
 
 
-@query("registry_from_output_names", oracle="""
-SELECT 'Age,Balance' AS norm_std_columns, 'Card Type,Gender' AS dummyfy_columns, n FROM (
-  SELECT count(*) AS n FROM customer)""")
+@query("registry_from_output_names", oracle=C360 + "\nSELECT 'norm_std_columns' AS list, * FROM ("
+       + _sums_sql("customer360", {"Age": "Age", "Balance": "Balance"}) + ")\nUNION ALL\n"
+       "SELECT 'dummyfy_columns', * FROM (" + _sums_sql("customer360", {"Card Type": '"Card Type"', "Gender": "Gender"},
+                                                        ("Card Type", "Gender")) + ")")
 def registry_from_output_names(spark, sf_dir):
-    """Outputs of a fitted preprocessor back to registry lists."""
+    """Outputs of a fitted preprocessor back to registry lists, and the sums
+    of the columns that the lists name."""
     c = customer360(spark, sf_dir)
     fitted = E.fit(c, E.Layout(one_hot=("Card Type", "Gender"), scaled=("Age", "Balance")))
     names = spark.createDataFrame([(x,) for x in fitted.output_names()], "name string")
-    lists = E.registry_from_outputs_df(names, "name", [], ["Card Type", "Gender"], ["Age", "Balance"])
-    joined = [F.array_join(x, ",").alias(x) for x in ("norm_std_columns", "dummyfy_columns")]
-    return lists.select(*joined, c.select(F.count("*")).scalar().alias("n"))
+    lists = E.registry_from_outputs_df(names, "name", [], ["Card Type", "Gender"], ["Age", "Balance"]).first()
+    parts = [_column_sums(c.select(*[F.col(f"`{x}`") for x in lists[name]])).select(F.lit(name).alias("list"), "*")
+             for name in ("norm_std_columns", "dummyfy_columns")]
+    return parts[0].unionByName(parts[1])
 
 
 @query("user_feature", oracle=f"""{C360}
@@ -190,6 +219,17 @@ def predictions_are_consistent(spark, sf_dir):
         F.count("*").alias("n"), F.count_distinct(KEY).alias("n_keys"), F.count_if(bad).alias("bad"))
 
 
+@query("rounded_probabilities", oracle=f"""{C360},
+r AS (SELECT HasCrCard, avg({LABEL}) AS p, count(*) AS n FROM customer360 GROUP BY HasCrCard)
+SELECT round(p, 4) AS churn_probability, CAST(p > 0.5 AS INTEGER) AS prediction, sum(n)::BIGINT AS n FROM r GROUP BY ALL""")
+def rounded_probabilities(spark, sf_dir):
+    """A logistic regression of one yes/no column predicts each
+    value's rate, to four places."""
+    c = customer360(spark, sf_dir).withColumn(LABEL, F.col(LABEL).cast("double"))
+    pipe = L.build_pipeline(E.Layout(passthrough=("HasCrCard",)), L.classifier("logistic_regression", label=LABEL))
+    return L.batch_predict(pipe.fit(c), c, KEY).groupBy("churn_probability", "prediction").agg(F.count("*").alias("n"))
+
+
 @query("attributions_add_up", oracle=f"""{C360}
 SELECT count(*) AS n_rows, 0::BIGINT AS bad FROM customer360""")
 def attributions_add_up(spark, sf_dir):
