@@ -199,15 +199,16 @@ def batch_predict(model: PipelineModel, df: DataFrame, key: str,
 
 
 def cross_validate(df: DataFrame, label: str, key: str, pipeline: Pipeline, k: int = 5,
-                   seed: int = 42, parallelism: int = 4) -> DataFrame:
+                   seed: int = 42, parallelism: int = 4, only: list[int] | None = None) -> DataFrame:
     """Stratified k-fold: one fit per fold (``parallelism`` at a time); the
-    held-out predictions of all folds are scored in one average-precision
-    job grouped by fold.  Rows: fold, pr_auc (mean via ``mean_score``)."""
+    held-out predictions of all folds (or those of ``only``) are scored in one
+    average-precision job grouped by fold.  Rows: fold, pr_auc (mean via
+    ``mean_score``)."""
     folds = stratified_folds(df, label, key, k=k, seed=seed).cache()
-    models = _parallel(lambda f: pipeline.fit(folds.where(F.col("fold") != f)), list(range(k)),
-                       parallelism)
+    wanted = list(range(k)) if only is None else list(only)
+    models = _parallel(lambda f: pipeline.fit(folds.where(F.col("fold") != f)), wanted, parallelism)
     held = None
-    for f, model in enumerate(models):
+    for f, model in zip(wanted, models):
         part = probability(model.transform(folds.where(F.col("fold") == f)), "_p") \
             .select("fold", F.col(label).cast("int").alias("_y"), "_p")
         held = part if held is None else held.unionByName(part)
@@ -378,6 +379,37 @@ def random_trials(space: SearchSpace, n: int, seed: int = 42) -> list[dict]:
     return out
 
 
+#: Candidates that a guided draw chooses from.
+DRAWS = 24
+
+
+def guided_trials(space: SearchSpace, past: DataFrame, n: int, seed: int = 42, draws: int = DRAWS) -> list[dict]:
+    """n draws, each the likeliest of ``draws`` random ones by the ratio of the
+    good and the other trials' densities (ties: the first); equal seeds and
+    trials give equal draws.  Scaler and encoder stay as drawn."""
+    from driftwood.operators.search import parzen_ratio
+    pool = random_trials(space, n * draws, seed)
+    cells = [(i, name, float(p[name])) for i, p in enumerate(pool) for name in space.ranges]
+    candidates = past.sparkSession.createDataFrame(cells, "candidate int, parameter string, p double")
+    ratio = {r["candidate"]: round(r["log_ratio"], 9) for r in parzen_ratio(past, candidates).collect()}  # n x draws rows
+    pick = lambda k: max(range(k * draws, (k + 1) * draws), key=lambda i: (ratio.get(i, 0.0), -i))
+    return [pool[pick(k)] for k in range(n)]
+
+
+def pruned_after(means: list[float], past: list[list[float]]) -> int | None:
+    """The number of folds after which a trial whose running means are
+    ``means`` is given up: the first where it is below the median of the
+    running means that complete trials had there.  None: never."""
+    for k in range(1, len(means)):
+        others = sorted(m[k - 1] for m in past if len(m) >= k)
+        if others:
+            mid = len(others) // 2
+            median = others[mid] if len(others) % 2 else (others[mid - 1] + others[mid]) / 2
+            if means[k - 1] < median:
+                return k
+    return None
+
+
 TRIAL_SCHEMA = ("stage int, number long, state string, value double, params map<string,double>, "
                 "scaler string, drop_first boolean")
 
@@ -385,30 +417,49 @@ TRIAL_SCHEMA = ("stage int, number long, state string, value double, params map<
 def staged_search(df: DataFrame, label: str, key: str, layout: E.Layout, space: SearchSpace,
                   stages: tuple[int, ...] = (200, 100, 50, 25), folds: int = 5,
                   categories: dict | None = None, seed: int = 42,
-                  parallelism: int = 4) -> DataFrame:
-    """Seeded random search in stages.  After each stage the ranges are
+                  parallelism: int = 4, guided: bool = False, prune: bool = False) -> DataFrame:
+    """Seeded search in stages: random, or from the second stage on ``guided``
+    by the trials so far.  After each stage the ranges are
     re-aimed with the range-suggestion rule over all trials so far, inside
     each parameter's limits; a parameter without a suggestion returns to the
-    caller's range.  The whole pipeline is fitted per fold.
+    caller's range.  The whole pipeline is fitted per fold.  With ``prune`` a
+    trial of a later stage is given up after the first fold at which its running
+    mean is below the median of the earlier stages' complete trials there: its
+    state is PRUNED, its value that mean, and no further fold is fitted.
     Rows: stage, number, state, value (mean CV AP), params map, scaler,
     drop_first."""
     from driftwood.operators.search import suggest_ranges
     spark = df.sparkSession
 
-    def score(p: dict) -> float:
+    def score(p: dict) -> list[float]:
+        """Running means over the folds, as far as the trial is followed."""
         p = dict(p)
         scaler, drop_first = p.pop("scaler"), p.pop("drop_first")
         weighted = with_class_weight(df, label, p.pop("scale_pos_weight", 1.0), "__weight")
         model = classifier("boosted_trees", label, weight="__weight", seed=seed, **p)
         pipe = build_pipeline(layout, model, categories, scaler, drop_first=drop_first)
-        return mean_score(cross_validate(weighted, label, key, pipe, folds, seed, 1))
-
-    rows, now = [], space
+        if not prune:
+            return [mean_score(cross_validate(weighted, label, key, pipe, folds, seed, 1))]
+        means, found = [], []
+        for f in range(folds):
+            one = cross_validate(weighted, label, key, pipe, folds, seed, 1, only=[f])
+            found += [r["pr_auc"] for r in one.collect() if r["pr_auc"] is not None]
+            means.append(math.fsum(found) / len(found) if found else 0.0)
+            if pruned_after([*means, 0.0], earlier) is not None and f + 1 < folds:
+                break
+        return means
+
+    rows, now, complete, earlier = [], space, [], []
     for s, n in enumerate(stages):
-        trials = random_trials(now, n, seed + s)
-        for p, value in zip(trials, _parallel(score, trials, parallelism)):
+        past = [r for r in rows if r[2] == "COMPLETE"]
+        trials = guided_trials(now, spark.createDataFrame(rows, TRIAL_SCHEMA), n, seed + s) if guided and past \
+            else random_trials(now, n, seed + s)
+        for p, means in zip(trials, _parallel(score, trials, parallelism)):
             numbers = {k: float(v) for k, v in p.items() if k in space.ranges}
-            rows.append((s, len(rows), "COMPLETE", value, numbers, p["scaler"], p["drop_first"]))
+            whole = not prune or len(means) == folds
+            complete += [means] if whole else []
+            rows.append((s, len(rows), "COMPLETE" if whole else "PRUNED", means[-1], numbers, p["scaler"], p["drop_first"]))
+        earlier = list(complete)  # as of this stage: the same whatever trial ends first
         if s + 1 < len(stages):
             found = suggest_ranges(spark.createDataFrame(rows, TRIAL_SCHEMA)).collect()  # a row per parameter
             now = space.re_aimed({r["parameter"]: (r["suggested_min"], r["suggested_max"]) for r in found})

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftwood.operators import runs as R
 from driftwood.operators.profile import pivot_scores
-from driftwood.operators.search import suggest_ranges
+from driftwood.operators.search import parzen_ratio, suggest_ranges
 from driftwood.operators.topk import top_k_per_group
 from driftwood.plans.catalog import query
 from driftwood.plans.common import rounded
@@ -206,3 +206,30 @@ SELECT parameter, round(current_min, 6) AS current_min, round(current_max, 6) AS
 FROM a""")
 def suggest_ranges_query(spark, sf_dir):
     return rounded(suggest_ranges(trials(spark, sf_dir)))
+
+
+#: 25 candidates along the diagonal of the parameters' ranges.
+@query("parzen_ratio_of_trials", oracle=f"""WITH {trials_sql()},
+ok AS (SELECT * FROM trials WHERE state = 'COMPLETE' AND value IS NOT NULL AND NOT isnan(value)),
+thr AS (SELECT quantile_cont(value, 0.75) AS t FROM ok),
+long AS ({" UNION ALL ".join(f"SELECT value >= t AS good, '{p}' AS parameter, p_{p} AS p FROM ok, thr" for p in TRIAL_PARAMS)}),
+span AS (SELECT parameter, min(p) AS lo, max(p) AS hi FROM long GROUP BY parameter HAVING min(p) < max(p)),
+side AS (SELECT l.parameter, l.good, hi - lo AS width, count(*) AS n,
+                greatest(stddev_pop(p) * pow(count(*), -0.2), max(hi - lo) / 100) AS h
+         FROM long l JOIN span s ON l.parameter = s.parameter GROUP BY ALL),
+cand AS (SELECT CAST(i AS INTEGER) AS candidate, parameter, lo + i * (hi - lo) / 24 AS x FROM span, range(25) t(i)),
+vals AS (SELECT parameter, good, p, count(*) AS w FROM long GROUP BY ALL),
+mass AS (SELECT c.candidate, s.parameter, s.good, s.width, s.n,
+                sum(w * exp(-0.5 * pow((x - p) / h, 2)) / (h * sqrt(2 * pi()))) AS k
+         FROM cand c JOIN side s ON c.parameter = s.parameter JOIN vals v ON v.parameter = s.parameter AND v.good = s.good
+         GROUP BY ALL)
+SELECT candidate, round(sum(CASE WHEN good THEN 1 ELSE -1 END * ln((1.0 / width + k) / (n + 1.0))), 6) AS log_ratio
+FROM mass GROUP BY candidate""")
+def parzen_ratio_of_trials(spark, sf_dir):
+    t = trials(spark, sf_dir)
+    span = t.where("state = 'COMPLETE'").select(F.explode("params").alias("parameter", "p")).groupBy("parameter").agg(
+        F.min("p").alias("lo"), F.max("p").alias("hi"))
+    i = F.explode(F.sequence(F.lit(0), F.lit(24)))
+    points = span.select("parameter", "lo", "hi", i.alias("candidate")).select(
+        "candidate", "parameter", (F.col("lo") + F.col("candidate") * (F.col("hi") - F.col("lo")) / 24).alias("p"))
+    return rounded(parzen_ratio(t, points))
