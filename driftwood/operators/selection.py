@@ -36,6 +36,8 @@ from driftwood.session import cut_lineage
 DIGITS_0, DIGITS = 256, 4096
 #: Rows of the open intervals that are counted value by value.
 FEW = 200_000
+#: Rows of the state (groups x probabilities x 2) that pass through the driver.
+SMALL = 10_000
 #: Above 1074 * DIGITS_0, so that the exponent's digit stays positive.
 _SHIFT = 300_000
 
@@ -97,6 +99,20 @@ def _refine(rows: DataFrame, state: DataFrame, by: list[str], groups: int, last:
         found.withColumn("_dw_value", _found(F.col("_dw_rank"))))
 
 
+def _settled(state: DataFrame, by: list[str]) -> tuple[DataFrame, int, int]:
+    """The state worked out, the rows in its open intervals and their number.
+    A small state passes through the driver in one job; a larger one (very many
+    groups) goes to the checkpoint folder."""
+    got = state.limit(SMALL + 1).collect()
+    if len(got) <= SMALL:
+        left = {(*(r[b] for b in by), r["_dw_lo"]): r["_dw_n"] for r in got if r["_dw_value"] is None}
+        return state.sparkSession.createDataFrame(got, state.schema), sum(left.values()), len(left)
+    state = cut_lineage(state)
+    left = state.where("_dw_value is null").select(*by, "_dw_lo", "_dw_n").distinct() \
+        .agg(F.sum("_dw_n"), F.count(F.lit(1))).first()
+    return state, left[0] or 0, left[1]
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
                     few: int = FEW) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy/pandas default, DuckDB
@@ -123,12 +139,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
                 F.col("_dw_t.frac").alias("_dw_frac"), "_dw_rank", "_dw_n", "_dw_lo", "_dw_hi",
                 _found(F.col("_dw_rank")).alias("_dw_value"))
     while True:
-        state = cut_lineage(state)  # a few rows per group
-        left = state.where("_dw_value is null").select(*by, "_dw_lo", "_dw_n").distinct() \
-            .agg(F.sum("_dw_n"), F.count(F.lit(1))).first()
-        if not left[1]:
+        state, open_rows, intervals = _settled(state, by)
+        if not intervals:
             break
-        state = _refine(rows, state, by, left[1], left[0] <= few)
+        state = _refine(rows, state, by, intervals, open_rows <= few)
     low = [F.max(F.when((F.col("_dw_i") == i) & ~F.col("_dw_high"), F.col("_dw_value"))) for i in range(len(probs))]
     high = [F.max(F.when((F.col("_dw_i") == i) & F.col("_dw_high"), F.col("_dw_value"))) for i in range(len(probs))]
     frac = [F.max(F.when(F.col("_dw_i") == i, F.col("_dw_frac"))) for i in range(len(probs))]

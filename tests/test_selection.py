@@ -31,8 +31,9 @@ def columns(rnd):
     }
 
 
-@pytest.mark.parametrize("few", [S.FEW, 0, 30])
-def test_all_columns_at_once_same_as_numpy(spark, few):
+@pytest.mark.parametrize("few, small", [(S.FEW, S.SMALL), (0, S.SMALL), (30, 5), (0, 0)])
+def test_all_columns_at_once_same_as_numpy(spark, monkeypatch, few, small):
+    monkeypatch.setattr(S, "SMALL", small)
     cols = columns(random.Random(1))
     df = spark.createDataFrame([(c, v) for c, vs in cols.items() for v in vs] + [(None, 1.5), (None, 2.5)],
                                "c string, v double").repartition(5)
