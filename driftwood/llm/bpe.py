@@ -32,7 +32,7 @@ from driftwood.llm.common import kept
 from driftwood.session import ship_package
 
 #: Entries of each per-worker cache before it is emptied.
-UNITS, PAIRS, STATES = 150_000, 500_000, 150_000
+UNITS, PAIRS, STATES = 250_000, 500_000, 300_000
 
 
 def unicode_pattern(pattern: str):
@@ -63,8 +63,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Vocabulary:
     """Tokens by rank; rank order is merge order."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], share: float = 1.0):
+        self.ranks, self.share = ranks, share
         self.tokens = {r: t for t, r in ranks.items()}
         self.prefixes = {p: p for t in ranks for p in (t[:i] for i in range(1, len(t)))}
         self._spines: dict[int, tuple] = {}
@@ -123,7 +123,7 @@ class Vocabulary:
 
     def encode(self, data: bytes) -> list[int]:
         """The BPE encoding of one piece."""
-        if len(self.states) >= STATES:
+        if len(self.states) >= STATES * self.share:
             self.forget()
         s, last = self.root, []
         for byte in data:
@@ -213,9 +213,9 @@ class Encoder(dict):
     next) to the ids of its pieces, the space included; bounded, with two
     generations: when the young one is full it becomes the old one."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, share: float = 1.0):
         super().__init__()
-        self.v = Vocabulary(ranks)
+        self.v, self.share = Vocabulary(ranks, share), share
         self.pieces = unicode_pattern(pattern).findall
         self.old: dict[str, tuple] = {}
 
@@ -230,7 +230,7 @@ class Encoder(dict):
         if ids is None:
             ids = tuple(chain.from_iterable(map(self.piece, self.pieces(" " + unit))))
         if len(unit) < 100:
-            if len(self) >= UNITS:
+            if len(self) >= UNITS * self.share:
                 self.old = dict(self)
                 self.clear()
             self[unit] = ids
@@ -252,18 +252,20 @@ class Encoder(dict):
         return b"".join(map(self.v.tokens.__getitem__, ids))
 
 
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, share: float = 1.0) -> Encoder:
     """One encoder per worker process and vocabulary, until another operator
     uses the process."""
-    encoders, key = kept("bpe"), (path, pattern)
+    encoders, key = kept("bpe"), (path, pattern, share)
     if key not in encoders:
-        encoders[key] = Encoder(read_ranks(path), pattern)
+        encoders[key] = Encoder(read_ranks(path), pattern, share)
     return encoders[key]
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
-           text_col: str = "text", decoded: bool = True) -> DataFrame:
-    """(id, ids array<int>[, decoded binary]) for every row.
+           text_col: str = "text", decoded: bool = True, share: float = 1.0) -> DataFrame:
+    """(id, ids array<int>[, decoded binary]) for every row.  ``share`` of the
+    bounds ``UNITS`` and ``STATES`` is what a worker's caches hold: less memory,
+    more time.
 
     A null or empty text has no ids and decodes to no bytes; a null id and
     repeated rows are kept as they are; other columns are not read.
@@ -274,7 +276,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     id_type = src.schema["id"].dataType.simpleString()
 
     def run(batches):
-        enc = encoder(path, pattern)
+        enc = encoder(path, pattern, share)
         for batch in batches:
             rows = [enc.encode(t.as_py()) for t in batch.column(1)]
             ends = np.cumsum([0] + [len(r) for r in rows]).astype(np.int32)
