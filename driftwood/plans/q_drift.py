@@ -56,9 +56,8 @@ def ks_events_value(spark, sf_dir):
 
 @query("ks_events_value_exact")
 def ks_events_value_exact(spark, sf_dir):
-    """Exact two-sided p-value of the two halves' values; raises where the
-    exact count is out of reach instead of answering by another method.  No
-    SQL twin."""
+    """Exact two-sided p-value of the two halves' values, at any
+    size.  No SQL twin."""
     ref, cur = event_halves(spark, sf_dir)
     return rounded(D.ks_test(ref, cur, ["value"], p_method="exact"))
 

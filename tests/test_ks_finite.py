@@ -66,3 +66,29 @@ def test_report_takes_the_method(spark):
     assert "c" in row
     with pytest.raises(ValueError):
         D.ks_test(ref, cur, ["x"], p_method="auto")
+
+
+@pytest.mark.parametrize("n, h", [(4000, 90), (20000, 250)])
+def test_exact_count_at_sizes_that_were_refused(spark, n, h):
+    """Equal sizes have a closed form: alternating sums of binomials."""
+    from fractions import Fraction
+
+    from driftwood.functions.stats import ks_exact_sf
+    from driftwood.operators import drift as D
+    whole = math.comb(2 * n, n)
+    p = 2 * sum((-1) ** (k + 1) * Fraction(math.comb(2 * n, n + k * h), whole) for k in range(1, 12))
+    assert ks_exact_sf(h / n, n, n) == pytest.approx(float(p), rel=1e-10)
+    stat = spark.createDataFrame([("x", h / n, n, n)], "feature string, ks_stat double, n_ref long, n_cur long")
+    assert D.ks_rows(stat, p_method="exact").first()["p_value"] == pytest.approx(float(p), rel=1e-10)
+
+
+def test_exact_count_of_unequal_sizes_cell_by_cell():
+    from driftwood.functions.stats import ks_exact_sf
+    for n1, n2, d in [(1, 1, 1.0), (3, 1000, 0.5), (40, 17, 0.3), (260, 1301, 0.09), (600, 601, 0.05), (900, 900, 0.9)]:
+        h, row = round(d * n1 * n2), [1] + [0] * n2
+        for i in range(n1 + 1):  # whole numbers, cell by cell
+            for j in range(n2 + 1):
+                came = (row[j] if i or not j else 0) + (row[j - 1] if j else 0)
+                row[j] = came if abs(i * n2 - j * n1) < h else 0
+        p = 1 - row[n2] / math.comb(n1 + n2, n1)
+        assert ks_exact_sf(d, n1, n2) == pytest.approx(p, abs=1e-12)
