@@ -168,3 +168,19 @@ def test_path_contributions_equal_recursion_on_a_deep_tree():
         slow = np.zeros(m + 1)
         X._tree_shap(row, t, slow)
         assert np.abs(slow - got).max() < 1e-9
+
+
+def test_search_deals_folds_once(spark, data, monkeypatch):
+    """Folds are the same for every trial: one job makes them, and fits read
+    rows without the plan behind them."""
+    calls, deal = [], L.stratified_folds
+    monkeypatch.setattr(L, "stratified_folds", lambda *a, **k: calls.append(1) or deal(*a, **k))
+    space = L.SearchSpace({"n_estimators": (1, 1)})
+    found = L.staged_search(data, "label", "id", LAYOUT, space, stages=(2, 1), folds=2)
+    assert found.count() == 3 and len(calls) == 1
+
+
+def test_model_rows_carry_no_joins(spark):
+    from driftwood.plans import q_models as Q
+    plan = Q._data(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Window" not in plan
