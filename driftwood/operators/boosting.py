@@ -75,20 +75,29 @@ class Tree:
 
     def places(self, bins: np.ndarray, missing: int) -> np.ndarray:
         """The leaf (or still open node) of every row."""
-        at = np.zeros(len(bins), np.int64)
-        for node in sorted(self.splits):
-            column, last, left, _ = self.splits[node]
-            here = at == node
-            b = bins[here, column]
-            at[here] = np.where(np.where(b == missing, left, b <= last), 2 * node + 1, 2 * node + 2)
-        return at
+        ids, at = self._walk(bins, missing)
+        return ids[at]
 
     def values(self, bins: np.ndarray, missing: int) -> np.ndarray:
-        at = self.places(bins, missing)
-        out = np.zeros(len(bins))
-        for node, value in self.leaves.items():
-            out[at == node] = value
-        return out
+        ids, at = self._walk(bins, missing)
+        return np.array([self.leaves.get(int(i), 0.0) for i in ids], float)[at]
+
+    def _walk(self, bins: np.ndarray, missing: int) -> tuple[np.ndarray, np.ndarray]:
+        """The tree's nodes, and where in them every row ends: all rows go down a
+        level at a time."""
+        ids = sorted({0, *(c for n in self.splits for c in (2 * n + 1, 2 * n + 2))})
+        place = {n: i for i, n in enumerate(ids)}
+        table = np.zeros((len(ids), 5), np.int64)  # column, last bin, missing left, children
+        split = np.zeros(len(ids), bool)
+        for n, (c, b, left, _) in self.splits.items():
+            table[place[n]], split[place[n]] = (c, b, left, place[2 * n + 1], place[2 * n + 2]), True
+        column, last, left, yes, no = table.T
+        at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        while len(bins) and (going := split[at]).any():
+            b = bins[rows, column[at]]
+            down = np.where(np.where(b == missing, left[at] == 1, b <= last[at]), yes[at], no[at])
+            at = np.where(going, down, at)
+        return np.array(ids, np.int64), at
 
 
 @dataclass
@@ -215,7 +224,7 @@ def fit(df: DataFrame, label: str, key: str, columns: list[str], parameters: Par
         model.trees.append(tree)
         open_nodes = [0]
         for depth in range(p.max_depth):
-            sums = _level(rows, model, done, open_nodes, p)
+            sums = _level(rows, model, done, open_nodes, p, sorted({0, *allowed}))
             grown = []
             for node in open_nodes:
                 if node not in sums:
@@ -245,7 +254,8 @@ def _leaf(total: np.ndarray, p: Parameters) -> float:
 
 
 def _matrix(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, width)
+    return np.frombuffer(pa.concat_arrays([batch.column(2).cast(pa.binary(width))]).buffers()[1], np.uint8,
+                         batch.num_rows * width).reshape(-1, width)
 
 
 def _renewed(rows: DataFrame, model: Boosted, done: int) -> DataFrame:
@@ -262,15 +272,19 @@ def _renewed(rows: DataFrame, model: Boosted, done: int) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def _level(rows: DataFrame, model: Boosted, done: int, nodes: list[int], p: Parameters) -> dict[int, np.ndarray]:
-    """(column, bin, [G, H, rows]) sums of the open nodes of the last tree."""
+def _level(rows: DataFrame, model: Boosted, done: int, nodes: list[int], p: Parameters,
+           wanted: list[int]) -> dict[int, np.ndarray]:
+    """(column, bin, [G, H, rows]) sums of the open nodes of the last tree; those
+    of columns that the tree doesn't use stay 0."""
     number = len(model.trees) - 1
     width, depth_bins = len(model.columns), model.missing + 1
-    shared = rows.sparkSession.sparkContext.broadcast((model, done, nodes, p, number))
+    shared = rows.sparkSession.sparkContext.broadcast((model, done, nodes, p, number, wanted))
 
     def arrays(batches):
-        model, done, nodes, p, number = shared.value
+        model, done, nodes, p, number, wanted = shared.value
         place = {n: i for i, n in enumerate(nodes)}
+        known = np.array(sorted(nodes), np.int64)
+        number_of = np.array([place[n] for n in known])
         total = np.zeros((len(nodes), width, depth_bins, 3))
         seen = False
         for batch in batches:
@@ -284,7 +298,8 @@ def _level(rows: DataFrame, model: Boosted, done: int, nodes: list[int], p: Para
                 mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
                 keep = (mixed >> np.uint64(11)) / float(1 << 53) < p.subsample
             at = model.trees[-1].places(bins, model.missing)
-            node = np.array([place.get(a, -1) for a in at])
+            found = np.minimum(np.searchsorted(known, at), len(known) - 1)
+            node = np.where(known[found] == at, number_of[found], -1)
             keep &= node >= 0
             if not keep.any():
                 continue
@@ -295,10 +310,10 @@ def _level(rows: DataFrame, model: Boosted, done: int, nodes: list[int], p: Para
             prob = 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
             weight = np.where(y > 0.5, p.scale_pos_weight, 1.0)
             g, h = weight * (prob - y), weight * prob * (1 - prob)
-            for c in range(width):
+            for c in wanted:
                 flat = node * depth_bins + bins[:, c]
-                for j, v in enumerate((g, h, np.ones(len(y)))):
-                    total[:, c, :, j] += np.bincount(flat, v, len(nodes) * depth_bins).reshape(len(nodes), depth_bins)
+                for j, v in enumerate((g, h, None)):
+                    total[:, c, :, j] += np.bincount(flat, v, minlength=len(nodes) * depth_bins).reshape(len(nodes), depth_bins)
         if seen:
             for n, i in place.items():
                 if total[i, 0, :, 2].any():

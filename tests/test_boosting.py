@@ -135,3 +135,34 @@ def test_many_values_are_binned_by_quantiles(spark):
     assert len(model.edges[0]) == 31
     wrong = B.predict(df, model, "id", ["y"]).where((F.col("probability") > .5) != (F.col("y") == 1)).count()
     assert wrong < 5000 / 32
+
+
+def test_rows_go_down_a_level_at_a_time():
+    rng = np.random.default_rng(5)
+    tree, missing, bins = B.Tree(), 8, rng.integers(0, 9, (500, 3)).astype(np.uint8)
+    open_nodes = [0]
+    for _ in range(40):  # also a chain far deeper than an array of all nodes could be
+        node = open_nodes.pop(int(rng.integers(len(open_nodes))))
+        tree.splits[node] = (int(rng.integers(3)), int(rng.integers(8)), bool(rng.integers(2)), 1.0)
+        open_nodes += [2 * node + 1, 2 * node + 2]
+    for n in open_nodes[::2]:
+        tree.leaves[n] = float(rng.normal())
+    want = []
+    for row in bins:
+        at = 0
+        while at in tree.splits:
+            c, last, left, _ = tree.splits[at]
+            at = 2 * at + (1 if (left if row[c] == missing else row[c] <= last) else 2)
+        want.append(at)
+    assert tree.places(bins, missing).tolist() == want
+    assert tree.values(bins, missing).tolist() == [tree.leaves.get(a, 0.0) for a in want]
+
+
+def test_a_level_counts_the_columns_of_its_tree_only(spark, monkeypatch):
+    seen, level = [], B._level
+    monkeypatch.setattr(B, "_level", lambda *a: seen.append((a[-1], r := level(*a))) or r)
+    rows = [(i, float(i % 2), float(i % 7), float(i % 5), float(i % 3), float(i % 4)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, y double, a double, b double, c double, d double")
+    B.fit(df, "y", "k", ["a", "b", "c", "d"], B.Parameters(n_estimators=2, max_depth=2, colsample=0.5))
+    assert seen and all(len(w) <= 3 and not s[[c for c in range(4) if c not in w]].any()
+                        for w, found in seen for s in found.values())
