@@ -184,3 +184,19 @@ def test_model_rows_carry_no_joins(spark):
     from driftwood.plans import q_models as Q
     plan = Q._data(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_held_out_rows_are_scored_once(spark):
+    from driftwood.operators import metrics as M
+    scored = spark.sparkContext.accumulator(0)
+
+    def score(batches):
+        for b in batches:
+            scored.add(b.num_rows)
+            yield b
+
+    df = spark.range(300).selectExpr("cast(id % 3 as int) as fold", "cast(id % 5 = 0 as int) as y", "(id * 7 % 50) / 50d as p")
+    once = M.average_precision(df.mapInArrow(score, df.schema), "y", "p", by=["fold"], once=True).orderBy("fold").collect()
+    assert scored.value == 300
+    plain = M.average_precision(df, "y", "p", by=["fold"]).orderBy("fold").collect()
+    assert [(r[0], pytest.approx(r[1], abs=1e-12)) for r in plain] == [tuple(r) for r in once]
