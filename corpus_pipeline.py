@@ -5,9 +5,10 @@ written as Parquet and read again as the next stage's ``docs``.  All stages
 but the last return the columns of documents; rows that a stage rejects are
 gone for the next one.
 
-1. language: rows whose language can't be told (no letter, or no evidence:
-   neither a known word nor a known n-gram of two characters or more) go; if
-   no row has a label to learn from, all rows with a letter stay.
+1. language: every row's language is predicted; rows whose language can't be
+   told (no letter, or no evidence: neither a known word nor a known n-gram of
+   two characters or more) go; if no row has a label to learn from, all rows
+   with a letter stay.
 2. near_dups: of each group of near-duplicates the smallest id stays; of rows
    that share it, one for each different text.
 3. repeats: words of repeated windows are taken out of the texts.
@@ -42,7 +43,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Without the documents that language identification rejects."""
     trained = docs.where(~language.held_out(F.col("doc_id")))
     model = language.train(language.training_rows(trained, "doc_id", "text", "lang"))
-    return language.with_evidence(docs, model)
+    return language.with_evidence(language.with_language(docs, model), model)
 
 
 def keep_first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

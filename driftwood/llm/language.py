@@ -181,6 +181,15 @@ class Evidence:
         return False
 
 
+def with_language(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose predicted language is one of the model's; all
+    rows if it has none (no labelled row)."""
+    if not model["langs"]:
+        return docs
+    found = predictor(docs.sparkSession, model)(F.col(text_col).cast("string"))
+    return docs.where(found["lang_pred"].isin(model["langs"]))
+
+
 def hashes(items) -> np.ndarray:
     return np.sort(np.fromiter((xxhash.xxh3_64_intdigest(x) for x in items), np.uint64))
 

@@ -418,3 +418,28 @@ def test_hamming_recall_and_scores(spark):
 def test_sql_twins(spark, name):
     from oracle_check import compare, duck
     assert compare(spark, duck(SF), name, queries.QUERIES[name], queries.ORACLES[name], SF)["status"] == "ok"
+
+
+def test_pipeline_predicts_the_language_of_every_row(spark, monkeypatch):
+    """The first stage keeps the rows that the identification gives a language."""
+    import corpus_pipeline
+    from driftwood.llm import language
+    texts = [(i, "the cat and the dog sat on the mat", "en", "a", 34) for i in range(8)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long")
+    only = lambda text: F.struct(F.lit("nowhere").alias("lang_pred"))
+    assert corpus_pipeline.keep_known_languages(spark, docs, SF).count() == 8
+    monkeypatch.setattr(language, "predictor", lambda spark, model: only)
+    assert corpus_pipeline.keep_known_languages(spark, docs, SF).count() == 0
+
+
+def test_mix_takes_what_the_schedule_places(spark, monkeypatch):
+    """op7 counts the copies that have a place in training time."""
+    from driftwood.llm import mixing, queries
+    docs = [(i, f"a b c {i}", "s") for i in range(6)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    monkeypatch.setattr(queries, "table", lambda *a: docs)
+    want = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()}
+    assert {r["doc_id"]: r["taken"] for r in queries.op7_source_mixing(spark, SF).collect()} == want and sum(want.values())
+    mix = mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda *a: mix(*a).withColumn("positions", F.array(F.lit(2.0))))
+    assert {r["taken"] for r in queries.op7_source_mixing(spark, SF).collect()} == {0}
