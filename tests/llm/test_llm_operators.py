@@ -1,6 +1,7 @@
 """The operators against brute force, the tokenizer libraries, and held-out
 rows of the small test tables."""
 
+import hashlib
 import os
 import random
 import re
@@ -443,3 +444,15 @@ def test_mix_takes_what_the_schedule_places(spark, monkeypatch):
     mix = mixing.mix
     monkeypatch.setattr(mixing, "mix", lambda *a: mix(*a).withColumn("positions", F.array(F.lit(2.0))))
     assert {r["taken"] for r in queries.op7_source_mixing(spark, SF).collect()} == {0}
+
+
+def test_licence_model_counts_every_paragraph(spark):
+    """A word of notices that is common in the corpus, but not among its first
+    documents by md5, is no term of the model; counts come from all rows."""
+    ids = sorted(range(700), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    rows = [(i, "plain words here" if k < 300 else "plain gnu words here") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows = licences.training_rows(docs, "doc_id", "text")
+    assert rows.where("prose").count() == 700
+    assert "gnu" not in licences.Model(spark, rows).vocabulary
+    assert "gnu" in licences.Model(spark, licences.training_rows(docs, "doc_id", "text", 300)).vocabulary
