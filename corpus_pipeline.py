@@ -43,7 +43,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Without the documents that language identification rejects."""
     trained = docs.where(~language.held_out(F.col("doc_id")))
     model = language.train(language.training_rows(trained, "doc_id", "text", "lang"))
-    return language.with_evidence(language.with_language(docs, model), model)
+    return language.with_told_language(docs, model)
 
 
 def keep_first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

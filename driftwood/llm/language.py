@@ -217,6 +217,27 @@ def with_evidence(docs: DataFrame, model: dict, text_col: str = "text") -> DataF
     return docs.mapInArrow(run, docs.schema)
 
 
+def with_told_language(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The rows of ``with_evidence(with_language(docs, model), model)`` in one
+    pass: a task has one worker, which holds one batch of rows."""
+    ship_package(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((model, Evidence(model)))
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        kept("language")
+        own, evidence = shared.value
+        scorer, langs = Scorer(own), set(own["langs"])
+
+        def stays(text: str | None) -> bool:
+            return (not langs or scorer.predict(text)[0] in langs) and evidence(text)
+
+        for batch in batches:  # texts become Python strings one by one
+            yield batch.filter(pa.array([stays(t.as_py()) for t in batch.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: Column) -> Column:
     """Rows that training never sees: crc32 of the id as text mod 4 is 2."""
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
