@@ -446,6 +446,28 @@ def test_mix_takes_what_the_schedule_places(spark, monkeypatch):
     assert {r["taken"] for r in queries.op7_source_mixing(spark, SF).collect()} == {0}
 
 
+def test_op7_lays_out_whole_documents_in_training_order(spark, monkeypatch):
+    """op7 carries the documents, sorts their copies and counts the words in them."""
+    from driftwood.llm import mixing, queries
+    rows = [(i, "w " * (i % 7), "ab"[i % 2]) for i in range(200)] + [(3, "v v v", "b"), (3, "v v v", "b"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    monkeypatch.setattr(queries, "table", lambda *a: docs)
+    got = queries.op7_source_mixing(spark, SF).collect()
+    mixed = mixing.mix(docs).collect()
+    line = lambda r: (str(r.doc_id), r["size"], r.source_size, r.target, r.taken)
+    assert sorted(map(line, got)) == sorted(map(line, mixed))
+    # the order in which the run meets the documents
+    first = {r.doc_id: min(r.positions, default=2.0) for r in mixed if r.doc_id not in (3, None)}
+    met = [first[r.doc_id] for r in got if r.doc_id in first]
+    assert met == sorted(met) and len(set(met)) > 50
+    # the count is taken in the copies' own texts
+    mix = mixing.mix
+    other = F.col("doc").withField("text", F.lit("one"))
+    monkeypatch.setattr(mixing, "mix", lambda *a: mix(*a).withColumn("doc", other))
+    copies = {r.doc_id: r.copies for r in mixed if r.doc_id not in (3, None)}
+    assert {r.doc_id: r.taken for r in queries.op7_source_mixing(spark, SF).collect() if r.doc_id in copies} == copies
+
+
 def test_licence_model_counts_every_paragraph(spark):
     """A word of notices that is common in the corpus, but not among its first
     documents by md5, is no term of the model; counts come from all rows."""
