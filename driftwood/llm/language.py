@@ -158,7 +158,9 @@ def predictor(docs_spark, model: dict):
             yield pd.DataFrame([scorer.predict(t) for t in part], columns=["lang_pred", "score"])
 
     run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, "lang_pred string, score double")
+    found = F.pandas_udf(run, "lang_pred string, score double")
+    found.scorer = lambda: Scorer(shared.value)  # the same prediction, for other Python steps
+    return found
 
 
 class Evidence:
@@ -219,15 +221,18 @@ def with_evidence(docs: DataFrame, model: dict, text_col: str = "text") -> DataF
 
 def with_told_language(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """The rows of ``with_evidence(with_language(docs, model), model)`` in one
-    pass: a task has one worker, which holds one batch of rows."""
-    ship_package(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model, Evidence(model)))
+    pass, if the prediction can be made in a Python step: a task has one
+    worker, which holds one batch of rows."""
+    scorer_of = getattr(predictor(docs.sparkSession, model), "scorer", None)
+    if scorer_of is None:
+        return with_evidence(with_language(docs, model, text_col), model, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(Evidence(model))
+    langs = set(model["langs"])
     place = docs.columns.index(text_col)
 
     def run(batches):
         kept("language")
-        own, evidence = shared.value
-        scorer, langs = Scorer(own), set(own["langs"])
+        scorer, evidence = scorer_of(), shared.value
 
         def stays(text: str | None) -> bool:
             return (not langs or scorer.predict(text)[0] in langs) and evidence(text)
